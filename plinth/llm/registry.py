@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import token_output
+from plinth.llm import quality, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_output": token_output.op3_token_output,
+    "op9_warc": warc.op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": warc.OP9_SQL,
+}
