@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import quality, token_output, warc
+from plinth.llm import decontaminate, quality, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_output": token_output.op3_token_output,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op9_warc": warc.op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": decontaminate.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
 }
