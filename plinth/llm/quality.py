@@ -7,8 +7,8 @@ its share of the text's n-grams, times a constant, so a text's length alone says
 nothing.  Scores are sparse dot products: one table look-up for each n-gram.
 
 Training is per-coordinate FTRL-proximal over a bounded sample of labelled rows,
-taken in the order of a hash of the id (`most_rows`, a documented bound: the rows
-with the smallest hashes).  Features are extracted where the rows are; one task
+in the order of a hash of the id (`most_rows` of `training_rows` is the bound: the
+rows with the smallest hashes).  Features are extracted where the rows are; one task
 then makes the passes, and the table of weights has a fixed size (2 ** `bits`
 floats), which is what is broadcast for scoring all rows.
 """
@@ -76,8 +76,8 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "label", bits: int = 20, most_rows: int = 12_000, passes: int = 5, alpha: float = 1.0, beta: float = 0.1, l1: float = 0.01, l2: float = 0.02) -> np.ndarray:
-    """Weights, float32 of length 2 ** bits + 1, from rows whose label is 0 or 1.
+def train(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "label", bits: int = 20, passes: int = 5, alpha: float = 1.0, beta: float = 0.1, l1: float = 0.01, l2: float = 0.02) -> np.ndarray:
+    """Weights, float32 of length 2 ** bits + 1, from a bounded sample of rows whose label is 0 or 1 (see training_rows).
 
     Rows without id or label are left out; null texts are empty.  Repeated rows
     count as often as they stand there.  Without rows all weights are 0, and every
@@ -85,8 +85,6 @@ def train(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str =
     """
     rows = labelled.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(label_column).cast("int").alias("label"))
     rows = rows.filter("id is not null and label in (0, 1)").withColumn("turn", F.xxhash64("id"))
-    chosen = rows.orderBy("turn", "id", "text", "label").limit(most_rows)
-
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in shared.sliced(whole, 0):
@@ -105,7 +103,7 @@ def train(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str =
                 model.learn(*example)
         return pa.table({"weights": pa.array([model.weights().astype("<f4").tobytes()], pa.binary())})
 
-    found = chosen.select("text", "label", "turn").mapInArrow(features, "slots binary, label int, turn bigint")
+    found = rows.select("text", "label", "turn").mapInArrow(features, "slots binary, label int, turn bigint")
     learnt = found.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: learn(t.select(["slots", "label", "turn"])), "weights binary").first()
     return np.frombuffer(learnt["weights"], "<f4") if learnt else np.zeros(2**bits + 1, np.float32)
 
@@ -139,10 +137,15 @@ def _with_score(rows: DataFrame, keep: tuple[str, ...]) -> T.StructType:
     return T.StructType([by["id"], T.StructField("score", T.DoubleType()), *(by[f"keep_{c}"] for c in keep)])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, label of the rows outside the held-out fold; labels are narrow, and rows without one don't travel far."""
-    known = labels.select("doc_id", F.col("quality").alias("label")).filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("label").isNotNull())
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> DataFrame:
+    """doc_id, text, label of a sample of the labelled rows outside the held-out fold: those with the smallest hashes of the id.
+
+    The sample is drawn from the narrow labels, so it is at most most_rows ids
+    that are broadcast, and no text is shuffled.
+    """
+    known = labels.select("doc_id", F.col("quality").alias("label")).filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("label").isin(0, 1))
+    drawn = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "label").limit(most_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
