@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, jaccard, quality, token_output, warc
+from plinth.llm import decontaminate, jaccard, quality, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": quality.op2_quality_classifier,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_warc": warc.op9_warc,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
