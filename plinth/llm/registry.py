@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, jaccard, quality, suffix_dedup, token_output, warc
+from plinth.llm import decontaminate, embedding_dedup, jaccard, quality, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_output": token_output.op3_token_output,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_warc": warc.op9_warc,
