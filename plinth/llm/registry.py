@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, embedding_dedup, jaccard, quality, suffix_dedup, token_output, warc
+from plinth.llm import decontaminate, embedding_dedup, jaccard, quality, sentencepiece_codec, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": quality.op2_quality_classifier,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_warc": warc.op9_warc,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
