@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, embedding_dedup, jaccard, quality, sentencepiece_codec, suffix_dedup, token_output, warc
+from plinth.llm import decontaminate, embedding_dedup, jaccard, line_dedup, quality, sentencepiece_codec, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_output": token_output.op3_token_output,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
