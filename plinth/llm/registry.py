@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, embedding_dedup, jaccard, line_dedup, quality, sentencepiece_codec, suffix_dedup, token_output, warc
+from plinth.llm import decontaminate, embedding_dedup, jaccard, line_dedup, pitman_yor, quality, sentencepiece_codec, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": token_output.op3_token_output,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
+    "op6_language_model": pitman_yor.op6_language_model,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_warc": warc.op9_warc,

@@ -29,6 +29,8 @@ ALNUM[0x00:0x30] = ALNUM[0x3A:0x61] = ALNUM[0x7B:0x80] = False
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
+    if np.ndim(h) == 0:
+        return mix(np.array([h], np.uint64))[0]
     h = h ^ (h >> np.uint64(30))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     h = h ^ (h >> np.uint64(27))
@@ -84,7 +86,7 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         for i in long:
             cut = np.arange(starts[i], ends[i], _TABLE)
             part = hashes(raw, cut, np.minimum(cut + _TABLE, ends[i]))
-            out[i] = mix(np.bitwise_xor.reduce(mix(part + np.arange(1, len(part) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + np.uint64(int(size[i])))[()]
+            out[i] = mix(np.bitwise_xor.reduce(mix(part + np.arange(1, len(part) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + np.uint64(int(size[i])))
         return out
     first = np.cumsum(size) - size
     at = np.arange(total) - np.repeat(first, size)  # position in the word
