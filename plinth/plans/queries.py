@@ -407,3 +407,16 @@ def summary_counts(b: Building) -> DataFrame:
     """Entities by storey and kind, with totals."""
     every = b.spaces().select("storey", F.lit("space").alias("kind")).union(b.doors().select("storey", F.lit("door"))).union(b.furniture().select("storey", F.lit("furniture")))
     return every.rollup("storey", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- streams (additions) --------------------------------------------------------------------
+
+@query("""SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(b: Building) -> DataFrame:
+    """Events by type and tumbling windows of ten minutes, from a stream over the table."""
+    from plinth.streaming import poses
+
+    stored = b.table("events")
+    stream = b.spark.readStream.schema(stored.schema).parquet(f"{b.sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = poses.drained(b.spark, poses.window_counts(stream), graph.scratch(b.spark, "windows"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
