@@ -26,8 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +70,7 @@ def _from_floats(data: bytes) -> np.ndarray:
 class Slice:
     """Whole texts of about `slice_bytes`: words, pairs, and what is asked for."""
 
-    def __init__(self, batches: list[pa.RecordBatch], place: int):
+    def __init__(self, batches: list[pa.RecordBatch]):
         self.ids = pa.concat_arrays([b.column(0) for b in batches])
         self.train = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in batches]).astype(bool)
         parts = [_tokens(b.column(1)) for b in batches]
@@ -81,7 +81,9 @@ class Slice:
         learnt = np.repeat(self.train, self.size)
         self.words, self.at = np.unique(tokens, return_inverse=True)
         self.word_counts = np.bincount(self.at, weights=learnt, minlength=len(self.words)).astype(np.int64)
-        self.name = int(textbytes.mix(np.bitwise_xor.reduce(textbytes.mix(tokens + np.arange(len(tokens), dtype=np.uint64))) + np.uint64(place)).view(np.int64))
+        whose = np.repeat(np.array(pc.fill_null(self.ids, -1)).astype(np.uint64), self.size)
+        place = np.arange(len(tokens), dtype=np.uint64)
+        self.name = int(np.bitwise_xor.reduce(textbytes.mix(textbytes.mix(tokens + place) + whose)).view(np.int64))  # equal slices have equal answers
         self.tokens, self.before, self.learnt = tokens, before, learnt
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,16 +96,16 @@ class Slice:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[Slice]:
-    held, size, place = [], 0, TaskContext.get().partitionId() << 32
+    held, size = [], 0
     for whole in batches:
         for batch in shared.sliced(whole, 1, slice_bytes // 4):
             held.append(batch)
             size += batch.column(1).nbytes
             if size >= slice_bytes:
-                yield Slice(held, place)
-                held, size, place = [], 0, place + 1
+                yield Slice(held)
+                held, size = [], 0
     if held:
-        yield Slice(held, place)
+        yield Slice(held)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -236,7 +238,7 @@ def _word_bucket(key: tuple, group: pa.Table, sweeps: int, burn_in: int, theta:
     return _table(rows, _NAMES)
 
 
-def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text_column: str = "text", sweeps: int = 8, burn_in: int = 3, theta: float = 1.0, slice_bytes: int = 24 << 20, bucket_pairs: int = 1_500_000) -> DataFrame:
+def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text_column: str = "text", sweeps: int = 8, burn_in: int = 3, theta: float = 1.0, slice_bytes: int = 8 << 20, bucket_pairs: int = 800_000) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) for every row.
 
     train: boolean column expression that says which rows are learnt from (null:
@@ -245,6 +247,7 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
     probability.
     """
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
+    rows = shared.stable(rows)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(size / 6 * 0.65 / bucket_pairs))  # of pairs: about six bytes a word, most pairs distinct in a slice
 
@@ -280,10 +283,12 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
     n, v, customers, taken = np.sum(totals, 0) if totals else np.zeros(4)
 
     def score(key: tuple, group: pa.Table) -> pa.Table:
+        return pa.concat_tables([score_head(group, int(head)) for head in np.flatnonzero(group["kind"].to_numpy() == 3)])
+
+    def score_head(group: pa.Table, head: int) -> pa.Table:
         kind, bucket = group["kind"].to_numpy(), group["bucket"].to_numpy()
         column = {c: group[c] for c in ("one", "two", "three")}
         get = lambda i, c: column[c][int(i)].as_py()
-        (head,) = np.flatnonzero(kind == 3)
         docs = pa.ipc.open_stream(get(head, "one")).read_all()
         size, ranked = docs["n"].to_numpy(), _values(get(head, "three"), 8)
         rank = _values(get(head, "two"), 4).astype(np.int64)

@@ -34,6 +34,13 @@ def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """The rows in an order that doesn't change when they are read again: as they are if they come straight from files, else a written table."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    straight = "Scan" in plan and not any(x in plan for x in ("Exchange", "Join", "LocalTableScan", "ExistingRDD", "Arrow", "Pandas", "InMemory", "Python"))
+    return df if straight else table(df, "stable", compression="zstd")
+
+
 def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary column whose i-th value is the bytes of values[ends[i - 1]:ends[i]]."""
     offsets = np.concatenate([[0], ends]).astype(np.int64) * values.dtype.itemsize

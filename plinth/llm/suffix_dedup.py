@@ -102,7 +102,7 @@ class RunLengthIndex:
             if not len(open_at):
                 break
             own = order[open_at]
-            after = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + 1, 0)
+            after = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + step + 1, n - own)  # of two that end, the shorter is first
             key = (rank[own].astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
             by = np.argsort(key, kind="stable")
             order[open_at] = own[by]
