@@ -420,3 +420,53 @@ def event_windows(b: Building) -> DataFrame:
     stream = b.spark.readStream.schema(stored.schema).parquet(f"{b.sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     out = poses.drained(b.spark, poses.window_counts(stream), graph.scratch(b.spark, "windows"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- footprints ---------------------------------------------------------------------------------
+
+def _faces(b: Building) -> DataFrame:
+    """Floor and ceiling of every room as four triangles."""
+    s = b.spaces().select(F.col("space").alias("element"), "x0", "y0", "x1", "y1")
+    corner = {"p": ("x0", "y0"), "q": ("x1", "y0"), "r": ("x1", "y1"), "t": ("x0", "y1")}
+    face = lambda names, z: F.struct(*(v.alias(f"{to}{k}") for to, n in zip("abc", names, strict=True) for k, v in zip("xyz", (F.col(corner[n][0]), F.col(corner[n][1]), F.lit(z)), strict=True)))
+    return s.select("element", F.explode(F.array(face("pqr", 2.5), face("prt", 2.5), face("prq", 0.0), face("ptr", 0.0))).alias("f")).select("element", "f.*")
+
+
+@query("SELECT space AS element, true AS up, round((x1 - x0) * (y1 - y0), 6) AS area FROM spaces")
+def horizontal_band(b: Building) -> DataFrame:
+    """The side, up or down, of each room's mesh with the larger plan area."""
+    from plinth.operators import footprints
+
+    return footprints.widest_band(_faces(b)).select("element", "up", r6("area").alias("area"))
+
+
+@query("""SELECT space AS element, unnest([round(x0, 4), round(x0, 4), round(x0, 4), round(x1, 4)]) AS ax, unnest([round(y0, 4), round(y0, 4), round(y1, 4), round(y0, 4)]) AS ay,
+unnest([round(x1, 4), round(x0, 4), round(x1, 4), round(x1, 4)]) AS bx, unnest([round(y0, 4), round(y1, 4), round(y1, 4), round(y1, 4)]) AS by FROM spaces""")
+def mesh_boundary(b: Building) -> DataFrame:
+    """Plan edges of each room's floor that one triangle alone has."""
+    from plinth.operators import footprints
+
+    return footprints.boundary_edges(_faces(b).filter("az = 0"))
+
+
+@query("SELECT space AS element, 4 AS n_points, round((x1 - x0) * (y1 - y0), 6) AS area FROM spaces")
+def outline_rings(b: Building) -> DataFrame:
+    """Stitched outlines: points and area of each room's exterior."""
+    from plinth.operators import footprints
+
+    p = footprints.outlines(_faces(b).filter("az = 0")).filter("ring_no = 0").groupBy("element").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
+    return p.select("element", F.size("ring").cast("bigint").alias("n_points"), r6(g.area(F.col("ring"))).alias("area"))
+
+
+@query("""WITH f AS (SELECT item, storey, w, d, x + w / 2 AS cx, y + d / 2 AS cy, sqrt(w * w + d * d) / 2 AS half FROM furniture WHERE w > 0),
+v AS (SELECT *, (1 - least(0.05e0, half / 2) / half) AS keep FROM f)
+SELECT item, min(space) AS parent FROM v JOIN spaces USING (storey) WHERE cx - w / 2 * keep >= x0 AND cx + w / 2 * keep < x1 AND cy - d / 2 * keep >= y0 AND cy + d / 2 * keep < y1 AND w * d < 0.98e0 * (x1 - x0) * (y1 - y0) GROUP BY item""")
+def nested_parents(b: Building) -> DataFrame:
+    """Footprints that lie within a larger one of their storey: at least 85 % of the inset vertices, and the centroid."""
+    f = b.furniture().filter("w > 0").withColumn("inner", g.box_ring(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("d")))
+    middle = f.select("item", "storey", "inner", (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("d") / 2).alias("y"))
+    met = spatial.points_to_boxes(middle, b.spaces().select("space", "storey", "ring", "x0", "y0", "x1", "y1"), on=["storey"])
+    ring = F.col("ring")
+    inside = F.size(F.filter(g.inset(F.col("inner")), lambda p: g.point_in_ring(p["x"], p["y"], ring))) / F.size("inner")
+    nested = met.filter((inside >= 0.85) & g.point_in_ring(F.col("x"), F.col("y"), ring) & (g.area(F.col("inner")) < 0.98 * g.area(ring)))
+    return nested.groupBy("item").agg(F.min("space").alias("parent"))

@@ -52,3 +52,13 @@ def test_artifacts(spark, tmp_path):
     assert artifacts.live_shares(shares, F.to_timestamp(F.lit("2024-01-10"))).count() == 1
     agents = spark.createDataFrame([("Mozilla iPhone", True, True), ("x", True, True), ("x", True, False), ("x", False, False)], "ua string, u boolean, g boolean")
     assert [r[0] for r in agents.select(artifacts.landing_format(F.col("ua"), F.col("u"), F.col("g"))).collect()] == ["usdz", "glb", "usdz", None]
+
+
+def test_footprint_walks(spark):
+    from plinth.operators import footprints as f
+
+    assert f.hull([(0, 0), (2, 0), (1, 0), (2, 2), (0, 2), (1, 1)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
+    assert f.hull([(1, 1)]) == [(1, 1)]
+    assert f.simplified([(0, 0), (1, 0.01), (2, 0), (2, 2), (0, 2)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
+    square = [((0, 0), (1, 0)), ((1, 0), (1, 1)), ((1, 1), (0, 1)), ((0, 1), (0, 0)), ((5, 5), (6, 6))]
+    assert [sorted(r) for r in f.stitched(square)] == [[(0, 0), (0, 1), (1, 0), (1, 1)]]
