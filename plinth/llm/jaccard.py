@@ -103,7 +103,7 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2**_SLOTS, np.int64)
         for whole in batches:
-            for batch in shared.sliced(whole, 0):
+            for batch in shared.sliced(whole, 0, 6 << 20):
                 tokens, _ = shingles(batch.column(0), n)
                 total += np.bincount((tokens >> np.uint64(64 - _SLOTS)).astype(np.int64), minlength=len(total))
         for k, part in enumerate(total.reshape(-1, 2**_RANGE)):
@@ -274,7 +274,7 @@ def _link(key: tuple, group: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([int(ids[a]) for a, _ in pairs], pa.int64()), "b": pa.array([int(ids[b]) for _, b in pairs], pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 256, most_group: int = 4096, bucket_tokens: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = 256, most_group: int = 4096, bucket_tokens: int = 1_000_000) -> DataFrame:
     """(id, n_shingles, component_id) for every row: documents linked at num / den or more are one component, named by its smallest id.
 
     Null, empty and wordless texts have empty sets and link with nothing.  Rows
@@ -287,7 +287,7 @@ def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_colum
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in shared.sliced(whole, 1):
+            for batch in shared.sliced(whole, 1, 6 << 20):
                 tokens, size = sets(batch.column(1), n)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(set_hashes(tokens, size).view(np.int64))], ["id", "n_shingles", "set"])
 
@@ -296,7 +296,7 @@ def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_colum
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in shared.sliced(whole, 0, 16 << 20):
+            for batch in shared.sliced(whole, 0, 6 << 20):
                 yield from _requests(batch.column(0), n, buckets, frequent.value).to_batches()
 
     replies = rows.select("text").mapInArrow(ask, _REQUEST).groupBy("bucket").applyInArrow(lambda g: _replies(g, frequent.value), _REPLY)
@@ -327,3 +327,14 @@ def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_colum
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(shared.load(spark, sf_dir, "documents"), n=4, num=85)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared_g AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM shared_g JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(root) FROM reach WHERE node = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""

@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_dedup": embedding_dedup.OP4_SQL,
+    "op5_ngram_jaccard": jaccard.OP5_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
 }
