@@ -11,11 +11,12 @@ stay.  A linked class keeps the line that comes first by (id, line number).
    segment); probe keys those of the substrings at the possible places, for every
    length from edits less to the same.  Keys are made where the lines are read;
    only hashes are shuffled, once for distinct lines and once by key.
-2. A key that many lines share is split: there the rest of the line, which must be
-   within the distance too, is cut in the same way and joins the key (`refine`
-   rounds), so lines with one common part don't meet in pairs for it.
+2. Keys carry counts of eight letters.  An edit changes two of them by one at most,
+   so lines that share a segment and differ elsewhere by more than the edits allow
+   are told apart where the keys meet, before any pair is made.
 3. Candidates are verified with the banded bit-parallel recurrence: 2 edits + 1
-   diagonals in a machine word, one step for each character.
+   diagonals in a machine word, one step for each character that the two do not share
+   at their ends.
 
 A line's identity is a 64-bit hash of it.
 """
@@ -43,24 +44,23 @@ def _key(length: Column, number: int, piece: Column) -> Column:
     return F.xxhash64(length, F.lit(number), piece)
 
 
-def index_keys(line: Column, edits: int) -> Column:
-    """Keys of the segments of a line."""
-    length = F.length(line)
+def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
+    """Keys of the segments of a line of that many characters."""
     parts = [_segment(length, i, edits) for i in range(1, edits + 2)]
-    return F.array(*(_key(length, i, F.substr(line, *p)) for i, p in enumerate(parts, 1)))
+    return [_key(length, i, F.substr(line, *p)) for i, p in enumerate(parts, 1)]
 
 
-def probe_keys(line: Column, edits: int) -> Column:
-    """Keys of the substrings that can be a segment of a line that is as long or up to `edits` shorter."""
+def probe_keys(line: Column, own: Column, edits: int) -> list[Column]:
+    """Keys of the substrings that can be a segment of a line that is as long or up to `edits` shorter; null beyond the line's ends."""
     out = []
     for less in range(edits + 1):
-        length = F.length(line) - less
+        length = own - less
         for i in range(1, edits + 2):
             first, size = _segment(length, i, edits)
             for move in range(max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i)) + 1):
-                inside = (first + move >= 1) & (first + move + size - 1 <= F.length(line))
+                inside = (first + move >= 1) & (first + move + size - 1 <= own)
                 out.append(F.when(inside, _key(length, i, F.substr(line, first + move, size))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+    return out
 
 
 def banded_distance(left: Column, right: Column, edits: int) -> Column:
@@ -70,13 +70,12 @@ def banded_distance(left: Column, right: Column, edits: int) -> Column:
     j + edits; a step moves the window down one row and along one column.  The
     value is followed down the lowest diagonal to the last row, then along it.
     """
-    a, b = F.split(left, ""), F.split(right, "")
-    m, n = F.length(left), F.length(right)
     width = 2 * edits + 1
+    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  evaluates value once
     every = F.lit((1 << width) - 1).cast("bigint")
     no = lambda c: F.bitwise_not(c).bitwiseAND(every)
 
-    def step(state: Column, j: Column) -> Column:
+    def step(state: Column, j: Column, a: Column, b: Column) -> Column:
         vp, vn = state["vp"], state["vn"]
         same = F.lit(0).cast("bigint")
         for k in range(width):
@@ -90,7 +89,7 @@ def banded_distance(left: Column, right: Column, edits: int) -> Column:
         d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(every)
         return F.struct(vp.alias("vp"), vn.alias("vn"), s["d"].alias("d"), s["j"].alias("j"), d0.alias("d0"), vn.bitwiseOR(no(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn"))
 
-    def shift(s: Column) -> Column:
+    def shift(s: Column, m: Column) -> Column:
         bit = lambda c, k: c.bitwiseAND(k)
         down = s["j"] <= m - edits
         at = F.when(down, F.lit(width - 1)).otherwise(m - s["j"] + edits)
@@ -99,9 +98,55 @@ def banded_distance(left: Column, right: Column, edits: int) -> Column:
         half = F.shiftrightunsigned(s["d0"], 1)
         return F.struct(s["hn"].bitwiseOR(no(half.bitwiseOR(s["hp"]))).alias("vp"), half.bitwiseAND(s["hp"]).alias("vn"), (s["d"] + change).alias("d"))
 
-    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(edits).alias("d"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, j: bind(bind(step(s, j), carry), shift), lambda s: s["d"])
+    def distance(pair: Column) -> Column:
+        a, b, m, n = pair["a"], pair["b"], F.size(pair["a"]), F.size(pair["b"])
+        start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(edits).alias("d"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, j: bind(bind(step(s, j, a, b), carry), lambda t: shift(t, m)), lambda s: s["d"])
+
+    return bind(F.struct(F.split(left, "").alias("a"), F.split(right, "").alias("b")), distance)
+
+
+def _once(value: Column, f) -> Column:
+    """f of the value, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("n"))
+
+
+def common_start(pair: Column) -> Column:
+    """How many characters two strings have in common from the start: halving steps, each a comparison of substrings."""
+    def step(at: Column, size: Column) -> Column:
+        return F.when((at + size <= pair["n"]) & (F.substr(pair["a"], at + 1, size) == F.substr(pair["b"], at + 1, size)), at + size).otherwise(at)
+
+    return F.aggregate(F.filter(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), lambda size: size <= pair["n"]), F.lit(0), step)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """The pair without what it shares at both ends; both strings are turned round."""
+    rest = lambda c, n: F.substr(c, n + 1, F.length(c))
+    cut = lambda p: _once(common_start(p), lambda n: _pair(F.reverse(rest(p["a"], n)), F.reverse(rest(p["b"], n))))
+    last = lambda p: _once(common_start(p), lambda n: _pair(rest(p["a"], n), rest(p["b"], n)))
+    return _once(_once(_pair(a, b), cut), last)
+
+
+def plausible(a: Column, b: Column, edits: int) -> Column:
+    """False only for lines that are further apart than two edits: without common ends, two edits are at both ends, and what lies between is equal."""
+    if edits != 2:
+        return F.lit(True)
+
+    def between(da: int, db: int) -> Column:
+        x, y = F.substr(a, F.lit(da + 1), F.length(a)), F.substr(b, F.lit(db + 1), F.length(b))
+        return _once(_pair(x, y), lambda p: (F.length(p["a"]) - common_start(p) <= 1) & (F.length(p["b"]) - common_start(p) <= 1))
+
+    return (F.greatest(F.length(a), F.length(b)) <= 16) | between(1, 1) | between(1, 0) | between(0, 1)
+
+
+def close(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines are within the edits; what they share at their ends, and equal characters before both, leave the distance as it is."""
+    pad = F.lit("#" * edits)
+    return _once(differing(a, b), lambda p: F.when(plausible(p["a"], p["b"], edits), banded_distance(F.concat(pad, p["a"]), F.concat(pad, p["b"]), edits) <= edits).otherwise(False))
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -110,14 +155,41 @@ def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+#: Letters whose counts are compared before any text is: an edit changes at most two of them, by one.
+_LETTERS = "etaoinrs"
+
+
+def letter_counts(line: Column, size: Column) -> Column:
+    """Counts of eight letters, modulo 256, in a bigint."""
+    out = F.lit(0).cast("bigint")
+    for k, letter in enumerate(_LETTERS):
+        n = size - F.length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(255).cast("bigint")), 8 * k))
+    return out
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """At most this much the two lines' letter counts differ, in sum; never above the truth."""
+    low = F.lit(255).cast("bigint")
+    out = F.lit(0)
+    for k in range(len(_LETTERS)):
+        d = (F.shiftrightunsigned(a, 8 * k).bitwiseAND(low) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(low) + 128).bitwiseAND(low) - 128
+        out = out + F.abs(d)
+    return out
+
+
 def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): distinct pairs of line ids that share an index and a probe key; a's line isn't longer than b's."""
-    keyed = lines.select("id", F.length("line").alias("size"), index_keys(F.col("line"), edits).alias("own"), probe_keys(F.col("line"), edits).alias("probes"))
-    known = keyed.groupBy("id", "size").agg(F.first("own").alias("own"), F.first("probes").alias("probes"))
+    line, size = F.col("line"), F.col("size")
+    own = {f"own_{i}": k for i, k in enumerate(index_keys(line, size, edits))}
+    probes = {f"probe_{i}": k for i, k in enumerate(probe_keys(line, size, edits))}
+    keyed = lines.withColumn("size", F.length("line")).select("id", "size", letter_counts(line, size).alias("letters"), *(k.alias(n) for n, k in (own | probes).items()))
+    known = keyed.groupBy("id").agg(*(F.first(c).alias(c) for c in ("size", "letters", *own, *probes)))
     table = shared.table(known, "keys", compression="zstd")
-    left = table.select(F.explode("own").alias("key"), F.col("id").alias("a"), F.col("size").alias("a_size"))
-    right = table.select(F.explode("probes").alias("key"), F.col("id").alias("b"), F.col("size").alias("b_size"))
-    met = left.join(right, "key").filter((F.col("b_size") > F.col("a_size")) | ((F.col("b_size") == F.col("a_size")) & (F.col("a") < F.col("b"))))
+    left = table.select(F.explode(F.array(*own)).alias("key"), F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("letters").alias("a_letters"))
+    right = table.select(F.explode(F.array(*probes)).alias("key"), F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("letters").alias("b_letters")).filter("key is not null")
+    ordered = (F.col("b_size") > F.col("a_size")) | ((F.col("b_size") == F.col("a_size")) & (F.col("a") < F.col("b")))
+    met = left.join(right, "key").filter(ordered & (counts_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * edits))
     return met.select("a", "b").distinct()
 
 
@@ -144,7 +216,8 @@ def line_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = _among(taking.select("id", "line"), ids).groupBy("id").agg(F.first("line").alias("line"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
-    links = shared.table(both.filter(banded_distance(F.col("a_line"), F.col("b_line"), edits) <= edits).select("a", "b"), "links")
+    spread = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but much to compute
+    links = shared.table(spread.filter(close(F.col("a_line"), F.col("b_line"), edits)).select("a", "b"), "links")
     classes = components(links)
     places = taking.select("id", "doc", "line_no").join(classes, "id", "left").select("doc", "line_no", F.coalesce("component", "id").alias("class"))
     first = places.groupBy("class").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from plinth.llm import shared, textbytes
 
 _END = np.uint64(0x5851F42D4C957F2D)  # the end of a text, and what stands before its first word
-_W48 = np.uint64(16)
+_SHORT = np.uint64(24)  # words are told apart by 40 bits within a context and in the parent
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ def _seat_bucket(key: tuple, group: pa.Table, word_buckets: int, sweeps: int, bu
     asked = []
     for s, u, h, w, c in zip(*(group[x].to_pylist() for x in ("slice", "contexts", "held", "words", "counts")), strict=True):
         held = _values(h, 4).astype(np.int64)
-        asked.append((s, _values(u, 8), held, _values(w, 6), _values(c, 4).astype(np.int64)))
+        asked.append((s, _values(u, 8), held, _values(w, 5), _values(c, 4).astype(np.int64)))
     u = np.concatenate([np.repeat(a[1], a[2]) for a in asked])
     w, c = np.concatenate([a[3] for a in asked]), np.concatenate([a[4] for a in asked])
     _, one, dish = np.unique(textbytes.mix(u) * np.uint64(3) + textbytes.mix(w), return_index=True, return_inverse=True)
@@ -191,17 +191,17 @@ def _seat_bucket(key: tuple, group: pa.Table, word_buckets: int, sweeps: int, bu
         tables[live] = seat(count[live], context[live], word[live], d=d, theta=theta, sweeps=sweeps, burn_in=burn_in, seed=int(key[0].as_py()))
     customers = np.bincount(context, weights=count, minlength=len(contexts))
     all_tables = np.bincount(context, weights=tables, minlength=len(contexts))
-    share = (count - d * tables) / (theta + customers[context])  # of the restaurant itself; the rest is the parent's
-    rest = np.where(customers > 0, (theta + d * all_tables) / (theta + customers), 1.0)
+    own = count - d * tables  # the restaurant's own part of each dish, of theta + customers; mostly 1 - d, which packs well
+    rest = np.where(customers > 0, theta + d * all_tables, theta)  # the parent's part
     rows, at = [], 0
-    for s, own, held, _, _ in asked:
-        n = int(held.sum())
-        rows.append((0, key[0].as_py(), s, _floats(share[dish[at : at + n]]), _floats(rest[np.searchsorted(contexts, own)]), b""))
+    for s, wanted, held, _, _ in asked:
+        n, where = int(held.sum()), np.searchsorted(contexts, wanted)
+        rows.append((0, key[0].as_py(), s, _floats(own[dish[at : at + n]]), _floats(rest[where]), _planes(customers[where].astype(np.int64), 4)))
         at += n
     by_word = np.bincount(word, weights=tables, minlength=len(words))
     for part in _split(np.where(by_word > 0, _bucket(words, word_buckets), -1)):
         if by_word[part[0]] > 0:
-            rows.append((1, int(_bucket(words[part[:1]], word_buckets)[0]), None, _planes(words[part], 6), _floats(by_word[part]), b""))
+            rows.append((1, int(_bucket(words[part[:1]], word_buckets)[0]), None, _planes(words[part], 5), _floats(by_word[part]), b""))
     return _table(rows, _NAMES)
 
 
@@ -215,10 +215,10 @@ def _word_bucket(key: tuple, group: pa.Table, sweeps: int, burn_in: int, theta:
     words, back = np.unique(np.concatenate([*full, np.zeros(0, np.uint64)]), return_inverse=True)
     count = np.bincount(back, weights=np.concatenate([*counts, np.zeros(0, np.int64)]), minlength=len(words)).astype(np.int64)
     customers = np.zeros(len(words))
-    short = words >> _W48
+    short = words >> _SHORT
     for i, k in enumerate(kinds):
         if k == 1:
-            w, t = _values(ones[i], 6), _from_floats(twos[i])
+            w, t = _values(ones[i], 5), _from_floats(twos[i])
             at = np.searchsorted(short, w)
             ok = at < len(short)
             ok[ok] = short[at[ok]] == w[ok]
@@ -238,7 +238,7 @@ def _word_bucket(key: tuple, group: pa.Table, sweeps: int, burn_in: int, theta:
     return _table(rows, _NAMES)
 
 
-def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text_column: str = "text", sweeps: int = 8, burn_in: int = 3, theta: float = 1.0, slice_bytes: int = 8 << 20, bucket_pairs: int = 800_000) -> DataFrame:
+def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text_column: str = "text", sweeps: int = 8, burn_in: int = 3, theta: float = 1.0, slice_bytes: int = 12 << 20, bucket_pairs: int = 1_200_000) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) for every row.
 
     train: boolean column expression that says which rows are learnt from (null:
@@ -257,12 +257,12 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
             out = []
             for part in _split(_bucket(u, buckets)):
                 first = np.flatnonzero(np.append(True, u[part][1:] != u[part][:-1]))
-                out.append((int(_bucket(u[part[:1]], buckets)[0]), s.name, _planes(u[part][first], 8), _planes(np.diff(np.append(first, len(part))), 4), _planes(w[part] >> _W48, 6), _planes(c[part], 4)))
+                out.append((int(_bucket(u[part[:1]], buckets)[0]), s.name, _planes(u[part][first], 8), _planes(np.diff(np.append(first, len(part))), 4), _planes(w[part] >> _SHORT, 5), _planes(c[part], 4)))
             yield from _table(out, ["bucket", "slice", "contexts", "held", "words", "counts"]).to_batches()
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches, slice_bytes):
-            bucket = _bucket(s.words >> _W48, buckets)
+            bucket = _bucket(s.words >> _SHORT, buckets)
             yield from _table([(2, int(bucket[p[0]]), s.name, _planes(s.words[p], 8), _planes(s.word_counts[p], 4), b"") for p in _split(bucket)], _NAMES).to_batches()
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,16 +304,18 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
         s.learnt = np.zeros(len(s.tokens))
         count, share = np.zeros(len(s.words)), np.zeros(len(s.words))
         answers = {int(b): i for i, b in zip(np.flatnonzero(kind == 0), bucket[kind == 0], strict=True)}
-        for part in _split(_bucket(s.words >> _W48, buckets)):
-            i = answers[int(_bucket(s.words[part[:1]] >> _W48, buckets)[0])]
+        for part in _split(_bucket(s.words >> _SHORT, buckets)):
+            i = answers[int(_bucket(s.words[part[:1]] >> _SHORT, buckets)[0])]
             count[part], share[part] = _values(get(i, "one"), 4), _from_floats(get(i, "two"))
         u, _, _, back = s.pairs()
         own, rest = np.zeros(len(u)), np.zeros(len(u))
         answers = {int(b): i for i, b in zip(np.flatnonzero(kind == 4), bucket[kind == 4], strict=True)}
         for part in _split(_bucket(u, buckets)):
             i = answers[int(_bucket(u[part[:1]], buckets)[0])]
-            own[part] = _from_floats(get(i, "one"))
-            rest[part] = _from_floats(get(i, "two"))[np.cumsum(np.append(True, u[part][1:] != u[part][:-1])) - 1]
+            of = np.cumsum(np.append(True, u[part][1:] != u[part][:-1])) - 1
+            everyone = theta + _values(get(i, "three"), 4).astype(np.int64)[of]
+            own[part] = _from_floats(get(i, "one")) / everyone
+            rest[part] = _from_floats(get(i, "two"))[of] / everyone
         parent = (share + (theta + taken) / (v + 1)) / (theta + customers)
         total = lambda x: np.add.reduceat(x, np.cumsum(size) - size)
         known = count[s.at]
