@@ -140,6 +140,51 @@ def test_embedding_recall(spark, sf_dir):
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids.tolist(), true.tolist(), strict=True)]) >= 0.9
 
 
+def test_audit_counts_no_row_as_its_own_link():
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(2000, 32))
+    base[1000:1026] = base[:26] + rng.normal(size=(26, 32)) * 0.05
+    x = (base / np.linalg.norm(base, axis=1, keepdims=True)).astype("f4")
+    world = embedding_dedup.SmallWorld(x, np.arange(len(x)))
+    full = world.search
+
+    def blind(q, beam):  # a search that finds a row itself but loses the links of the copies
+        ids, sims = full(q, beam)
+        gone = (sims < 0.9999) & (sims >= 0.9)
+        return np.where(gone, -1, ids), np.where(gone, -2, sims)
+
+    world.search = blind
+    beam = embedding_dedup.audited_beam(world, 0.9, 0.98)
+    true = x @ x.T >= 0.9
+    assert [sorted(found.tolist()) for found in world.within(x, 0.9, beam)] == [np.flatnonzero(r).tolist() for r in true]
+
+
+def test_rows_without_a_path_are_found():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 16))
+    x[700:740] = x[:40] + rng.normal(size=(40, 16)) * 0.02
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+    world = embedding_dedup.SmallWorld(x, np.arange(len(x)))
+    cut = np.isin(np.arange(len(x)), range(700, 740))
+    world.levels[0] = np.where(np.isin(world.levels[0], np.flatnonzero(cut)), -1, world.levels[0])
+    world.reach()
+    assert set(np.flatnonzero(cut)) <= set(world.loose) | {world.entry}
+    found = world.within(x[:40], 0.9, 32)
+    assert all(700 + k in f for k, f in enumerate(found))
+
+
+def test_links_are_counted_for_both_sides(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(1, 8)) + rng.normal(size=(90, 8)) * 0.25
+    rows = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(base)], "vec_id bigint, embedding array<float>")
+    x = np.array([r.embedding for r in rows.collect()], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    for block in (4096, 20):
+        got = {r.vec_id: r.n_links for r in embedding_dedup.cosine_components(rows, block=block).collect()}
+        assert [got[i] for i in range(90)] == want.tolist()
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.cosine_components(vectors(spark).limit(0)).count() == 0
 
