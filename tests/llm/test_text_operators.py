@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.llm import decontaminate, jaccard, line_dedup, pitman_yor, quality, suffix_dedup, textbytes
+from plinth.llm import decontaminate, jaccard, line_dedup, pitman_yor, quality, shared, suffix_dedup, textbytes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id bigint, text string, id string, a string, key int"
@@ -156,6 +156,16 @@ def test_lines(spark):
     assert kept[9] == "\n\n" and kept[3] is None and kept[4] == "" and line_dedup.drop_repeated_lines(docs).columns == docs.columns
 
 
+def test_short_lines_go_where_they_are_equal(spark):
+    rows = [(1, "Les.\nneu\n\n"), (2, "neu\nLes.\n\nLet.\nLes."), (3, None), (4, "x" * 19), (5, "x" * 19), (6, "x" * 20)]
+    kept = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert kept == {1: "Les.\nneu\n\n", 2: "\nLet.", 3: None, 4: "x" * 19, 5: "", 6: "x" * 20}
+    path = shared.scratch(spark, "sf")
+    frame(spark, rows).write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.removed_lines) for r in line_dedup.op1_line_dedup(spark, path).collect()}
+    assert got == {1: (0, ""), 2: (3, "0,1,4"), 3: (0, ""), 4: (0, ""), 5: (1, "0"), 6: (0, "")}
+
+
 def test_line_plan_is_native(spark, rows):
     plan = line_dedup.candidate_pairs(frame(spark, rows).select(F.xxhash64("text").alias("id"), F.col("text").alias("line")), 2)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
