@@ -62,21 +62,24 @@ def merged(previous: DataFrame, fresh: DataFrame, touched: DataFrame, key: str)
     return previous.join(touched, key, "left_anti").unionByName(fresh.join(touched, key, "left_semi"))
 
 
-def hops(edges: DataFrame, start: DataFrame, most: int = 1_000) -> DataFrame:
+def hops(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, hops) of every node that undirected edges (a, b) lead to from the start nodes, one job a step.
 
-    Each step joins the last frontier alone; done when it is empty.
+    Each step joins the last frontier alone; done when it is empty.  Neighbours of
+    a step's nodes are of that step, the one before or the next, so only the last
+    two frontiers are held against what is found, and plans don't grow.
     """
     both = kept(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b and a is not null and b is not null").distinct())
-    reached = kept(start.select("node").distinct().withColumn("hops", F.lit(0).cast("bigint")))
-    frontier = reached
-    for step in range(1, most + 1):
+    spark, folder = both.sparkSession, scratch(both.sparkSession, "hops")
+    frontier = kept(start.select("node").distinct().withColumn("hops", F.lit(0).cast("bigint")))
+    before, step = frontier.limit(0), 0
+    while not frontier.isEmpty() or not step:
+        frontier.write.mode("append").parquet(folder)
+        step += 1
         found = both.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        frontier = kept(found.join(reached, "node", "left_anti").withColumn("hops", F.lit(step).cast("bigint")))
-        if frontier.isEmpty():
-            return reached
-        reached = reached.union(frontier)
-    return reached
+        known = frontier.select("node").union(before.select("node"))
+        before, frontier = frontier, kept(found.join(known, "node", "left_anti").withColumn("hops", F.lit(step).cast("bigint")))
+    return spark.read.schema(before.schema).parquet(folder)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

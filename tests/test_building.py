@@ -1,6 +1,7 @@
 """Every registered query of the derived building against its SQL; evacuation against a plain search."""
 
 import heapq
+import inspect
 import math
 
 import duckdb
@@ -83,3 +84,11 @@ def test_hops_and_components(spark):
     assert {tuple(r) for r in graph.hops(edges, start).collect()} == {("a", 0), ("b", 1), ("c", 2)}
     nodes = spark.createDataFrame([(n,) for n in "abcxyz"], "node string")
     assert {r.node: r.component for r in graph.components(nodes, edges.filter("b is not null")).collect()} == dict(a="a", b="a", c="a", x="x", y="x", z="z")
+
+
+def test_hops_have_no_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(3, 20), (20, 5)], "a int, b int")
+    found = graph.hops(edges, spark.createDataFrame([(0,)], "node int"))
+    assert {tuple(r) for r in found.collect()} == {(i, i) for i in range(13)} | {(20, 4)}
+    assert "most" not in inspect.signature(graph.hops).parameters and "Union" not in found._jdf.queryExecution().toString()
+    assert graph.hops(edges, spark.createDataFrame([], "node int")).count() == 0
