@@ -38,12 +38,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component, the one with its smallest id; of rows that repeat an id one stays; rows without id stay."""
+    """One row of each component, one with its smallest id; of equal texts with one id one stays; rows without id stay.
+
+    Rows are told apart by a hash of id and text, so different texts with one id are different documents.
+    """
     docs = docs.select(COLUMNS)
-    found = jaccard.jaccard_components(docs, n=5, num=80, den=100)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(COLUMNS)
+    keyed = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = jaccard.jaccard_components(keyed.select("key", "text"), id_column="key", n=5, num=80, den=100)
+    named = found.select("key", "component_id").join(keyed.select("key", "doc_id").distinct(), "key")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key")).select("key")
+    one = keyed.join(kept, "key", "left_semi").dropDuplicates(["key"])
+    return one.select(COLUMNS).unionByName(docs.filter("doc_id is null")).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

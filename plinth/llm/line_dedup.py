@@ -150,10 +150,15 @@ def close(a: Column, b: Column, edits: int) -> Column:
     return _once(differing(a, b), lambda p: F.when(plausible(p["a"], p["b"], edits), banded_distance(F.concat(pad, p["a"]), F.concat(pad, p["b"]), edits) <= edits).otherwise(False))
 
 
+def _row(id_column: str, text_column: str) -> Column:
+    """What tells rows apart: a hash of id and text."""
+    return F.xxhash64(F.lit(0), F.col(id_column).isNull(), F.col(id_column), F.col(text_column).cast("string"))
+
+
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc, line_no, line): the lines of every text, numbered from 0."""
-    rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
-    return rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """(doc, row, line_no, line): the lines of every text, numbered from 0."""
+    rows = docs.select(F.col(id_column).alias("doc"), _row(id_column, text_column).alias("row"), F.col(text_column).cast("string").alias("text"))
+    return rows.select("doc", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 #: Letters whose counts are compared before any text is: an edit changes at most two of them, by one.
@@ -204,16 +209,16 @@ def _among(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = 2, min_chars: int = 20, shortest: int | None = None) -> DataFrame:
-    """(doc, line_no) of the lines to remove: those whose class has an earlier line.
+    """(doc, row, line_no) of the lines to remove: those whose class has an earlier line.
 
     Null texts have no lines.  Lines under `min_chars` and of `shortest` characters
     or more link with equal ones only; those under both are never removed.  Rows
-    without id come first.  Rows that repeat an id are one document whose lines with the same
-    number tie: one of them counts as the first, and equal ones go or stay
-    together.
+    without id come first.  Rows of one id and
+    different texts are told apart by `row`; equal rows tie, and their lines go or
+    stay together.
     """
     lines = _lines(docs, id_column, text_column)
-    equal = lines.filter(F.length("line") >= (min_chars if shortest is None else min(shortest, min_chars))).select(F.xxhash64("line").alias("id"), "doc", "line_no", "line")
+    equal = lines.filter(F.length("line") >= (min_chars if shortest is None else min(shortest, min_chars))).select(F.xxhash64("line").alias("id"), "doc", "row", "line_no", "line")
     taking = equal.filter(F.length("line") >= min_chars)
     pairs = shared.table(candidate_pairs(taking, edits), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -222,15 +227,15 @@ def line_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     spread = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but much to compute
     links = shared.table(spread.filter(close(F.col("a_line"), F.col("b_line"), edits)).select("a", "b"), "links")
     classes = components(links)
-    places = equal.select("id", "doc", "line_no").join(classes, "id", "left").select("doc", "line_no", F.coalesce("component", "id").alias("class"))
-    first = places.groupBy("class").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return places.join(first, "class").filter(~F.struct("doc", "line_no").eqNullSafe(F.col("first"))).select("doc", "line_no").distinct()
+    places = equal.select("id", "doc", "row", "line_no").join(classes, "id", "left").select("doc", "row", "line_no", F.coalesce("component", "id").alias("class"))
+    first = places.groupBy("class").agg(F.min(F.struct("doc", "line_no", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return places.join(first, "class").filter(~F.struct("doc", "line_no", "row").eqNullSafe(F.col("first"))).select("doc", "row", "line_no").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options: int) -> DataFrame:
     """All rows and columns, without the removed lines in the text column; null texts stay null."""
-    gone = line_classes(docs, id_column=id_column, text_column=text_column, **({"shortest": 1} | options)).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, F.col(id_column).eqNullSafe(F.col("__doc")), "left")
+    gone = line_classes(docs, id_column=id_column, text_column=text_column, **({"shortest": 1} | options)).groupBy(F.col("row").alias("__row")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = docs.join(gone, _row(id_column, text_column) == F.col("__row"), "left")
     kept = F.filter(F.split(text_column, "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
     return joined.withColumn(text_column, F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
@@ -238,7 +243,7 @@ def drop_repeated_lines(docs: DataFrame, *, id_column: str = "doc_id", text_colu
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (numbers from 0, ascending, comma-joined) of every document."""
     docs = shared.load(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = line_classes(docs, shortest=1).groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint").alias("n_lines"))
+    gone = line_classes(docs, shortest=1).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    lines = docs.select("doc_id", _row("doc_id", "text").alias("row"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint").alias("n_lines"))
     numbers = F.array_join(F.col("gone").cast("array<string>"), ",")
-    return lines.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(numbers, F.lit("")).alias("removed_lines"))
+    return lines.join(gone, "row", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(numbers, F.lit("")).alias("removed_lines"))

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline as p
-from plinth.llm import shared
+from plinth.llm import line_dedup, shared
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -95,3 +95,17 @@ def test_edges(spark, sf_dir):
     for _, stage in p.STAGES:
         none = shared.table(stage(spark, none, sf_dir), "test-none")
     assert none.count() == 0
+
+
+def test_different_texts_under_one_id(spark, sf_dir):
+    same = " ".join(f"wort{k}" for k in range(60))
+    rows = [(3, same), (5, same + " neu"), (5, "etwas ganz anderes\nund mehr"), (7, "erste Zeile\nzweite"), (8, "erste Zeile"), (8, "einzig"), (None, "ohne id und\nund mehr")]
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in rows], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    left = p.drop_near_copies(spark, docs, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(i), t) for i, t in rows if t != same + " neu")
+    cut = {(r.doc_id, r.text) for r in p.drop_lines(spark, docs, sf_dir).collect()}
+    assert {(5, "etwas ganz anderes"), (7, "erste Zeile\nzweite"), (8, ""), (8, "einzig"), (None, "ohne id und\nund mehr")} <= cut
+    path = shared.scratch(spark, "sf")
+    spark.createDataFrame([(1, "gut so"), (None, "gut so\ngut so")], "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: r.removed_lines for r in line_dedup.op1_line_dedup(spark, path).collect()}
+    assert got == {None: "1", 1: "0"}
