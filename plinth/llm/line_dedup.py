@@ -5,21 +5,28 @@ characters) is at most `edits`; lines shorter than `min_chars` take no part in
 that.  The query and the pipeline also link equal lines of any length but 0
 (`shortest`).  A linked class keeps the line that comes first by (id, line number).
 
-1. A line is cut into edits + 1 segments.  Of a pair within the distance, one
-   segment of the shorter line stands unchanged in the other, at a place that the
-   segment's number and the two lengths confine (at most edits + 1 - difference
-   places for a middle segment).  Index keys are hashes of (length, number,
-   segment); probe keys those of the substrings at the possible places, for every
-   length from edits less to the same.  Keys are made where the lines are read;
-   only hashes are shuffled, once for distinct lines and once by key.
-2. Keys carry counts of eight letters.  An edit changes two of them by one at most,
-   so lines that share a segment and differ elsewhere by more than the edits allow
-   are told apart where the keys meet, before any pair is made.
+1. Lengths are cut into bands.  A band gives edits + 1 segments of equal size, the
+   first ones counted from the line's start, the last ones from its end; of a pair
+   within the distance one segment of either line stands unchanged in the other,
+   moved by no more than the number of segments before it (or behind it).  Keys are
+   hashes of (band, number, segment).  For two edits a line has its three segments
+   and the middle one moved by one; a line whose partners may be in the band below
+   has that band's four keys, too.  Keys are made where lines are read; only hashes
+   are shuffled, once for distinct lines and once by key.
+2. A key that more than `most_lines` lines have as a segment is a hot one.  Its
+   lines meet a pivot first (the most frequent line), then they are cut again: without
+   the shared segment (a mark stands for it) and what all of them start and end with,
+   what is left must be within the distance, too, so its segments are keys again.
+   Lines that link with the pivot are linked with each other through it, and go on
+   only where a line is within twice the distance of the pivot.  When little is left,
+   lines meet by what they are after the edits (deletions, wildcards), each of these
+   groups being linked in a star.  All of it finds the same classes as all pairs do.
 3. Candidates are verified with the banded bit-parallel recurrence: 2 edits + 1
    diagonals in a machine word, one step for each character that the two do not share
    at their ends.
 
-A line's identity is a 64-bit hash of it.
+A line's identity is its MD5; 64-bit hashes only choose candidates.  Empty tables
+give empty results; the length of a line isn't bounded.
 """
 
 from __future__ import annotations
@@ -30,40 +37,61 @@ from pyspark.sql import functions as F
 from plinth.llm import shared
 from plinth.llm.components import components
 
+#: At most so many rows are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """(first character, from 1; characters) of a segment of a line of that length: even parts, the longer ones last."""
-    parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts  # so many of the last are one longer
-    before = F.lit(number) - 1
-    ahead = F.greatest(before - (F.lit(parts) - longer), F.lit(0))
-    return (before * short + ahead + 1).cast("int"), (short + (before >= F.lit(parts) - longer).cast("int")).cast("int")
+#: Noncharacters of Unicode, one for each round of cutting: they stand for a segment that was taken out.
+_MARKS = [chr(0xFDD0 + k) for k in range(32)]
 
 
-def _key(length: Column, number: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), piece)
+def _low(size: Column) -> Column:
+    """The smallest length in a length's band: bands are 4 wide, from 64 on a sixteenth to an eighth of the length."""
+    power = F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double") + 0.5)).cast("int")
+    width = F.greatest(F.lit(4), F.call_function("shiftleft", F.lit(1), F.greatest(power - 3, F.lit(0))))
+    return (size - F.pmod(size, width)).cast("int")
 
+def _moves(edits: int) -> list[tuple[int, int]]:
+    """(number, move) of a band's spots: the segments from 1, as they stand (0) and moved."""
+    if edits > 4:
+        raise ValueError("bands are too narrow for more than four edits")
+    most = [min(i - 1, edits + 1 - i) for i in range(1, edits + 2)]
+    return [(i, move) for i, m in enumerate(most, 1) for move in range(0 if edits == 2 else -m, m + 1)]
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of the segments of a line of that many characters."""
-    parts = [_segment(length, i, edits) for i in range(1, edits + 2)]
-    return [_key(length, i, F.substr(line, *p)) for i, p in enumerate(parts, 1)]
 
+def _with_bands(rows: DataFrame, text: str, edits: int) -> DataFrame:
+    """The rows with the text's length (__size), its band's smallest length (__low0) and that of the band below (__low1), null where no partner is there."""
+    sized = rows.withColumn("__size", F.length(text)).withColumn("__low0", _low(F.col("__size")))
+    below = F.when((F.col("__size") - F.col("__low0") < edits) & (F.col("__low0") > 0), _low(F.col("__low0") - 1))
+    return sized.withColumn("__low1", below)
 
-def probe_keys(line: Column, own: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that can be a segment of a line that is as long or up to `edits` shorter; null beyond the line's ends."""
-    out = []
-    for less in range(edits + 1):
-        length = own - less
-        for i in range(1, edits + 2):
-            first, size = _segment(length, i, edits)
-            for move in range(max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i)) + 1):
-                inside = (first + move >= 1) & (first + move + size - 1 <= own)
-                out.append(F.when(inside, _key(length, i, F.substr(line, first + move, size))))
+
+def _spots(edits: int) -> list[dict]:
+    """Where a line of _with_bands can share a segment: low (of the band), number, at (from 0), long, own (not moved); low is null where there is none.
+
+    The spots of the line's own band come first, then those of the one below it.
+    """
+    size, out = F.col("__size"), []
+    for low in (F.col("__low0"), F.col("__low1")):
+        long = F.floor(low / (edits + 1)).cast("int")
+        for i, move in _moves(edits):
+            first = long * (i - 1) if i - 1 <= edits + 1 - i else size - long * (edits + 2 - i)
+            at = first + move
+            fits = (long > 0) & (at + long <= size) & (at >= 0) if move else long > 0
+            out.append({"low": F.when(fits, low), "number": i, "at": at.cast("int"), "long": long, "own": move == 0})
     return out
 
 
+def _key(group: Column, text: Column, spot: dict) -> Column:
+    """Null where there is no such segment."""
+    segment = F.substr(text, spot["at"] + 1, spot["long"])
+    return F.when(spot["low"].isNotNull(), F.xxhash64(group, spot["low"], F.lit(spot["number"]), segment))
+
+
+def _without(text: Column, spot: dict, mark: str) -> Column:
+    """The text with a mark for the segment."""
+    return F.concat(F.substr(text, F.lit(1), spot["at"]), F.lit(mark), F.substr(text, spot["at"] + spot["long"] + 1, F.length(text)))
+
+
 def banded_distance(left: Column, right: Column, edits: int) -> Column:
     """Edit distance of two strings whose lengths differ by `edits` at most; what is above `edits` is only known to be so.
 
@@ -144,10 +172,20 @@ def plausible(a: Column, b: Column, edits: int) -> Column:
     return (F.greatest(F.length(a), F.length(b)) <= 16) | between(1, 1) | between(1, 0) | between(0, 1)
 
 
+def distance(a: Column, b: Column, most: int) -> Column:
+    """Edit distance of two strings, or any number above `most` where it is above; what they share at their ends, and equal characters before both, leave it as it is."""
+    pad = F.lit("#" * most)
+
+    def between(p: Column) -> Column:
+        near = (F.abs(F.length(p["a"]) - F.length(p["b"])) <= most) & plausible(p["a"], p["b"], most)
+        return F.when(near, banded_distance(F.concat(pad, p["a"]), F.concat(pad, p["b"]), most)).otherwise(most + 1)
+
+    return _once(differing(a, b), between)
+
+
 def close(a: Column, b: Column, edits: int) -> Column:
-    """Whether two lines are within the edits; what they share at their ends, and equal characters before both, leave the distance as it is."""
-    pad = F.lit("#" * edits)
-    return _once(differing(a, b), lambda p: F.when(plausible(p["a"], p["b"], edits), banded_distance(F.concat(pad, p["a"]), F.concat(pad, p["b"]), edits) <= edits).otherwise(False))
+    """Whether two lines are within the edits."""
+    return distance(a, b, edits) <= edits
 
 
 def _row(id_column: str, text_column: str) -> Column:
@@ -184,51 +222,180 @@ def counts_apart(a: Column, b: Column) -> Column:
     return out
 
 
-def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): distinct pairs of line ids that share an index and a probe key; a's line isn't longer than b's."""
-    line, size = F.col("line"), F.col("size")
-    own = {f"own_{i}": k for i, k in enumerate(index_keys(line, size, edits))}
-    probes = {f"probe_{i}": k for i, k in enumerate(probe_keys(line, size, edits))}
-    keyed = lines.withColumn("size", F.length("line")).select("id", "size", letter_counts(line, size).alias("letters"), *(k.alias(n) for n, k in (own | probes).items()))
-    known = keyed.groupBy("id").agg(*(F.first(c).alias(c) for c in ("size", "letters", *own, *probes)))
-    table = shared.table(known, "keys", compression="zstd")
-    left = table.select(F.explode(F.array(*own)).alias("key"), F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("letters").alias("a_letters"))
-    right = table.select(F.explode(F.array(*probes)).alias("key"), F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("letters").alias("b_letters")).filter("key is not null")
-    ordered = (F.col("b_size") > F.col("a_size")) | ((F.col("b_size") == F.col("a_size")) & (F.col("a") < F.col("b")))
-    met = left.join(right, "key").filter(ordered & (counts_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * edits))
-    return met.select("a", "b").distinct()
+def _few(df: DataFrame, name: str, most: int = MOST_BROADCAST) -> DataFrame:
+    """The rows as a written table, to be broadcast if they are `most` at most."""
+    table = shared.table(df, name)
+    return F.broadcast(table) if table.count() <= most else table
 
 
-def _among(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is among `ids`; a bitmap of 2 ** 22 bits (at most 65,536 rows, which are broadcast) keeps most others from the shuffle."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 22))
-    bits = ids.select(slot("id").alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    rows = lines.withColumn("slot", slot("id")).withColumn("word", F.floor(F.col("slot") / 64))
-    likely = rows.join(F.broadcast(bits), "word").filter(F.expr("bits & shiftleft(1L, cast(slot % 64 as int)) <> 0"))
-    return likely.drop("slot", "word", "bits").join(ids, "id", "left_semi")
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly: few bytes, but much to compute."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def line_classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = 2, min_chars: int = 20, shortest: int | None = None) -> DataFrame:
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(id, n, k0, k1, ...): distinct lines of (id, line), how often each stands there, and the keys of its spots."""
+    spots = _spots(edits)
+    names = [f"k{k}" for k in range(len(spots))]
+    keyed = _with_bands(lines, "line", edits).select("id", *(_key(F.lit(0), F.col("line"), s).alias(k) for k, s in zip(names, spots, strict=True)))
+    return keyed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *(F.first(k).alias(k) for k in names))
+
+
+def _by_key(known: DataFrame, edits: int) -> DataFrame:
+    """(key, id, n, spot, own): the keys of segment_keys as rows; id is a 64-bit hash of the line's."""
+    own = [move == 0 for _, move in _moves(edits)] * 2
+    each = F.array(*(F.struct(F.col(f"k{k}").alias("key"), F.lit(k).alias("spot"), F.lit(o).alias("own")) for k, o in enumerate(own)))
+    return known.select(F.xxhash64("id").alias("id"), "n", F.inline(each)).filter("key is not null")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): distinct pairs of ids that share a key, at least one of them as its own."""
+    own = rows.filter("own").select("key", F.col("id").alias("a"))
+    other = rows.filter("not own").select("key", F.col("id").alias("b"))
+    same = own.join(own.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
+    moved = other.join(own, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.union(moved).distinct()
+
+
+def _variants(rows: DataFrame, edits: int) -> DataFrame:
+    """(key, id, tag, variant, middle): what texts of at most a dozen characters are after two edits at most.
+
+    Texts within two edits share a variant of which one is the middle, and all texts
+    that share a variant are within two edits of its middles: two characters
+    replaced, one deleted in both, two deleted in one, one replaced in both and
+    one deleted in one.
+    """
+    if edits != 2:
+        raise ValueError("variants are those of two edits")
+    t, wild = F.col("tail"), F.lit(chr(0xFFFE))
+    places = lambda x: F.when(F.length(x) > 0, F.sequence(F.lit(0), F.length(x) - 1)).otherwise(F.array().cast("array<int>"))
+    after = lambda x, i: F.substr(x, i + 2, F.length(x))
+    less = lambda x: F.transform(places(x), lambda i: F.concat(F.substr(x, F.lit(1), i), after(x, i)))
+    blank = lambda x: F.transform(places(x), lambda i: F.concat(F.substr(x, F.lit(1), i), wild, after(x, i)))
+    twice = lambda f, g: F.array_distinct(F.flatten(F.transform(f(t), g)))
+    kinds = [
+        ("tiny", F.when(F.length(t) <= 2, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), True),
+        ("replaced", twice(blank, blank), True),
+        ("moved", F.array_distinct(less(t)), True),
+        ("deleted", F.array(t), True),
+        ("deleted", twice(less, less), False),
+        ("mixed", F.array_distinct(blank(t)), True),
+        ("mixed", twice(less, blank), False),
+    ]
+
+    def named(tag: str, middle: bool):
+        return lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("variant"), F.lit(middle).alias("middle"))
+
+    each = F.flatten(F.array(*(F.transform(v, named(tag, middle)) for tag, v, middle in kinds)))
+    sized = F.when(F.col("tag") == "moved", F.length("tail")).otherwise(0)
+    return rows.select("key", "id", "tail", F.inline(each)).select("key", "id", F.concat("tag", sized.cast("string")).alias("tag"), "variant", "middle")
+
+
+def _stars(variants: DataFrame) -> DataFrame:
+    """(a, b): each text with the smallest middle of each of its variants."""
+    middles = variants.filter("middle").groupBy("key", "tag", "variant").agg(F.min("id").alias("a"))
+    return variants.join(middles, ["key", "tag", "variant"]).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
+def _cut(rows: DataFrame, edits: int, mark: str) -> DataFrame:
+    """(key, id, n, rest): rows of (key, id, n, tail) by the keys of their tails' segments, without the segment."""
+    tail = F.col("tail")
+    each = F.array(*(F.struct(_key(F.col("key"), tail, s).alias("key"), _without(tail, s, mark).alias("rest")) for s in _spots(edits)))
+    return _with_bands(rows, "tail", edits).select("id", "n", F.inline(each)).filter("key is not null").select("key", "id", "n", "rest")
+
+
+def hot_links(rows: DataFrame, edits: int, most_lines: int, within: Column, shortest: int = 10) -> list[DataFrame]:
+    """(a, b) tables of pairs within the edits that connect all such pairs of rows (key, id, n, rest) of one key.
+
+    Groups of at most `most_lines` rows are compared; others meet a pivot, lose what
+    they have in common, and are cut into segments again, or into variants where
+    at most `shortest` characters, or `edits` more, are left.  `within` tells whether
+    a_text and b_text are within the edits.
+    """
+    found = []
+    near = distance(F.col("tail"), F.col("pivot_tail"), 2 * edits)  # built once: it is a large expression
+    for mark in _MARKS[1:] * 99:
+        rows = shared.table(rows, "hot")
+        rest = F.col("rest")
+        ends = [F.min(rest).alias("low"), F.max(rest).alias("high"), F.min(F.reverse(rest)).alias("r_low"), F.max(F.reverse(rest)).alias("r_high"), F.min(F.length(rest)).alias("least")]
+        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.max(F.struct("n", "id", "rest")).alias("pivot"), *ends).filter("lines > 1")
+        groups = groups.withColumn("start", common_start(_pair(F.col("low"), F.col("high"))))
+        groups = groups.withColumn("end", F.least(common_start(_pair(F.col("r_low"), F.col("r_high"))), F.col("least") - F.col("start")))
+        inner = lambda x: F.substr(x, F.col("start") + 1, F.length(x) - F.col("start") - F.col("end"))
+        groups = _few(groups.select("key", "lines", "start", "end", F.col("pivot.id").alias("pivot"), inner(F.col("pivot.rest")).alias("pivot_tail")), "groups", 100_000)
+        cut = rows.join(groups, "key").withColumn("tail", inner(F.col("rest"))).withColumn("letters", letter_counts(F.col("tail"), F.length("tail")))
+        cut = cut.withColumn("pivot_letters", letter_counts(F.col("pivot_tail"), F.length("pivot_tail")))
+        apart = counts_apart(F.col("letters"), F.col("pivot_letters"))
+        d = F.when(F.col("lines") > most_lines, F.when(apart <= 4 * edits, near).otherwise(2 * edits + 1))
+        state = F.when(F.col("d").isNull(), 1).when(F.col("d") <= edits, 0).when(F.col("d") <= 2 * edits, 1).otherwise(2)
+        met = shared.table(cut.withColumn("d", d).select("key", "id", "n", "tail", "pivot", state.alias("state")), "met")
+        found.append(met.filter("state = 0 and id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+        others = F.count(F.when(F.col("state") > 0, 1))
+        counts = met.groupBy("key").agg(F.when(F.max(F.when(F.col("state") == 1, 1)).isNotNull(), F.count(F.lit(1))).otherwise(others).alias("left"), others.alias("others"))
+        going = _few(counts.filter("others > 0 and left > 1"), "going")
+        on = met.join(going, "key").filter("state > 0 or left > others").select("key", "id", "n", "tail", "left")
+        small = on.filter(F.col("left") <= most_lines).withColumn("letters", letter_counts(F.col("tail"), F.length("tail")))
+        a, b = (small.select("key", F.col("id").alias(x), F.col("tail").alias(f"{x}_text"), F.col("letters").alias(f"{x}_letters")) for x in "ab")
+        likely = a.join(b, "key").filter((F.col("a") < F.col("b")) & (counts_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * edits))
+        found.append(shared.table(_spread(likely).filter(within).select("a", "b"), "links"))
+        large = on.filter(F.col("left") > most_lines)
+        found.append(shared.table(_stars(_variants(large.filter(F.length("tail") <= shortest + edits), edits)), "stars"))
+        rows = _cut(large.filter(F.length("tail") > shortest), edits, mark)
+        if large.isEmpty():
+            return found
+    raise RuntimeError("lines too long to be cut")
+
+
+def line_links(lines: DataFrame, known: DataFrame, edits: int, most_lines: int) -> DataFrame:
+    """(a, b): ids of lines within the edits of each other, as many as connect all such lines; lines has (id, line), known is segment_keys of it."""
+    keyed = _by_key(known, edits)
+    hot = _few(keyed.filter("own").groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > most_lines).select("key"), "hot-keys")
+    pairs = shared.table(_pairs(keyed.join(hot, "key", "left_anti").select("key", "id", "own")), "pairs")
+    crowded = shared.table(keyed.join(hot, "key", "left_semi").select("key", "id", "n", "spot"), "crowded")
+    wanted = _few(pairs.select(F.col("a").alias("short")).union(pairs.select("b")).union(crowded.select("id")).distinct(), "wanted")
+    texts = shared.table(lines.withColumn("short", F.xxhash64("id")).join(wanted, "short", "left_semi").dropDuplicates(["id"]), "texts", compression="zstd")
+
+    named = texts.withColumn("letters", letter_counts(F.col("line"), F.length("line")))
+    a, b = (named.select(F.col("short").alias(x), F.col("id").alias(f"{x}_id"), F.col("line").alias(f"{x}_text"), F.col("letters").alias(f"{x}_letters")) for x in "ab")
+    likely = pairs.join(a, "a").join(b, "b").filter(counts_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * edits)
+    within = close(F.col("a_text"), F.col("b_text"), edits)
+    links = _spread(likely).filter(within).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    if crowded.isEmpty():
+        return links
+
+    spots, spot = _spots(edits), F.col("spot")
+    of = lambda what: F.coalesce(*(F.when(spot == k, s[what]) for k, s in enumerate(spots)))
+    placed = _with_bands(crowded.withColumnRenamed("id", "short").join(texts, "short"), "line", edits)
+    placed = placed.withColumn("at", of("at")).withColumn("long", of("long"))
+    rest = _without(F.col("line"), {"at": F.col("at"), "long": F.col("long")}, _MARKS[0])
+    rows = placed.select("key", "id", "n", rest.alias("rest"))
+    for more in hot_links(rows, edits, most_lines, within):
+        links = links.union(more)
+    return links
+
+
+def line_classes(
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = 2, min_chars: int = 20, shortest: int | None = None, most_lines: int = 64
+) -> DataFrame:
     """(doc, row, line_no) of the lines to remove: those whose class has an earlier line.
 
     Null texts have no lines.  Lines under `min_chars` and of `shortest` characters
     or more link with equal ones only; those under both are never removed.  Rows
-    without id come first.  Rows of one id and
-    different texts are told apart by `row`; equal rows tie, and their lines go or
-    stay together.
+    without id come first.  Rows of one id and different texts are told apart by
+    `row`; equal rows tie, and their lines go or stay together.  `most_lines` is the
+    size up to which a key's lines are compared with each other; results don't
+    depend on it.
     """
-    lines = _lines(docs, id_column, text_column)
-    equal = lines.filter(F.length("line") >= (min_chars if shortest is None else min(shortest, min_chars))).select(F.xxhash64("line").alias("id"), "doc", "row", "line_no", "line")
-    taking = equal.filter(F.length("line") >= min_chars)
-    pairs = shared.table(candidate_pairs(taking, edits), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = _among(taking.select("id", "line"), ids).groupBy("id").agg(F.first("line").alias("line"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
-    spread = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but much to compute
-    links = shared.table(spread.filter(close(F.col("a_line"), F.col("b_line"), edits)).select("a", "b"), "links")
+    lines = _lines(docs, id_column, text_column).withColumn("id", F.unhex(F.md5("line")))
+    size = F.length("line")
+    equal = lines.filter(size >= (min_chars if shortest is None else min(shortest, min_chars)))
+    taking = lines.filter(size >= min_chars).select("id", "line")
+    known = shared.table(segment_keys(equal.select("id", F.when(size >= min_chars, F.col("line")).alias("line")), edits), "keys", compression="zstd")
+    links = shared.table(line_links(taking, known, edits, most_lines), "links")
     classes = components(links)
-    places = equal.select("id", "doc", "row", "line_no").join(classes, "id", "left").select("doc", "row", "line_no", F.coalesce("component", "id").alias("class"))
-    first = places.groupBy("class").agg(F.min(F.struct("doc", "line_no", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    several = known.filter("n > 1").select("id").join(classes, "id", "full").select("id", F.coalesce("component", "id").alias("class"))
+    places = equal.select("id", "doc", "row", "line_no").join(_few(several, "several", 200_000), "id")
+    first = places.groupBy("class").agg(F.min(F.struct("doc", "line_no", "row")).alias("first"))
     return places.join(first, "class").filter(~F.struct("doc", "line_no", "row").eqNullSafe(F.col("first"))).select("doc", "row", "line_no").distinct()
 
 

@@ -152,8 +152,9 @@ def test_lines(spark):
         if first.setdefault(label[k], (i, n)) != (i, n):
             want.add((i if i >= 0 else None, n))
     assert got == want
-    kept = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()}
-    assert kept[9] == "\n\n" and kept[3] is None and kept[4] == "" and line_dedup.drop_repeated_lines(docs).columns == docs.columns
+    cut = line_dedup.drop_repeated_lines(docs)
+    kept = {r.doc_id: r.text for r in cut.collect()}
+    assert kept[9] == "\n\n" and kept[3] is None and kept[4] == "" and cut.columns == docs.columns
 
 
 def test_short_lines_go_where_they_are_equal(spark):
@@ -166,9 +167,78 @@ def test_short_lines_go_where_they_are_equal(spark):
     assert got == {1: (0, ""), 2: (3, "0,1,4"), 3: (0, ""), 4: (0, ""), 5: (1, "0"), 6: (0, "")}
 
 
+def classes_of(lines, edits=2):
+    """The smallest line of each class, by brute force."""
+    label = list(range(len(lines)))
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        if label[i] != label[j] and abs(len(lines[i]) - len(lines[j])) <= edits and within(lines[i], lines[j], edits):
+            label = [label[i] if x == label[j] else x for x in label]
+    return label
+
+
+def edited(rng, line, times):
+    line = list(line)
+    for _ in range(times):
+        at = int(rng.integers(0, len(line) + 1))
+        kind = rng.integers(0, 3)
+        line[at : at + int(kind > 0)] = [str(rng.choice(list("abé7 ")))] * int(kind != 2)
+    return "".join(line)
+
+
+def crowd(seed):
+    """Lines with segments in common: copies with edits, chains of edits, numbers in a form, words changed."""
+    rng = np.random.default_rng(seed)
+    base = [prose(seed, 6), prose(seed + 1, 12), "ab" * 14, "x" * 30]
+    lines = [edited(rng, b, int(rng.integers(0, 6))) for b in base for _ in range(40)]
+    for _ in range(40):
+        lines.append(edited(rng, lines[-1], 2))
+    form = prose(seed + 2, 9)
+    lines += [f"{form} {rng.integers(0, 10 ** int(rng.integers(1, 7)))} {form[:20]}" for _ in range(90)]
+    for _ in range(60):
+        w = form.split()
+        w[int(rng.integers(0, len(w)))] = str(rng.choice(["Rad", "Bad", "Wetter", "Fahrt", "Anfang"]))
+        lines.append(" ".join(w))
+    return sorted({x for x in lines if len(x) >= 20})
+
+
+@pytest.mark.parametrize("seed, most_lines", [(1, 4), (3, 1000)])
+def test_links_of_crowded_segments_connect_what_all_pairs_do(spark, seed, most_lines):
+    lines = crowd(seed)
+    frame_ = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("id", F.unhex(F.md5("line")))
+    known = shared.table(line_dedup.segment_keys(frame_, 2), "keys")
+    links = line_dedup.line_links(frame_, known, 2, most_lines).collect()
+    index = {hashlib.md5(x.encode()).digest(): i for i, x in enumerate(lines)}
+    label = list(range(len(lines)))
+    for r in links:
+        i, j = index[bytes(r.a)], index[bytes(r.b)]
+        assert within(lines[i], lines[j], 2)
+        if label[i] != label[j]:
+            label = [label[i] if x == label[j] else x for x in label]
+    want = classes_of(lines)
+    group = lambda label: {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+    assert group(label) == group(want) and len(group(want)) > 5
+
+
+@pytest.mark.parametrize("most", [2, 4])
+def test_distance(spark, most):
+    rng = np.random.default_rng(5)
+    pairs = [(x, edited(rng, x, int(rng.integers(0, 7)))) for x in ("", "a", "abba", "ab" * 20, prose(8, 9)) for _ in range(40)]
+    got = spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "a string, b string, i int").select("i", line_dedup.distance(F.col("a"), F.col("b"), most).alias("d")).collect()
+    for r in got:
+        a, b = pairs[r.i]
+        want = next((k for k in range(most + 1) if within(a, b, k)), None)
+        assert r.d == want if want is not None else r.d > most, pairs[r.i]
+
+
 def test_line_plan_is_native(spark, rows):
-    plan = line_dedup.candidate_pairs(frame(spark, rows).select(F.xxhash64("text").alias("id"), F.col("text").alias("line")), 2)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    """Neither the keys' side nor the hot segments' side has a Python worker."""
+    lines = frame(spark, rows).select(F.col("text").alias("line"), F.unhex(F.md5("text")).alias("id"))
+    known = line_dedup.segment_keys(lines, 2)
+    hot = line_dedup._by_key(known, 2).select("key", F.col("id").cast("string").cast("binary").alias("id"), "n", F.lit("abc").alias("rest"))
+    cut = line_dedup._variants(line_dedup._cut(hot.withColumnRenamed("rest", "tail"), 2, "|").withColumnRenamed("rest", "tail"), 2)
+    for plan in (line_dedup._pairs(line_dedup._by_key(known, 2)), line_dedup._stars(cut), line_dedup.line_classes(frame(spark, rows))):
+        text = plan._jdf.queryExecution().toString()
+        assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
 
 
 def test_decontamination(spark, rows):
