@@ -13,8 +13,9 @@ that.  The query and the pipeline also link equal lines of any length but 0
    and the middle one moved by one; a line whose partners may be in the band below
    has that band's four keys, too.  Keys are made where lines are read; only hashes
    are shuffled, once for distinct lines and once by key.
-2. A key that more than `most_lines` lines have as a segment is a hot one.  Its
-   lines meet a pivot first (the most frequent line), then they are cut again: without
+2. A key that more than `most_lines` lines have as a segment is a hot one.  Up to
+   `crowd` of them are compared where their letter counts are close.  More of them
+   meet a pivot first (the most frequent line), then they are cut again: without
    the shared segment (a mark stands for it) and what all of them start and end with,
    what is left must be within the distance, too, so its segments are keys again.
    Lines that link with the pivot are linked with each other through it, and go on
@@ -200,26 +201,21 @@ def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 #: Letters whose counts are compared before any text is: an edit changes at most two of them, by one.
-_LETTERS = "etaoinrs"
+_LETTERS = "etaoinrshdlucmgf"
 
 
 def letter_counts(line: Column, size: Column) -> Column:
-    """Counts of eight letters, modulo 256, in a bigint."""
+    """Counts of sixteen letters, modulo 16, in a bigint, as Gray codes: one more or one less changes one bit."""
     out = F.lit(0).cast("bigint")
     for k, letter in enumerate(_LETTERS):
         n = size - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(255).cast("bigint")), 8 * k))
-    return out
+        out = out.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(15).cast("bigint")), 4 * k))
+    return _once(out, lambda c: c.bitwiseXOR(F.shiftrightunsigned(c, 1).bitwiseAND(F.lit(0x7777777777777777).cast("bigint"))))
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """At most this much the two lines' letter counts differ, in sum; never above the truth."""
-    low = F.lit(255).cast("bigint")
-    out = F.lit(0)
-    for k in range(len(_LETTERS)):
-        d = (F.shiftrightunsigned(a, 8 * k).bitwiseAND(low) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(low) + 128).bitwiseAND(low) - 128
-        out = out + F.abs(d)
-    return out
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def _few(df: DataFrame, name: str, most: int = MOST_BROADCAST) -> DataFrame:
@@ -304,10 +300,10 @@ def _cut(rows: DataFrame, edits: int, mark: str) -> DataFrame:
     return _with_bands(rows, "tail", edits).select("id", "n", F.inline(each)).filter("key is not null").select("key", "id", "n", "rest")
 
 
-def hot_links(rows: DataFrame, edits: int, most_lines: int, within: Column, shortest: int = 10) -> list[DataFrame]:
+def hot_links(rows: DataFrame, edits: int, crowd: int, within: Column, shortest: int = 10) -> list[DataFrame]:
     """(a, b) tables of pairs within the edits that connect all such pairs of rows (key, id, n, rest) of one key.
 
-    Groups of at most `most_lines` rows are compared; others meet a pivot, lose what
+    In groups of at most `crowd` rows, lines with close letter counts are compared; others meet a pivot, lose what
     they have in common, and are cut into segments again, or into variants where
     at most `shortest` characters, or `edits` more, are left.  `within` tells whether
     a_text and b_text are within the edits.
@@ -326,7 +322,7 @@ def hot_links(rows: DataFrame, edits: int, most_lines: int, within: Column, shor
         cut = rows.join(groups, "key").withColumn("tail", inner(F.col("rest"))).withColumn("letters", letter_counts(F.col("tail"), F.length("tail")))
         cut = cut.withColumn("pivot_letters", letter_counts(F.col("pivot_tail"), F.length("pivot_tail")))
         apart = counts_apart(F.col("letters"), F.col("pivot_letters"))
-        d = F.when(F.col("lines") > most_lines, F.when(apart <= 4 * edits, near).otherwise(2 * edits + 1))
+        d = F.when(F.col("lines") > crowd, F.when(apart <= 4 * edits, near).otherwise(2 * edits + 1))
         state = F.when(F.col("d").isNull(), 1).when(F.col("d") <= edits, 0).when(F.col("d") <= 2 * edits, 1).otherwise(2)
         met = shared.table(cut.withColumn("d", d).select("key", "id", "n", "tail", "pivot", state.alias("state")), "met")
         found.append(met.filter("state = 0 and id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
@@ -334,11 +330,12 @@ def hot_links(rows: DataFrame, edits: int, most_lines: int, within: Column, shor
         counts = met.groupBy("key").agg(F.when(F.max(F.when(F.col("state") == 1, 1)).isNotNull(), F.count(F.lit(1))).otherwise(others).alias("left"), others.alias("others"))
         going = _few(counts.filter("others > 0 and left > 1"), "going")
         on = met.join(going, "key").filter("state > 0 or left > others").select("key", "id", "n", "tail", "left")
-        small = on.filter(F.col("left") <= most_lines).withColumn("letters", letter_counts(F.col("tail"), F.length("tail")))
-        a, b = (small.select("key", F.col("id").alias(x), F.col("tail").alias(f"{x}_text"), F.col("letters").alias(f"{x}_letters")) for x in "ab")
-        likely = a.join(b, "key").filter((F.col("a") < F.col("b")) & (counts_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * edits))
+        small = on.filter(F.col("left") <= crowd).withColumn("letters", letter_counts(F.col("tail"), F.length("tail")))
+        small = small.select("key", F.col("id").alias("a"), F.col("tail").alias("a_text"), F.col("letters").alias("a_letters"))
+        other = _few(small.toDF("key", "b", "b_text", "b_letters"), "small", 100_000)
+        likely = _spread(small).join(other, "key").filter((F.col("a") < F.col("b")) & (counts_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * edits))
         found.append(shared.table(_spread(likely).filter(within).select("a", "b"), "links"))
-        large = on.filter(F.col("left") > most_lines)
+        large = on.filter(F.col("left") > crowd)
         found.append(shared.table(_stars(_variants(large.filter(F.length("tail") <= shortest + edits), edits)), "stars"))
         rows = _cut(large.filter(F.length("tail") > shortest), edits, mark)
         if large.isEmpty():
@@ -346,7 +343,7 @@ def hot_links(rows: DataFrame, edits: int, most_lines: int, within: Column, shor
     raise RuntimeError("lines too long to be cut")
 
 
-def line_links(lines: DataFrame, known: DataFrame, edits: int, most_lines: int) -> DataFrame:
+def line_links(lines: DataFrame, known: DataFrame, edits: int, most_lines: int, crowd: int) -> DataFrame:
     """(a, b): ids of lines within the edits of each other, as many as connect all such lines; lines has (id, line), known is segment_keys of it."""
     keyed = _by_key(known, edits)
     hot = _few(keyed.filter("own").groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > most_lines).select("key"), "hot-keys")
@@ -369,13 +366,13 @@ def line_links(lines: DataFrame, known: DataFrame, edits: int, most_lines: int)
     placed = placed.withColumn("at", of("at")).withColumn("long", of("long"))
     rest = _without(F.col("line"), {"at": F.col("at"), "long": F.col("long")}, _MARKS[0])
     rows = placed.select("key", "id", "n", rest.alias("rest"))
-    for more in hot_links(rows, edits, most_lines, within):
+    for more in hot_links(rows, edits, crowd, within):
         links = links.union(more)
     return links
 
 
 def line_classes(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = 2, min_chars: int = 20, shortest: int | None = None, most_lines: int = 64
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edits: int = 2, min_chars: int = 20, shortest: int | None = None, most_lines: int = 64, crowd: int = 1000
 ) -> DataFrame:
     """(doc, row, line_no) of the lines to remove: those whose class has an earlier line.
 
@@ -383,15 +380,15 @@ def line_classes(
     or more link with equal ones only; those under both are never removed.  Rows
     without id come first.  Rows of one id and different texts are told apart by
     `row`; equal rows tie, and their lines go or stay together.  `most_lines` is the
-    size up to which a key's lines are compared with each other; results don't
-    depend on it.
+    size up to which all lines of a key are compared, `crowd` that up to which those
+    with close letter counts are; results depend on neither.
     """
     lines = _lines(docs, id_column, text_column).withColumn("id", F.unhex(F.md5("line")))
     size = F.length("line")
     equal = lines.filter(size >= (min_chars if shortest is None else min(shortest, min_chars)))
     taking = lines.filter(size >= min_chars).select("id", "line")
     known = shared.table(segment_keys(equal.select("id", F.when(size >= min_chars, F.col("line")).alias("line")), edits), "keys", compression="zstd")
-    links = shared.table(line_links(taking, known, edits, most_lines), "links")
+    links = shared.table(line_links(taking, known, edits, most_lines, crowd), "links")
     classes = components(links)
     several = known.filter("n > 1").select("id").join(classes, "id", "full").select("id", F.coalesce("component", "id").alias("class"))
     places = equal.select("id", "doc", "row", "line_no").join(_few(several, "several", 200_000), "id")

@@ -185,7 +185,7 @@ def edited(rng, line, times):
     return "".join(line)
 
 
-def crowd(seed):
+def crowded(seed):
     """Lines with segments in common: copies with edits, chains of edits, numbers in a form, words changed."""
     rng = np.random.default_rng(seed)
     base = [prose(seed, 6), prose(seed + 1, 12), "ab" * 14, "x" * 30]
@@ -201,12 +201,12 @@ def crowd(seed):
     return sorted({x for x in lines if len(x) >= 20})
 
 
-@pytest.mark.parametrize("seed, most_lines", [(1, 4), (3, 1000)])
-def test_links_of_crowded_segments_connect_what_all_pairs_do(spark, seed, most_lines):
-    lines = crowd(seed)
+@pytest.mark.parametrize("seed, most_lines, crowd", [(1, 2, 4), (3, 1000, 1000)])
+def test_links_of_crowded_segments_connect_what_all_pairs_do(spark, seed, most_lines, crowd):
+    lines = crowded(seed)
     frame_ = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("id", F.unhex(F.md5("line")))
     known = shared.table(line_dedup.segment_keys(frame_, 2), "keys")
-    links = line_dedup.line_links(frame_, known, 2, most_lines).collect()
+    links = line_dedup.line_links(frame_, known, 2, most_lines, crowd).collect()
     index = {hashlib.md5(x.encode()).digest(): i for i, x in enumerate(lines)}
     label = list(range(len(lines)))
     for r in links:
