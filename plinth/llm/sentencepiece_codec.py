@@ -32,6 +32,10 @@ from plinth.llm.wordcache import WordCache
 
 _MARK = "▁"
 _OTHER = -1  # a character that no piece has: spelt in bytes
+#: What a worker remembers: pairs of pieces (about 130 bytes each) and, in wordcache, words (about 40 bytes each).
+_MOST_PAIRS, _MOST_WORDS = 400_000, 1_000_000
+#: Bytes of text that are encoded at once; the kernels take about forty times as much.
+_SLICE = 2 << 20
 
 
 class Vocabulary:
@@ -50,7 +54,7 @@ class Vocabulary:
         self.longest = max(map(len, self.id), default=1)
         if any(_MARK in p.lstrip(_MARK) for p in self.id):
             raise ValueError("a piece goes over a word's end")
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.spelt = [b""] * n  # each id's bytes
         for i in normal:
             self.spelt[i] = self.piece[i].replace(_MARK, " ").encode()
@@ -72,12 +76,13 @@ class Vocabulary:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether piece b can stand after piece a (0: the word's start, _OTHER: a character spelt in bytes)."""
-        known = self.follows.get((a, b))
+        pair = (a + 1) << 32 | b
+        known = self.follows.get(pair)
         if known is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) >= _MOST_PAIRS:
                 self.follows.clear()
             left, right = self.piece.get(a, ""), self.piece[b]
-            known = self.follows[a, b] = self.merged(left + right) == ([left, right] if left else [right])
+            known = self.follows[pair] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
@@ -112,7 +117,7 @@ class Vocabulary:
 
 class Codec:
     def __init__(self, model_file: str):
-        self.vocabulary, self.cache = Vocabulary(model_file), WordCache()
+        self.vocabulary, self.cache = Vocabulary(model_file), WordCache(_MOST_WORDS)
         spelt = self.vocabulary.spelt
         self.size = np.array([len(s) for s in spelt], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -174,7 +179,7 @@ def encode(docs: DataFrame, model_file: str, *, text_column: str = "text", ids_c
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_file, run)
         for whole in batches:
-            for batch in shared.sliced(whole, at):
+            for batch in shared.sliced(whole, at, _SLICE):
                 ids, size = codec.encode(batch.column(at))
                 yield pa.RecordBatch.from_arrays([*batch.columns, shared.lists(ids.astype(np.int32), np.cumsum(size), pa.int32())], [*rest, ids_column])
 
@@ -200,25 +205,54 @@ def decode(tokens: DataFrame, model_file: str, *, ids_column: str = "token_ids",
     return tokens.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(apply, schema)
 
 
-def ids_crc32(tokens: DataFrame, ids_column: str = "token_ids") -> DataFrame:
-    """The rows with n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers) for the ids."""
-    rest = [c for c in tokens.columns if c != ids_column]
-    schema = T.StructType([*(tokens.schema[c] for c in rest), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+def encode_and_decode(docs: DataFrame, model_file: str, *, text_column: str = "text", ids_column: str = "token_ids", decoded_column: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass. Columns named ids_column or decoded_column are replaced."""
+    run = shared.scratch(docs.sparkSession, "run")
+    rest = [c for c in docs.columns if c not in (ids_column, decoded_column)]
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids_column, T.ArrayType(T.IntegerType())), T.StructField(decoded_column, T.StringType())])
+    at = rest.index(text_column)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model_file, run)
+        for whole in batches:
+            for batch in shared.sliced(whole, at, _SLICE):
+                ids, size = codec.encode(batch.column(at))
+                texts = codec.decode(ids.astype(np.int64), size)
+                yield pa.RecordBatch.from_arrays([*batch.columns, shared.lists(ids.astype(np.int32), np.cumsum(size), pa.int32()), texts], [*rest, ids_column, decoded_column])
+
+    return docs.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(apply, schema)
+
+
+def digests(docs: DataFrame, model_file: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and round_trip (the ids decode to the text, U+2581 being a space), one row for each row.
+
+    One pass encodes, decodes and compares, so a worker holds one codec and texts go
+    to it once.  Null texts are empty; repeated rows give repeated results.
+    """
+    run = shared.scratch(docs.sparkSession, "run")
+    schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(len(rest))
-            ends, data = np.asarray(column.offsets, np.int64), memoryview(np.asarray(column.values.cast(pa.uint32()), "<u4"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(np.diff(ends)), pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())], [*rest, "n_tokens", "ids_crc32"])
+        codec = _codec(model_file, run)
+        for whole in batches:
+            for batch in shared.sliced(whole, 1, _SLICE):
+                ids, size = codec.encode(batch.column(1))
+                back = codec.decode(ids.astype(np.int64), size)
+                same = pc.equal(back, pc.replace_substring(pc.fill_null(batch.column(1), ""), _MARK, " ").cast(back.type))
+                ends, data = np.cumsum(size), memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(data[4 * (e - n) : 4 * e]) for n, e in zip(size.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(crc, pa.int64()), same], [id_column, "n_tokens", "ids_crc32", "round_trip"])
 
-    return tokens.select(*rest, ids_column).mapInArrow(apply, schema)
+    return docs.select(id_column, F.col(text_column).alias(f"{text_column}_")).mapInArrow(apply, schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, and round_trip: whether the decoded ids are the text."""
+    """doc_id, n_tokens, ids_crc32, and round_trip (whether the decoded ids are the text) of every document.
+
+    Null and empty texts have no tokens, repeated rows have repeated results, an empty
+    table has none; very long texts are encoded whole.
+    """
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = shared.load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode(encode(docs, model), model).select("doc_id", "token_ids", (F.col("decoded") == F.replace(F.col("text"), F.lit(_MARK), F.lit(" "))).alias("round_trip"))
-    return ids_crc32(back).select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+    return digests(shared.load(spark, sf_dir, "documents"), model)

@@ -16,7 +16,7 @@ import numpy as np
 
 class WordCache:
     def __init__(self, most: int = 1_500_000):
-        self.most = most
+        self.most = most  # words
         self.clear()
 
     def clear(self) -> None:

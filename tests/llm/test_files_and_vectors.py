@@ -58,6 +58,26 @@ def test_sentencepiece_on_corpus(spark, sf_dir):
     assert all(list(r.token_ids) == library.encode(r.text or "") for r in rows)
 
 
+def test_sentencepiece_query_is_the_library(spark, sf_dir):
+    """Digests in one pass: ids of the library over every document, nulls, empties and repeats with them."""
+    import zlib
+
+    import public_tokenizers
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, None), (-1, ""), (-2, "a \u2581b"), (-2, "a \u2581b"), (-3, "x" * 5000)], "doc_id bigint, text string")
+    rows = table.union(odd)
+    got = sorted(map(tuple, sentencepiece_codec.digests(rows, public_tokenizers.path("piece_bpe_32k.model")).collect()), key=str)
+    want = []
+    for r in rows.collect():
+        ids = library.encode(r.text or "")
+        want.append((r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), library.decode(ids) == (r.text or "").replace("\u2581", " ")))
+    assert got == sorted(want, key=str)
+    both = sentencepiece_codec.encode_and_decode(odd, public_tokenizers.path("piece_bpe_32k.model"))
+    assert both.columns == ["doc_id", "text", "token_ids", "decoded"] and [r.decoded for r in both.collect()] == ["", "", "a  b", "a  b", "x" * 5000]
+
+
 def test_empty_tables(spark):
     model, none = public_tokenizers.path("piece_bpe_32k.model"), docs(spark).limit(0)
     assert sentencepiece_codec.decode(sentencepiece_codec.encode(none, model), model).count() == 0
