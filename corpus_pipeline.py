@@ -64,7 +64,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select(COLUMNS), model), model, text_column="decoded")
+    coded = sentencepiece_codec.encode_and_decode(docs.select(COLUMNS), model)
     return coded.select("doc_id", F.col("decoded").alias("text"), "lang", "source", "n_chars", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids")
 
 
