@@ -16,9 +16,10 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else.
    from right to left it is the next sample plus the distance, which gives the
    matching statistics of every position without comparing any further.
 4. An anchor with more than `most_contexts` classes isn't brought together: its
-   strings are grouped by two 64-bit hashes of themselves.
+   strings are grouped by two hashes of themselves.
 
 Equal texts are one text throughout, found by two 64-bit hashes and the length.
+Surroundings and strings are told apart by 126 bits of two kinds of hashes.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ _K = 32  # bytes of an anchor
 _RNG = np.random.Generator(np.random.PCG64(7))
 _BYTE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 _END = 0xFF  # never in UTF-8
 _KEY = ["h1", "h2", "n_bytes"]
 
@@ -55,6 +55,38 @@ class Rolling:
         return textbytes.mix((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64))
 
 
+_PRIMES = (2**31 - 1, 2**31 - 19)
+_BASES = (1_103_515_245, 1_664_525_123)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _powers(k: int, n: int, inverse: bool) -> np.ndarray:
+    """Powers 0 to n - 1 of a base, or of its inverse, modulo its prime; kept for the next texts."""
+    known = _POWERS.get((k, inverse))
+    if known is None or len(known) < n:
+        p = _PRIMES[k]
+        step = np.array([1], np.uint64)
+        base = pow(_BASES[k], -1 if inverse else 1, p)
+        while len(step) < n:
+            step = np.concatenate([step, step * np.uint64(pow(base, len(step), p)) % np.uint64(p)])
+        known = _POWERS[k, inverse] = step
+    return known[:n]
+
+
+class Residues:
+    """Hashes of any substrings modulo two primes, 62 bits in all; they share nothing with Rolling's, whose modulus is a power of two."""
+
+    def __init__(self, raw: np.ndarray):
+        self.n, self.sums = len(raw) + 1, []
+        for k, p in enumerate(_PRIMES):
+            terms = (_BYTE[raw] % np.uint64(p)) * _powers(k, len(raw), True) % np.uint64(p)
+            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(terms)]))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        parts = [(s[end] - s[start]) % np.uint64(p) * _powers(k, self.n, False)[start] % np.uint64(p) for k, (s, p) in enumerate(zip(self.sums, _PRIMES, strict=True))]
+        return parts[0] << np.uint64(31) | parts[1]
+
+
 def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
     """min(x[i:i + w]) for every i, by running minima from both ends of blocks of w."""
     padded = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, np.uint64)
@@ -92,7 +124,7 @@ class RunLengthIndex:
         packed = np.zeros(n, np.uint64)
         for k in range(8):
             packed = (packed << np.uint64(8)) | self.text[k : k + n]
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)
         rank = self._ranks(order, packed)
         step = 8
         while True:  # rank: position of the first suffix with the same `step` first bytes
@@ -104,7 +136,7 @@ class RunLengthIndex:
             own = order[open_at]
             after = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + step + 1, n - own)  # of two that end, the shorter is first
             key = (rank[own].astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             order[open_at] = own[by]
             key, new = key[by], np.empty(len(by), bool)
             new[0], new[1:] = True, key[1:] != key[:-1]
@@ -186,13 +218,14 @@ def _key_columns(text: str = "text") -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), F.col(text)).alias("h2"), F.octet_length(text).cast("bigint").alias("n_bytes")]
 
 
-def find_repeats(docs: DataFrame, *, text_column: str = "text", length: int = 400, bucket_bytes: int = 3 << 20, most_contexts: int = 4096) -> DataFrame:
+def find_repeats(docs: DataFrame, *, text_column: str = "text", length: int = 400, bucket_bytes: int = 3 << 20, most_contexts: int = 4096, most_broadcast: int = 500_000) -> DataFrame:
     """(h1, h2, n_bytes, text, copies, spans) of each distinct text with bytes to remove; spans: ascending, disjoint, flat.
 
-    Null texts are empty.  Equal texts of `length` bytes or more go whole.
+    Null texts are empty.  Equal texts of `length` bytes or more go whole.  Keys of
+    at most `most_broadcast` texts are broadcast.
     """
     texts = docs.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).select("text", *_key_columns())
-    anchor_rows = "anchor bigint, context bigint, h1 bigint, h2 bigint, n_bytes bigint, at int"
+    anchor_rows = "anchor bigint, context bigint, context2 bigint, h1 bigint, h2 bigint, n_bytes bigint, at int"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -203,18 +236,28 @@ def find_repeats(docs: DataFrame, *, text_column: str = "text", length: int = 40
                 row = np.searchsorted(offsets, at, "right") - 1
                 low, high = _around(at, offsets[row], offsets[row + 1], length)
                 context = textbytes.mix(roll.of(low, high) + (at - low).astype(np.uint64) * np.uint64(_P))
+                second = Residues(raw).of(low, high)
                 key = [c.take(pa.array(row)) for c in batch.columns[1:4]]
-                yield pa.RecordBatch.from_arrays([pa.array(roll.of(at, at + _K).view(np.int64)), pa.array(context.view(np.int64)), *key, pa.array((at - offsets[row]).astype(np.int32))], ["anchor", "context", *_KEY, "at"])
-
-    every = texts.filter(F.col("n_bytes") >= length).mapInArrow(find, anchor_rows).repartition("anchor").dropDuplicates()
-    classes = every.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct(*_KEY, "at")).alias("one"))
+                hashes = [pa.array(x.view(np.int64)) for x in (roll.of(at, at + _K), context, second)]
+                yield pa.RecordBatch.from_arrays([*hashes, *key, pa.array((at - offsets[row]).astype(np.int32))], ["anchor", *around, *_KEY, "at"])
+
+    around = ["context", "context2"]
+    # written once: each of the three uses below would read and hash all texts again; equal texts are one by then
+    every = shared.table(texts.filter(F.col("n_bytes") >= length).mapInArrow(find, anchor_rows).dropDuplicates([*_KEY, "at"]), "anchors", compression="zstd")
+    classes = every.groupBy("anchor", *around).agg(F.count(F.lit(1)).alias("places"), F.min(F.struct(*_KEY, "at")).alias("one"))
+    classes = shared.table(classes, "classes", compression="zstd")
     found = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.sum("places").alias("all")).filter("all > 1").drop("all")
-    kept = every.join(classes, ["anchor", "context"]).join(found, "anchor")
+    kept = every.join(classes.join(found, "anchor"), ["anchor", *around])
     # whole: all its strings are elsewhere too; sent: stands for its class where there are others
     place = F.struct("at", "anchor", (F.col("places") > 1).alias("whole"), ((F.col("classes") > 1) & (F.col("one") == F.struct(*_KEY, "at"))).alias("sent"), (F.col("classes") > most_contexts).alias("hot"))
     by_text = kept.select(*_KEY, place.alias("place")).groupBy(*_KEY).agg(F.collect_list("place").alias("places"))
-    copies = texts.groupBy(*_KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    known = shared.table(copies.join(by_text, _KEY, "left").filter(F.col("places").isNotNull() | ((F.col("copies") > 1) & (F.col("n_bytes") >= length))), "repeats", compression="zstd")
+    copies = texts.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"))
+    wanted = copies.join(by_text, _KEY, "left").filter(F.col("places").isNotNull() | ((F.col("copies") > 1) & (F.col("n_bytes") >= length)))
+    wanted = shared.table(wanted, "wanted", compression="zstd")
+    keys = wanted.select(*_KEY)
+    keys = F.broadcast(keys) if wanted.count() <= most_broadcast else keys  # so only texts with repeats are shuffled
+    bodies = texts.join(keys, _KEY, "left_semi").groupBy(*_KEY).agg(F.first("text").alias("text"))
+    known = shared.table(bodies.join(wanted, _KEY).select(*_KEY, "text", "copies", "places"), "repeats", compression="zstd")
 
     context_rows = "bucket int, h1 bigint, h2 bigint, n_bytes bigint, start bigint, context binary"
     sent = known.select(*_KEY, "text", F.filter("places", lambda p: p["sent"] & ~p["hot"]).alias("places")).filter(F.size("places") > 0)
@@ -246,9 +289,9 @@ def find_repeats(docs: DataFrame, *, text_column: str = "text", length: int = 40
                 at = np.array(batch.column(4)[i].as_py(), np.int64)
                 low, high = _around(at, np.int64(0), np.int64(len(raw)), length)
                 starts = np.unique(np.concatenate([np.arange(a, b - length + 1) for a, b in zip(low, high, strict=True)]))
-                roll, other = Rolling(raw), Rolling(raw ^ np.uint8(0x55))
+                roll, other = Rolling(raw), Residues(raw)
                 key = [pa.array(np.full(len(starts), c[i].as_py()), pa.int64()) for c in batch.columns[:3]]
-                yield pa.RecordBatch.from_arrays([pa.array(roll.of(starts, starts + length).view(np.int64)), pa.array(textbytes.mix(other.of(starts, starts + length) ^ _SECOND).view(np.int64)), *key, pa.array(starts)], ["w1", "w2", *_KEY, "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(roll.of(starts, starts + length).view(np.int64)), pa.array(other.of(starts, starts + length).view(np.int64)), *key, pa.array(starts)], ["w1", "w2", *_KEY, "start"])
 
     hot = known.select(*_KEY, "text", F.transform(F.filter("places", lambda p: p["hot"]), lambda p: p["at"].cast("bigint")).alias("at")).filter(F.size("at") > 0)
     strung = hot.mapInArrow(strings, "w1 bigint, w2 bigint, h1 bigint, h2 bigint, n_bytes bigint, start bigint").repartition("w1", "w2")
@@ -297,4 +340,10 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, for strings of 400 bytes.
+
+    Null and empty texts have no bytes and the digest of nothing; texts shorter than a
+    string lose nothing; equal rows lose all of it where they are long enough; an empty
+    table has no rows.  Very long texts are treated whole.
+    """
     return remove_repeats(shared.load(spark, sf_dir, "documents"))

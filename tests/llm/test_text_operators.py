@@ -107,6 +107,31 @@ def test_suffix_dedup(spark, rows, options):
     assert sorted(map(tuple, got), key=str) == removed(rows, 400)
 
 
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("options", [{}, {"most_contexts": 1}])
+def test_suffix_dedup_of_texts_that_polynomials_modulo_powers_of_two_confuse(spark, options):
+    rows = [(1, thue_morse(4096, "a", "b")), (2, thue_morse(4096, "b", "a")), (3, "x" + thue_morse(2048, "a", "b") + prose(3, 90)), (4, thue_morse(512, "a", "b")), (5, thue_morse(512, "b", "a"))]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length=400, **options).collect()
+    assert sorted(map(tuple, got), key=str) == removed(rows, 400)
+    half = np.frombuffer((thue_morse(1024, "a", "b") + thue_morse(1024, "b", "a")).encode(), np.uint8)
+    at = np.array([0, 1024])
+    one, two = suffix_dedup.Residues(half).of(at, at + 1024)
+    assert one != two
+
+
+def test_planted_passages_are_removed_where_they_repeat(spark):
+    """Read by n_removed: passages of 400 bytes or more go from all their places, shorter ones and what is clean stay."""
+    long, short = prose(50, 80), prose(51, 30)
+    assert len(long.encode()) >= 400 > len(short.encode()) + 2
+    rows = [(i, prose(100 + i, 150) + " \n" + (long if i % 3 == 0 else short if i % 3 == 1 else "") + "\n " + prose(200 + i, 150)) for i in range(24)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(frame(spark, rows), length=400).collect()}
+    for i in range(24):
+        assert (got[i] >= len(long.encode()) and got[i] <= len(long.encode()) + 40) if i % 3 == 0 else got[i] == 0
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
