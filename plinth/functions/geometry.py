@@ -117,8 +117,8 @@ def segments_meet(a: Column, b: Column, eps: float = 1e-4) -> Column:
 
 
 def polygons_meet(a: Column, b: Column) -> Column:
-    """Whether a vertex of one is in the other or two edges meet."""
-    return (
+    """Whether a vertex of one is in the other or two edges meet; never for fewer than three vertices."""
+    return (F.size(a) >= 3) & (F.size(b) >= 3) & (
         F.exists(a, lambda p: point_in_ring(p["x"], p["y"], b))
         | F.exists(b, lambda p: point_in_ring(p["x"], p["y"], a))
         | F.exists(ring_edges(a), lambda e: F.exists(ring_edges(b), lambda f: segments_meet(e, f)))

@@ -108,16 +108,18 @@ def room_exits(spaces: DataFrame, links: DataFrame, doors: DataFrame, landing: D
 def loads(rooms: DataFrame, distances: DataFrame) -> DataFrame:
     """(node, load): occupants that pass each node on their way, summed down the exit tree.
 
-    Loads move one node a round, all rooms' together, so a round is one grouped sum.
+    Pointers double: after k rounds a node has the loads of all nodes less than 2 ** k
+    steps below it, so the rounds are the logarithm of the longest way.
     """
-    parent = kept(distances.select("node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent")))
-    moving = kept(rooms.filter("node is not null").groupBy("node").agg(F.sum("weight").alias("load")))
-    every = moving
-    while True:
-        moving = kept(moving.join(parent.filter("parent is not null"), "node").groupBy(F.col("parent").alias("node")).agg(F.sum("load").alias("load")))
-        if moving.isEmpty():
-            return every.groupBy("node").agg(F.round(F.sum("load"), 6).alias("load"))
-        every = every.union(moving)
+    own = rooms.filter("node is not null").groupBy("node").agg(F.sum("weight").alias("own"))
+    up = distances.select("node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("up"))
+    state = kept(up.join(own, "node", "left").select("node", "up", F.coalesce("own", F.lit(0.0)).alias("load")))
+    while not state.filter("up is not null").isEmpty():
+        more = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("load").alias("more"))
+        further = state.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        lifted = state.join(further, "up", "left").join(more, "node", "left")
+        state = kept(lifted.select("node", F.col("further").alias("up"), (F.col("load") + F.coalesce("more", F.lit(0.0))).alias("load")))
+    return state.filter("load > 0").select("node", F.round("load", 6).alias("load"))
 
 
 def bottlenecks(load: DataFrame, n: int = 8) -> DataFrame:

@@ -302,11 +302,11 @@ def exclusion_expand(b: Building) -> DataFrame:
     return graph.excluded_edges(graph.display_edges(b.doors()).join(named, "door", "left_semi"), b.doors())
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id FROM events WHERE value > 20) (SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id FROM events WHERE value > 250) (SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def set_symdiff(b: Building) -> DataFrame:
     """Ids in one of two exclusion sets but not both."""
     e = b.table("events")
-    return graph.symmetric_difference(e.filter("event_type = 'error'").select("user_id").distinct(), e.filter("value > 20").select("user_id").distinct())
+    return graph.symmetric_difference(e.filter("event_type = 'error'").select("user_id").distinct(), e.filter("value > 250").select("user_id").distinct())
 
 
 @query("""WITH t AS (SELECT DISTINCT storey FROM stairs WHERE n % 4 = 0) SELECT door, storey, 'kept' AS origin FROM doors WHERE storey NOT IN (SELECT storey FROM t) UNION ALL SELECT door, storey, 'new' FROM doors WHERE storey IN (SELECT storey FROM t) AND door NOT LIKE 'V%'""")
@@ -335,7 +335,8 @@ def room_components(b: Building) -> DataFrame:
 
 
 def _evacuation(b: Building) -> tuple[DataFrame, DataFrame, DataFrame]:
-    spaces, doors, links = b.spaces(), b.doors(), b.links()
+    spaces, doors = graph.kept(b.spaces()), graph.kept(b.doors())  # each is read several times a round
+    links = graph.kept(b.links())
     st = b.stairs().select("stair", "storey", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     landing = graph.kept(evacuation.landings(st, spaces, b.storeys()))
     distances = evacuation.exit_distances(links, doors, landing)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ def ensured(spark: SparkSession, path: str, model_id: str, variant: str, build:
     """The kept artifact, built and written first where there is none."""
     try:
         return read_artifact(spark, path, model_id, variant)
-    except Exception:  # neither the folder nor the partition is there
+    except (FileNotFoundError, AnalysisException) as missing:
+        if isinstance(missing, AnalysisException) and missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise  # something else than a folder that isn't there
         write_artifact(build().withColumns({"model_id": F.lit(model_id), "variant": F.lit(variant)}), path)
         return read_artifact(spark, path, model_id, variant)
 

@@ -1,40 +1,70 @@
 """STEP-21 (IFC) text as rows, and the entity tables that come from it.
 
-A file is read as statements that end in a semicolon; each `#id = TYPE(args)` is a
-row.  Arguments are split at commas outside quotes and parentheses.
+A file is read as statements that end in a semicolon outside quotes and comments;
+each `#id = TYPE(args)` is a row.  Arguments are split at commas outside quotes and
+parentheses.  A file is a row until its statements are cut, as uploads are capped.
 """
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Java patterns: a quoted string, a comment, a statement with its semicolon.  Possessive, so long statements take no stack.
+_QUOTED, _COMMENT = r"'(?:[^']++|'')*+'", r"/\*(?s:.*?)\*/"
+_STATEMENT = rf"(?:[^';/]++|{_QUOTED}|{_COMMENT}|/)*+;"
+_TOKEN = re.compile(r"'(?:[^']|'')*'|[(),]")
+
 
 def split_arguments(text: str) -> list[str]:
     """Top-level arguments, quotes and parentheses kept."""
-    out, depth, quoted, start = [], 0, False, 0
-    for i, c in enumerate(text):
-        if c == "'":
-            quoted = not quoted
-        elif not quoted:
-            if c == "(":
-                depth += 1
-            elif c == ")":
-                depth -= 1
-            elif c == "," and depth == 0:
-                out.append(text[start:i].strip())
-                start = i + 1
+    out, depth, start = [], 0, 0
+    for token in _TOKEN.finditer(text):
+        c = token.group()
+        if c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "," and depth == 0:
+            out.append(text[start : token.start()].strip())
+            start = token.end()
     return [*out, text[start:].strip()] if text.strip() else out
 
 
+def member_text(content: bytes) -> str:
+    """A file's text; of a zip archive that of its first .ifc member, empty where it has none."""
+    if content[:2] == b"PK":
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            names = [n for n in archive.namelist() if n.lower().endswith(".ifc") and not n.endswith("/")]
+            content = archive.read(names[0]) if names else b""
+    return content.decode("utf-8", "replace")
+
+
 def read_step(spark: SparkSession, path: str) -> DataFrame:
-    """(model, id, type, args) of every statement of the files; other lines are left out."""
-    text = spark.read.option("lineSep", ";").text(path).select(F.col("_metadata.file_path").alias("model"), F.regexp_replace("value", r"/\*.*?\*/|[\r\n]+", " ").alias("value"))
-    parts = [F.regexp_extract("value", r"^\s*#(\d+)\s*=\s*(\w+)\s*\((.*)\)\s*$", k) for k in (1, 2, 3)]
-    rows = text.select("model", parts[0].alias("id"), F.upper(parts[1]).alias("type"), parts[2].alias("args")).filter("id <> ''").withColumn("id", F.col("id").cast("bigint"))
+    """(model, id, type, args) of every statement of the .ifc and .ifczip files; other statements are left out.
+
+    Comments outside strings go, line ends become spaces, strings keep semicolons,
+    commas, parentheses and what looks like a comment.  Empty files have no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"model": b["path"], "value": b["content"].map(member_text)})
+
+    cut = files.mapInPandas(texts, "model string, value string")
+    cut = cut.select("model", F.explode(F.regexp_extract_all("value", F.lit(_STATEMENT), 0)).alias("value"))
+    cut = cut.withColumn("value", F.regexp_replace("value", f"({_QUOTED})|{_COMMENT}", "$1"))
+    cut = cut.withColumn("value", F.regexp_replace("value", r"[\r\n]+", " "))
+    parts = [F.regexp_extract("value", r"^\s*#(\d+)\s*=\s*(\w+)\s*\((.*)\)\s*;$", k) for k in (1, 2, 3)]
+    rows = cut.select("model", parts[0].alias("id"), F.upper(parts[1]).alias("type"), parts[2].alias("args"))
+    rows = rows.filter("id <> ''").withColumn("id", F.col("id").cast("bigint"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

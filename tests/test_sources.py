@@ -1,5 +1,7 @@
 """Readers on files written here."""
 
+import zipfile
+
 from pyspark.sql import functions as F
 
 from plinth.sources import artifacts, indoorgml, step
@@ -27,14 +29,31 @@ GML = """<g:IndoorFeatures xmlns:g="urn:a" xmlns:m="urn:m" xmlns:l="urn:l">
 
 
 def test_step(spark, tmp_path):
-    (tmp_path / "a.ifc").write_text(IFC.replace("Room; one", "Room one"))
+    (tmp_path / "a.ifc").write_text(IFC)
     rows = step.read_step(spark, str(tmp_path)).cache()
     e = {r.id: r for r in step.entities(rows).collect()}
-    assert (e[2].name, e[3].name, e[4].kind, e[1].global_id) == ("Room one", "Store 'A'", "door", "s1")
+    assert (e[2].name, e[3].name, e[4].kind, e[1].global_id) == ("Room; one", "Store 'A'", "door", "s1")
     assert {(r.element, r.storey) for r in step.element_storeys(rows).collect()} == {(2, 1), (3, 1), (4, 1)}
     assert {(r.edge, r.space, r.element) for r in step.space_boundaries(rows).collect()} == {("b1", 2, 4), ("b2", 3, 4)}
 
 
+def test_step_strings_comments_and_archives(spark, tmp_path):
+    odd = """ISO-10303-21; /* it's; #7=IFCSPACE('no',$,$); */ HEADER; FILE_NAME('a;b''(');
+#1=IFCBUILDINGSTOREY('s1',$,'Level; 1',$,$);#2 = ifcspace ( 'r1' , $ ,'Room /* x */, ''y'' (',\n$,/* gone; */'');
+#3=IFCDOOR('d1',$,'/',(1,(2,3)),$);
+"""
+    (tmp_path / "a.ifc").write_text(odd)
+    with zipfile.ZipFile(tmp_path / "b.ifczip", "w") as z:
+        z.writestr("note.txt", "#9=IFCSPACE('no');")
+        z.writestr("inner/m.IFC", "#5=IFCSPACE('z1',$,'Zip',$,'');" + "#6=IFCLIST((" + ",".join(map(str, range(60_000))) + "));")
+    (tmp_path / "c.ifc").write_text("")
+    got = {r.id: (r.type, r.args) for r in step.read_step(spark, str(tmp_path)).collect()}
+    assert got[1] == ("IFCBUILDINGSTOREY", ["'s1'", "$", "'Level; 1'", "$", "$"])
+    assert got[2] == ("IFCSPACE", ["'r1'", "$", "'Room /* x */, ''y'' ('", "$", "''"])
+    assert got[3] == ("IFCDOOR", ["'d1'", "$", "'/'", "(1,(2,3))", "$"])
+    assert got[5][1][2] == "'Zip'" and len(got[6][1]) == 1 and set(got) == {1, 2, 3, 5, 6}
+
+
 def test_indoorgml(spark, tmp_path):
     (tmp_path / "a.gml").write_text(GML)
     rows = indoorgml.read_indoorgml(spark, str(tmp_path)).cache()
