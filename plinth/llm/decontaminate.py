@@ -259,6 +259,12 @@ def proximity_matches(docs: DataFrame, index: Index, *, id_column: str = "doc_id
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document.
+
+    Null and wordless texts have no words and no hits; items without words or id match
+    nothing; equal items of different ids all count; repeated rows have equal results;
+    very long texts are searched whole; without items or documents nothing is hit.
+    """
     docs = shared.load(spark, sf_dir, "documents")
     found = find(docs, Index(docs, shared.load(spark, sf_dir, "benchmark")))
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("bigint"), lambda a, x: a + x)

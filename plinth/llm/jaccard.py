@@ -326,6 +326,12 @@ def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_colum
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, for sets of four words and a similarity of 0.85.
+
+    Null and wordless texts have empty sets and are their own component, as rows
+    without id are; texts of fewer words are one shingle; equal texts link; very long
+    texts are taken whole; an empty table has no rows.
+    """
     return jaccard_components(shared.load(spark, sf_dir, "documents"), n=4, num=85)
 
 

@@ -335,6 +335,12 @@ def perplexity(scores: DataFrame) -> DataFrame:
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    Null and empty texts are one end token; very long texts are scored whole; repeated
+    rows are texts of their own with equal scores; a null id is learnt from; an empty
+    table has no rows.
+    """
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     scored = pitman_yor_scores(shared.load(spark, sf_dir, "documents"), ~held)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -149,6 +149,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document.
+
+    Null, empty and wordless texts get the score of the model's constant; very long
+    texts are scored whole; repeated rows get equal scores, a null id is not held out.
+    Of several labels of one id each is a training row.  Without labels every score is
+    a half; an empty table has no rows.
+    """
     docs = shared.load(spark, sf_dir, "documents")
     return score(docs, train(training_rows(docs, shared.load(spark, sf_dir, "labels"))))
 

@@ -177,6 +177,11 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files that were written.
+
+    Null and empty texts are the end id alone; very long texts are one list; repeated
+    ids follow one another; an empty table gives empty files and no rows.
+    """
     import public_tokenizers
 
     path = shared.scratch(spark, "tokens")

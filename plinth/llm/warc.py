@@ -191,12 +191,15 @@ class LoserTree:
             self.winner = at
 
 
-def merge_captures(index: DataFrame) -> DataFrame:
+def merge_captures(index: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """Captures in global order of (url_key, captured, id), merged from the archives' runs.
 
-    A task holds its range of keys, whose captures are narrow rows.
+    Ranges of keys are cut so that a task holds about `most_rows` narrow rows, however
+    many there are in all; ids tell captures of one hot key apart, so it is cut, too.
+    An archive's captures within a range are a run, sorted by itself.
     """
-    keyed = index.withColumn("url_key", url_key(F.col("url"))).repartitionByRange("url_key", "captured", "id")
+    ranges = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // most_rows))
+    keyed = index.withColumn("url_key", url_key(F.col("url"))).repartitionByRange(ranges, "url_key", "captured", "id")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
@@ -204,14 +207,10 @@ def merge_captures(index: DataFrame) -> DataFrame:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
         keys = list(zip(*(rows[c].to_pylist() for c in ("url_key", "captured")), [-(2**63) if x is None else x for x in rows["id"].to_pylist()], strict=True))
-        runs: dict[str, list[list[int]]] = {}  # by archive, in order of arrival; a step back starts a new run
+        runs: dict[str, list[tuple]] = {}
         for i, archive in enumerate(rows["archive"].to_pylist()):
-            own = runs.setdefault(archive, [])
-            if own and keys[own[-1][-1]] <= keys[i]:
-                own[-1].append(i)
-            else:
-                own.append([i])
-        order = [k[-1] for k in LoserTree([iter([(*keys[i], i) for i in run]) for own in runs.values() for run in own])]
+            runs.setdefault(archive, []).append((*keys[i], i))
+        order = [k[-1] for k in LoserTree([iter(sorted(run)) for run in runs.values()])]
         for at in range(0, len(order), 8192):
             yield from rows.take(pa.array(order[at : at + 8192], pa.int64())).to_batches()
 
@@ -219,6 +218,12 @@ def merge_captures(index: DataFrame) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, from the archives that were written.
+
+    Null and empty pages are responses without bytes; equal pages of 100 bytes or more
+    refer to the one with the smallest id; very large pages are one record; rows of
+    one id are records of their own; an empty table has no rows.
+    """
     path = shared.scratch(spark, "warc")
     write_warc(shared.load(spark, sf_dir, "pages"), path)
     index = shared.table(read_captures(spark, path), "captures")

@@ -341,6 +341,57 @@ def test_language_model_is_a_distribution(spark):
     assert scores[100] > scores[103]  # a known word is likelier than an unknown one
 
 
+def test_language_model_sums_to_one(spark):
+    """The probabilities of all texts: those of up to six words of two known words and an unknown one are nearly all of them."""
+    learnt = ["", "a", "b", "a b", "", "a", "b", ""] * 4
+    every = [" ".join(w) for n in range(7) for w in itertools.product(("a", "b", "zzz"), repeat=n)]
+    docs = frame(spark, [*enumerate(learnt), *((1000 + i, t) for i, t in enumerate(every))])
+    total = {n: 0.0 for n in range(7)}
+    for r in pitman_yor.pitman_yor_scores(docs, F.col("doc_id") < 1000).collect():
+        if r.doc_id >= 1000:
+            total[r.n_tokens - 1] += 10**r.score
+    assert 0.98 < sum(total.values()) <= 1 + 1e-6 and all(total[n] > total[n + 1] for n in range(1, 6))
+
+
+def test_language_model_of_nothing(spark):
+    assert pitman_yor.pitman_yor_scores(frame(spark, [(1, "a")]).limit(0), F.lit(True)).count() == 0
+    got = pitman_yor.pitman_yor_scores(frame(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {1: 3, 2: 1} and all(r.train_tokens == 0 and np.isfinite(r.score) for r in got)
+
+
+def plain_ftrl(examples, dims, alpha, beta, l1, l2):
+    """The published update, one example and one feature at a time."""
+    z, n = np.zeros(dims), np.zeros(dims)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
+
+    for features, label in examples:
+        w = {i: weight(i) for i in features}
+        p = 1 / (1 + np.exp(-sum(w[i] * x for i, x in features.items())))
+        for i, x in features.items():
+            g = (p - label) * x
+            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w[i]
+            n[i] += g * g
+    return np.array([weight(i) for i in range(dims)])
+
+
+def test_training_is_the_published_update(spark, rows):
+    """Rows of two labels and repeated ids among them; the order is that of the ids' hashes, then of the labels."""
+    labelled = [(i, t, k % 2) for k, (i, t) in enumerate(rows)] + [(2, rows[1][1], 0), (2, rows[1][1], 1)]
+    frame_ = spark.createDataFrame(labelled, "doc_id bigint, text string, label int").filter("doc_id <> 15").repartition(3)
+    options = dict(alpha=0.7, beta=0.2, l1=0.01, l2=0.05)
+    got = quality.train(frame_, bits=8, passes=2, **options)
+    turns = frame_.filter("doc_id is not null").withColumn("turn", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("turn", "label").collect()
+    examples = []
+    for r in turns:
+        slots, _ = quality.ngrams(pa.array([r.text], pa.string()), 8)
+        count = collections.Counter(slots.tolist())
+        examples.append(({**{i: np.float32(n * (np.float32(8.0) / max(1, len(slots)))) for i, n in count.items()}, 256: 1.0}, r.label))
+    want = plain_ftrl(examples * 2, 257, **options)
+    assert np.allclose(got, want, atol=1e-4) and np.count_nonzero(want) > 50
+
+
 def test_seating_is_within_bounds():
     c = np.array([1, 1, 2, 5, 100, 20_000])
     t = pitman_yor.seat(c, np.array([0, 0, 0, 1, 1, 1]), np.arange(6), d=0.5, theta=1.0, sweeps=6, burn_in=2, seed=1)
