@@ -6,8 +6,10 @@ Within a storey distances settle in one pass of Dijkstra in the storey's task;
 between storeys they travel over stairs, one round of all storeys for each floor
 that a way climbs, until nothing gets shorter.  Only landings go between rounds.
 
-Ties are broken by (cost to 1e-9, portals before landings, name), so every node
-has one parent toward its exit and loads don't depend on the order of rows.
+Of several ways that are equally long, to 1e-7, a node goes by the neighbour with
+the smallest name (portals before landings) among those that are nearer to an exit; a
+node at the very place of another one that has such a neighbour goes by that one.  So
+every node has one parent, and loads don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from plinth.operators.graph import kept
 
 #: Square metres for one occupant, least occupants of a room, least vertical cost.
 AREA_OF_ONE, LEAST_OCCUPANTS, LEAST_RISE = 10.0, 1.0, 1.0
+#: Metres within which two ways are equally long.
+_EQUAL = 1e-7
 
 _DISTANCES = "storey string, node string, distance double, parent string, exit string"
 
@@ -91,10 +95,35 @@ def exit_distances(links: DataFrame, doors: DataFrame, landing: DataFrame) -> Da
         seeds = kept(over.groupBy("storey", "node").agg(F.min(F.struct(F.round(F.col("distance") + F.col("cost"), 9).alias("distance"), F.col("from").alias("parent"), "exit")).alias("s")).select("storey", "node", "s.distance", "s.parent", "s.exit"))
         now = settled.agg(F.count(F.lit(1)), F.round(F.sum("distance"), 6)).first()
         if now == before:
-            return settled
+            return _with_parents(settled, nodes, climb)
         before = now
 
 
+def _with_parents(settled: DataFrame, nodes: DataFrame, climb: DataFrame) -> DataFrame:
+    """The settled nodes, each with the parent that the ties' rule gives it."""
+    a = nodes.select("space", F.col("node").alias("from"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    walk = a.join(nodes.select("space", "node", "x", "y"), "space").filter(F.col("from") != F.col("node"))
+    walk = walk.select("from", "node", F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")).alias("cost")).union(climb.select("from", "node", "cost"))
+    known = settled.select("node", "distance", (F.col("parent") == F.col("node")).alias("is_exit"))
+    near = known.select(F.col("node").alias("from"), F.col("distance").alias("near"), F.col("is_exit").alias("from_exit"))
+    steps = kept(walk.join(known.filter("not is_exit"), "node").join(near, "from").filter(F.col("near") + F.col("cost") <= F.col("distance") + _EQUAL))
+    nearer = kept(steps.filter(F.col("near") < F.col("distance") - _EQUAL).groupBy("node").agg(F.min("from").alias("nearer")))
+    anchored = nearer.select(F.col("node").alias("from")).union(near.filter("from_exit").select("from"))
+    same = steps.filter(F.col("cost") <= _EQUAL).join(anchored, "from", "left_semi").groupBy("node").agg(F.min("from").alias("same"))
+    return kept(settled.join(nearer, "node", "left").join(same, "node", "left").select("storey", "node", "distance", F.coalesce("nearer", "same", "parent").alias("parent"), "exit"))
+
+
+def exit_of(distances: DataFrame) -> DataFrame:
+    """(node, exit): where the parents lead to, by doubling pointers."""
+    state = kept(distances.select("node", "parent"))
+    while True:
+        up = state.select(F.col("node").alias("parent"), F.col("parent").alias("further"))
+        after = kept(state.join(up, "parent", "left").select("node", F.coalesce("further", "parent").alias("parent"), (F.col("further") != F.col("parent")).alias("moved")))
+        state = after.select("node", "parent")
+        if after.filter("moved").isEmpty():
+            return state.withColumnRenamed("parent", "exit")
+
+
 def room_exits(spaces: DataFrame, links: DataFrame, doors: DataFrame, landing: DataFrame, distances: DataFrame) -> DataFrame:
     """(space, storey, weight, node, distance, exit): each room's way out from its middle; null where there is none."""
     room = spaces.select("space", "storey", ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("y0") + F.col("y1")) / 2).alias("my"), occupants((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("weight"))

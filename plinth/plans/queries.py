@@ -343,20 +343,46 @@ def _evacuation(b: Building) -> tuple[DataFrame, DataFrame, DataFrame]:
     return evacuation.room_exits(spaces, links, doors, landing, distances), distances, landing
 
 
-@query()
+#: Nodes, steps, distances, parents and rooms' ways in SQL.
+_EVACUATION = """WITH RECURSIVE pn AS (SELECT door, count(DISTINCT space) AS n FROM links GROUP BY door),
+lv AS (SELECT storey, elevation, row_number() OVER (ORDER BY elevation, storey) AS k FROM storeys),
+ls AS (SELECT s.stair, t.storey, t.elevation, min(r.space) AS space FROM (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM stairs) s JOIN lv o ON o.storey = s.storey JOIN lv t ON t.k IN (o.k, o.k + 1)
+       JOIN spaces r ON r.storey = t.storey AND s.x BETWEEN r.x0 AND r.x1 AND s.y BETWEEN r.y0 AND r.y1 GROUP BY s.stair, t.storey, t.elevation),
+nd AS (SELECT 'p:' || l.door AS node, l.space, d.x, d.y, n = 1 AS is_exit FROM links l JOIN doors d USING (door) JOIN pn ON pn.door = l.door
+       UNION ALL SELECT 'v:' || stair || '@' || ls.storey, ls.space, (x0 + x1) / 2, (y0 + y1) / 2, false FROM ls JOIN spaces USING (space)),
+ed AS (SELECT a.node AS f, b.node AS t, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS cost FROM nd a JOIN nd b ON a.space = b.space AND a.node <> b.node
+       UNION ALL SELECT 'v:' || a.stair || '@' || a.storey, 'v:' || b.stair || '@' || b.storey, greatest(abs(a.elevation - b.elevation), 1e0) FROM ls a JOIN ls b ON a.stair = b.stair AND a.elevation <> b.elevation),
+di(node, d) USING KEY (node) AS (SELECT DISTINCT node, 0e0 FROM nd WHERE is_exit
+       UNION SELECT ed.t, min(round(di.d + ed.cost, 9)) FROM di JOIN ed ON ed.f = di.node LEFT JOIN recurring.di r ON r.node = ed.t WHERE r.d IS NULL OR round(di.d + ed.cost, 9) < r.d GROUP BY ed.t),
+ex AS (SELECT DISTINCT node FROM nd WHERE is_exit),
+sp AS (SELECT ed.t AS node, ed.f, ed.cost, a.d AS near, b.d FROM ed JOIN di a ON a.node = ed.f JOIN di b ON b.node = ed.t WHERE a.d + ed.cost <= b.d + 1e-7 AND ed.t NOT IN (SELECT node FROM ex)),
+pr AS (SELECT node, min(f) AS parent FROM sp WHERE near < d - 1e-7 GROUP BY node),
+tr AS (SELECT * FROM pr UNION ALL SELECT node, min(f) FROM sp WHERE cost <= 1e-7 AND node NOT IN (SELECT node FROM pr) AND f IN (SELECT node FROM pr UNION SELECT node FROM ex) GROUP BY node),
+rt AS (SELECT node, node AS root FROM ex UNION ALL SELECT tr.node, rt.root FROM tr JOIN rt ON rt.node = tr.parent),
+rm AS (SELECT space, storey, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my, greatest((x1 - x0) * (y1 - y0) / 10, 1e0) AS weight FROM spaces),
+wy AS (SELECT DISTINCT rm.space, nd.node, round(sqrt((nd.x - mx) * (nd.x - mx) + (nd.y - my) * (nd.y - my)) + di.d, 9) AS total FROM rm JOIN nd USING (space) JOIN di ON di.node = nd.node),
+bs AS (SELECT space, node, total FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY total, node) AS k FROM wy) WHERE k = 1),
+ld AS (SELECT bs.node, rm.weight FROM bs JOIN rm USING (space) UNION ALL SELECT tr.parent, ld.weight FROM ld JOIN tr ON tr.node = ld.node),
+sm AS (SELECT node, round(sum(weight), 6) AS load FROM ld GROUP BY node)
+"""
+
+
+@query(_EVACUATION + "SELECT rm.space, rm.storey, round(weight, 6) AS weight, bs.node, round(bs.total, 6) AS distance, rt.root AS exit FROM rm LEFT JOIN bs USING (space) LEFT JOIN rt ON rt.node = bs.node")
 def evac_rooms(b: Building) -> DataFrame:
     """Each room's way to the nearest exit of the building; null where there is none."""
-    return _evacuation(b)[0]
+    rooms, distances, _ = _evacuation(b)
+    led = rooms.drop("exit").join(evacuation.exit_of(distances), "node", "left")
+    return led.select("space", "storey", r6("weight").alias("weight"), "node", r6("distance").alias("distance"), "exit")
 
 
-@query()
+@query(_EVACUATION + "SELECT node, load FROM sm")
 def evac_load(b: Building) -> DataFrame:
     """Occupants that pass each portal and landing."""
     rooms, distances, _ = _evacuation(b)
     return evacuation.loads(rooms, distances)
 
 
-@query()
+@query(_EVACUATION + "SELECT node, load FROM sm ORDER BY load DESC, node LIMIT 8")
 def top_bottlenecks(b: Building) -> DataFrame:
     """The eight portals and landings of the largest loads."""
     rooms, distances, _ = _evacuation(b)
