@@ -194,7 +194,9 @@ def find(docs: DataFrame, index: Index, *, id_column: str = "doc_id", text_colum
     or null ids change nothing.  Null item ids and items without words are no items.
     """
     nothing = {"n_words": "bigint", "spans": "array<bigint>", "items": "array<bigint>"}
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), *(F.lit(None).cast(k).alias(c) for c, k in nothing.items()), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    same = docs.schema[text_column].dataType == T.StringType()  # then a kept text goes to the workers once
+    also = [c for c in keep if not (same and c == text_column)]
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), *(F.lit(None).cast(k).alias(c) for c, k in nothing.items()), *(F.col(c).alias(f"keep_{c}") for c in also))
 
     def look(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +221,7 @@ def find(docs: DataFrame, index: Index, *, id_column: str = "doc_id", text_colum
 
     for block in index.blocks or [None]:
         rows = rows.mapInArrow(look(block), T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
-    return rows.select(F.col("id").alias(id_column), "n_words", "spans", "items", *(F.col(f"keep_{c}").alias(c) for c in keep))
+    return rows.select(F.col("id").alias(id_column), "n_words", "spans", "items", *(F.col(f"keep_{c}" if c in also else "text").alias(c) for c in keep))
 
 
 def merged(spans: np.ndarray, more: list[int] | None) -> list[int]:

@@ -124,17 +124,20 @@ def score(docs: DataFrame, weights: np.ndarray, *, id_column: str = "doc_id", te
                 slots, size = ngrams(batch.column(1), bits)
                 at = _sums(w[slots], size) * float(_SCALE) / np.maximum(size, 1) + float(w[-1])
                 p = 1.0 / (1.0 + np.exp(-np.clip(at, -40, 40)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), *batch.columns[2:]], ["id", "score", *(f"keep_{c}" for c in keep)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), *(batch.column(c) for c in returned)], ["id", "score", *returned])
 
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    scored = rows.mapInArrow(apply, _with_score(rows, keep))
+    same = docs.schema[text_column].dataType == T.StringType()  # then a kept text goes to the workers once
+    also = [c for c in keep if not (same and c == text_column)]
+    returned = ["text", *(f"keep_{c}" for c in also)] if len(also) < len(keep) else [f"keep_{c}" for c in also]
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in also))
+    scored = rows.mapInArrow(apply, _with_score(rows, returned))
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return scored.select(F.col("id").alias(id_column), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"keep_{c}").alias(c) for c in keep if c != id_column))
+    return scored.select(F.col("id").alias(id_column), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"keep_{c}" if c in also else "text").alias(c) for c in keep if c != id_column))
 
 
-def _with_score(rows: DataFrame, keep: tuple[str, ...]) -> T.StructType:
+def _with_score(rows: DataFrame, returned: list[str]) -> T.StructType:
     by = {f.name: f for f in rows.schema.fields}
-    return T.StructType([by["id"], T.StructField("score", T.DoubleType()), *(by[f"keep_{c}"] for c in keep)])
+    return T.StructType([by["id"], T.StructField("score", T.DoubleType()), *(by[c] for c in returned)])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> DataFrame:
