@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from plinth.llm import shared, textbytes
 
 _STEP = 1 << 20  # candidate starts that are looked at together
+#: Bytes of text whose words are hashed at once: their arrays are several times as large.
+_SLICE = 1 << 21
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +60,7 @@ def _pieces(benchmark: DataFrame, id_column: str, text_column: str, window: int,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in shared.sliced(whole, 1):
+            for batch in shared.sliced(whole, 1, _SLICE):
                 h, first = word_hashes(batch.column(1))
                 for i, item in enumerate(batch.column(0).to_pylist()):
                     own = h[first[i] : first[i + 1]]
@@ -175,7 +177,7 @@ class Index:
             known = shared_terms.value
             total = np.zeros(len(known), np.int64)
             for whole in batches:
-                for batch in shared.sliced(whole, 0):
+                for batch in shared.sliced(whole, 0, _SLICE):
                     ids = _term_ids(word_hashes(batch.column(0))[0], known)
                     total += np.bincount(ids[ids >= 0], minlength=len(known))
             has = np.flatnonzero(total)
@@ -202,7 +204,7 @@ def find(docs: DataFrame, index: Index, *, id_column: str = "doc_id", text_colum
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = block.value if block else None
             for whole in batches:
-                for batch in shared.sliced(whole, 1):
+                for batch in shared.sliced(whole, 1, _SLICE):
                     h, first = word_hashes(batch.column(1))
                     size = np.diff(first)
                     spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
