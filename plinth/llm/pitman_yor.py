@@ -3,25 +3,33 @@
 Each context word has a restaurant whose customers are the words that follow it;
 the tables of all of them are the customers of one parent restaurant over words,
 whose base is uniform over the known words and one unknown one.  Seating is
-sampled by Gibbs sweeps: in a sweep every dish's customers leave and are seated
-anew, one after another, against the tables that the others left; after a burn-in
-the sweeps' predictive probabilities are averaged.
+sampled by Gibbs sweeps, restaurants and parent in turn, and the predictive
+probabilities of the rounds after a burn-in are averaged.
 
 Spark deals the work.  Slices of documents count their distinct words and word
 pairs in training, and send them, packed, to buckets: pairs by a hash of the
-context, words by a hash of themselves.  A bucket of pairs holds whole
-restaurants; while it samples, the parent's probabilities are those of its own
-tables, and its table counts then go to the parent's buckets.  Answers go back to
-the slices in the order of the requests, so keys travel once.  No bucket grows
-with a word's frequency, only with its distinct neighbours in each slice.
+context, words by a hash of themselves.  A bucket of pairs merges its counts once
+(`_merge`).  A round is two shuffles: the parent's buckets take the tables of
+their words from all restaurants, seat them (`_parent`) and answer with the words'
+customers and tables there; the restaurants' buckets seat their dishes anew with
+the parent's probabilities (`_restaurants`).  Dishes of one customer have one table
+for ever, so that only the others have a state.  At last each bucket answers the
+slices in the order of their requests, so keys travel once (`_answer`).  No bucket
+grows with a word's frequency, only with its distinct neighbours in each slice.
+
+Discounts are one for all restaurants and one for the parent, and a dish's random
+numbers come from its own words and the number of the sweep: how many buckets
+there are, and which dishes share one, doesn't change a score.
 
 A sweep seats the dishes of all restaurants at once, given the tables of the last
-sweep; customers of dishes with very many are seated in groups that grow with the
-number seated, within which the probability of a new table is held.
+sweep: a dish's customers leave and are seated one after another; those of dishes
+with very many in groups that grow with the number seated, within which the
+probability of a new table is held.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,50 +125,61 @@ def _split(bucket: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
 
 
-def seat(c: np.ndarray, context: np.ndarray, word: np.ndarray, *, d: float, theta: float, sweeps: int, burn_in: int, seed: int, base: np.ndarray | None = None) -> np.ndarray:
-    """Mean number of tables of each dish over the sweeps after the burn-in.
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return ((textbytes.mix(h) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
-    c: customers of each dish, 1 at least; context: its restaurant.  The parent's
-    probability of a dish is its word's share of all tables, or `base`.
+
+def binomial(n: np.ndarray, p: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Binomial draws that depend on the 64-bit hashes h alone: inverted sums for means up to 30, a rounded normal beyond."""
+    sure, p = p >= 1, np.clip(p, 0.0, 1 - 1e-12)
+    mean, u = n * p, _uniform(h)
+    normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * _uniform(h ^ np.uint64(0x9E3779B97F4A7C15)))
+    out = np.where(mean > 30, np.clip(np.rint(mean + normal * np.sqrt(mean * (1 - p))), 0, n), 0.0)
+    left = np.flatnonzero(mean <= 30)
+    term = np.exp(n[left] * np.log1p(-p[left]))
+    total, odds, k = term.copy(), p[left] / (1 - p[left]), 0
+    while True:
+        more = (u[left] > total) & (k < n[left]) & ((term > 1e-18) | (k < mean[left]))
+        left, term, total, odds = left[more], term[more], total[more], odds[more]
+        if not len(left):
+            return np.where(sure, n, out)
+        k += 1
+        term = term * odds * (n[left] - k + 1) / k
+        total = total + term
+        out[left] = k
+
+
+def reseat(c: np.ndarray, t: np.ndarray, context: np.ndarray, tables: np.ndarray, p: np.ndarray, key: np.ndarray, *, d: float, theta: float, sweep: int) -> np.ndarray:
+    """One sweep: new numbers of tables of all dishes, given those of the last sweep.
+
+    c: customers of each dish, 2 at least; t: its tables; context: its restaurant,
+    with `tables` in all; p: the parent's probability of it; key: 64 bits of its own.
     """
-    rng = np.random.Generator(np.random.PCG64(seed))
-    t, mean = np.ones(len(c)), np.zeros(len(c))
-    tables = np.bincount(context, minlength=int(context.max(initial=-1)) + 1).astype(float)
     order = np.argsort(-c, kind="stable")
-    many = order[: int((c > 1).sum())]  # dishes with something to sample, the largest first
-    size = c[many]
-    for sweep in range(sweeps):
-        if base is None:
-            share = np.bincount(word, weights=t)
-            p = (share[word[many]] + 0.5) / (share.sum() + 0.5 * len(share))
-        else:
-            p = base[many]
-        others = tables[context[many]] - t[many]
-        own, seated = np.ones(len(many)), 1
-        while True:
-            n = int(np.searchsorted(-size, -seated))  # dishes with more customers than are seated
-            if not n:
-                break
-            group = np.minimum(size[:n] - seated, max(1, seated // 8))
-            new = (theta + d * (others[:n] + own[:n])) * p[:n]
-            own[:n] += rng.binomial(group, new / (new + seated - d * own[:n]))
-            seated += max(1, seated // 8)
-        tables += np.bincount(context[many], weights=own - t[many], minlength=len(tables))
-        t[many] = own
-        if sweep >= burn_in:
-            mean += t / (sweeps - burn_in)
-    return mean
-
-
-def discount(c: np.ndarray) -> float:
+    size = c[order]
+    others, p, key = (tables[context] - t)[order], p[order], textbytes.mix(key[order] + np.uint64(sweep))
+    own, seated, step = np.ones(len(c)), 1, 0
+    while n := int(np.searchsorted(-size, -seated)):  # dishes with more customers than are seated
+        new = (theta + d * (others[:n] + own[:n])) * p[:n]
+        group = np.minimum(size[:n] - seated, max(1, seated // 8))
+        step += 1
+        own[:n] += binomial(group, new / (new + seated - d * own[:n]), key[:n] + np.uint64(step << 32))
+        seated += max(1, seated // 8)
+    out = np.empty(len(c), np.int64)
+    out[order] = own
+    return out
+
+
+def discount(one: int, two: int) -> float:
     """From the numbers of dishes with one and with two customers."""
-    n1, n2 = int((c == 1).sum()), int((c == 2).sum())
-    return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
 
 
 _PAIRS = "bucket bigint, slice bigint, contexts binary, held binary, words binary, counts binary"
-_SEATED = "kind int, bucket bigint, slice bigint, one binary, two binary, three binary"
-_WORDS = "kind int, bucket bigint, slice bigint, one binary, two binary, three binary"
+_ROWS = "kind int, bucket bigint, slice bigint, one binary, two binary, three binary"
+_NAMES = ["kind", "bucket", "slice", "one", "two", "three"]
+# What a row of _ROWS holds, by its kind; the sums of _SUMS are numbers in text.
+_ASKED, _DOCS, _SUMS, _CONTEXTS, _DISHES, _SEATS, _TABLES, _SINGLES, _PARENT, _SHARES, _OF_PAIRS, _OF_WORDS = range(12)
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -168,83 +187,187 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int32() if n == "kind" else pa.int64() if n in ("bucket", "slice") else pa.binary()) for n, c in zip(names, columns, strict=True)})
 
 
-_NAMES = ["kind", "bucket", "slice", "one", "two", "three"]
+def _sums(*numbers: int) -> tuple:
+    return (_SUMS, -1, None, " ".join(str(int(x)) for x in numbers).encode(), b"", b"")
+
+
+def _added(table: DataFrame, n: int) -> list[int]:
+    """The sums of all buckets, one row to the driver."""
+    each = F.split(F.decode("one", "UTF-8"), " ")
+    row = table.filter(F.col("kind") == _SUMS).agg(*(F.sum(each[i].cast("bigint")) for i in range(n))).first()
+    return [int(x or 0) for x in row]
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder, a folder for each kind, so that a round reads what it needs."""
+    path = shared.scratch(df.sparkSession, name)
+    df.write.partitionBy("kind").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(_NAMES)
+
+
+def _of(table: DataFrame, *kinds: int) -> DataFrame:
+    return table.filter(F.col("kind").isin(*kinds))
+
+
+def _rows(group: pa.Table, kind: int) -> list[tuple]:
+    """(bucket, slice, one, two, three) of a kind's rows in order of the slice."""
+    own = group.filter(pc.equal(group["kind"], kind)).sort_by("slice")
+    return list(zip(*(own[c].to_pylist() for c in _NAMES[1:]), strict=True))
+
 
+def _ints(data: bytes, width: int = 8) -> np.ndarray:
+    return _values(data, width).astype(np.int64)
 
-def _seat_bucket(key: tuple, group: pa.Table, word_buckets: int, sweeps: int, burn_in: int, theta: float) -> pa.Table:
-    """Seats the restaurants of a bucket; kind 0: answers to a slice, kind 1: tables of each word, to the parent's buckets."""
-    group = group.sort_by("slice")
+
+def _gaps(values: np.ndarray) -> bytes:
+    return _planes(np.diff(values, prepend=0), 4)
+
+
+def _to_parent(kind: int, bucket: int, words: np.ndarray, tables: np.ndarray, word_buckets: int) -> list[tuple]:
+    """Tables of each word, to the parent's buckets."""
+    of = _bucket(words, word_buckets)
+    return [(kind, int(of[p[0]]), bucket, _planes(words[p], 5), _planes(tables[p], 8), b"") for p in _split(of)]
+
+
+def _merge(key: tuple, group: pa.Table, word_buckets: int) -> pa.Table:
+    """Counts of a bucket's dishes: what each slice asked for, the restaurants, the dishes that have a state, and first tables."""
+    b, group = key[0].as_py(), group.sort_by("slice")
     asked = []
     for s, u, h, w, c in zip(*(group[x].to_pylist() for x in ("slice", "contexts", "held", "words", "counts")), strict=True):
-        held = _values(h, 4).astype(np.int64)
-        asked.append((s, _values(u, 8), held, _values(w, 5), _values(c, 4).astype(np.int64)))
-    u = np.concatenate([np.repeat(a[1], a[2]) for a in asked])
-    w, c = np.concatenate([a[3] for a in asked]), np.concatenate([a[4] for a in asked])
-    _, one, dish = np.unique(textbytes.mix(u) * np.uint64(3) + textbytes.mix(w), return_index=True, return_inverse=True)
-    count = np.bincount(dish, weights=c).astype(np.int64)
-    contexts, context = np.unique(u[one], return_inverse=True)
-    words, word = np.unique(w[one], return_inverse=True)
-    live = np.flatnonzero(count > 0)
-    d = discount(count[live])
-    tables = np.zeros(len(count))
-    if len(live):
-        tables[live] = seat(count[live], context[live], word[live], d=d, theta=theta, sweeps=sweeps, burn_in=burn_in, seed=int(key[0].as_py()))
-    customers = np.bincount(context, weights=count, minlength=len(contexts))
-    all_tables = np.bincount(context, weights=tables, minlength=len(contexts))
-    own = count - d * tables  # the restaurant's own part of each dish, of theta + customers; mostly 1 - d, which packs well
-    rest = np.where(customers > 0, theta + d * all_tables, theta)  # the parent's part
-    rows, at = [], 0
-    for s, wanted, held, _, _ in asked:
-        n, where = int(held.sum()), np.searchsorted(contexts, wanted)
-        rows.append((0, key[0].as_py(), s, _floats(own[dish[at : at + n]]), _floats(rest[where]), _planes(customers[where].astype(np.int64), 4)))
-        at += n
-    by_word = np.bincount(word, weights=tables, minlength=len(words))
-    for part in _split(np.where(by_word > 0, _bucket(words, word_buckets), -1)):
-        if by_word[part[0]] > 0:
-            rows.append((1, int(_bucket(words[part[:1]], word_buckets)[0]), None, _planes(words[part], 5), _floats(by_word[part]), b""))
+        asked.append((s, _values(u, 8), _ints(h, 4), _values(w, 5), _ints(c, 4)))
+    contexts = np.unique(np.concatenate([a[1] for a in asked]))
+    where = [np.searchsorted(contexts, a[1]) for a in asked]
+    pair = np.concatenate([(np.repeat(i, a[2]).astype(np.uint64) << np.uint64(40)) | a[3] for i, a in zip(where, asked, strict=True)])
+    pair, dish = np.unique(pair, return_inverse=True)
+    count = np.bincount(dish, weights=np.concatenate([a[4] for a in asked])).astype(np.int64)
+    context, word = (pair >> np.uint64(40)).astype(np.int64), pair & np.uint64((1 << 40) - 1)
+    many, single = np.flatnonzero(count > 1), np.flatnonzero(count == 1)
+    place = np.cumsum(count > 1) - 1
+    rows, at = [_sums(len(single), (count == 2).sum())], 0
+    for (s, _, held, _, _), i in zip(asked, where, strict=True):
+        own = dish[at : at + int(held.sum())]
+        at += len(own)
+        rows.append((_ASKED, b, s, _planes(count[own], 8), _gaps(place[own][count[own] > 1]), _gaps(i)))
+    words, of = np.unique(word[many], return_inverse=True)
+    alone = np.bincount(context[single], minlength=len(contexts))
+    rows.append((_CONTEXTS, b, None, _planes(contexts, 8), _planes(np.bincount(context[many], minlength=len(contexts)), 4), _planes(alone, 8)))
+    rows.append((_DISHES, b, None, _planes(words, 5), _planes(of, 4), _planes(count[many], 8)))
+    rows += _to_parent(_TABLES, b, words, np.bincount(of, minlength=len(words)), word_buckets)
+    rows += _to_parent(_SINGLES, b, *np.unique(word[single], return_counts=True), word_buckets)
     return _table(rows, _NAMES)
 
 
-def _word_bucket(key: tuple, group: pa.Table, sweeps: int, burn_in: int, theta: float) -> pa.Table:
-    """kind 0: each asked word's training count and its share and tables in the parent; kind 2: the bucket's totals."""
-    kinds, slices = group["kind"].to_pylist(), group["slice"].to_pylist()
-    ones, twos, threes = (group[c].to_pylist() for c in ("one", "two", "three"))
-    asked = sorted((s, i) for i, (k, s) in enumerate(zip(kinds, slices, strict=True)) if k == 2)
-    full = [_values(ones[i], 8) for _, i in asked]
-    counts = [_values(twos[i], 4).astype(np.int64) for _, i in asked]
+def _parent(key: tuple, group: pa.Table, number: int, sweeps: int, d: float, theta: float, tables: int, known: int) -> pa.Table:
+    """The parent's words of a bucket: customers (the restaurants' tables) and tables, seated anew, and answers to the restaurants' buckets."""
+    b = key[0].as_py()
+    told = _rows(group, _TABLES)
+    got = [(_values(one, 5), _ints(two)) for _, _, one, two, _ in told + _rows(group, _SINGLES)]
+    words, back = np.unique(np.concatenate([w for w, _ in got]), return_inverse=True)
+    c = np.bincount(back, weights=np.concatenate([t for _, t in got])).astype(np.int64)
+    t = np.ones(len(c), np.int64)
+    for _, _, _, _, last in _rows(group, _PARENT):  # the same words in every round
+        t = np.minimum(_ints(last), c)
+        many = np.flatnonzero(c > 1)
+        for sweep in range(sweeps):
+            one = np.zeros(len(many), np.int64)
+            t[many] = reseat(c[many], t[many], one, np.array([tables]), np.full(len(many), 1 / (known + 1)), textbytes.mix(words[many]), d=d, theta=theta, sweep=number * sweeps + sweep)
+    rows = [_sums(len(c), c.sum(), t.sum(), (c == 1).sum(), (c == 2).sum()), (_PARENT, b, number, _planes(words, 5), _planes(c, 8), _planes(t, 8))]
+    at = 0
+    for (_, asker, *_), (w, _) in zip(told, got, strict=False):
+        i = back[at : at + len(w)]
+        at += len(w)
+        rows.append((_SHARES, asker, b, _planes(c[i], 8), _planes(t[i], 8), b""))
+    return _table(rows, _NAMES)
+
+
+class Bucket:
+    """The restaurants of a bucket and the dishes with a state."""
+
+    def __init__(self, group: pa.Table):
+        _, _, contexts, held, alone = _rows(group, _CONTEXTS)[0]
+        _, _, words, of, counts = _rows(group, _DISHES)[0]
+        self.contexts, self.words, self.word, self.count = _values(contexts, 8), _values(words, 5), _ints(of, 4), _ints(counts)
+        self.context, self.alone = np.repeat(np.arange(len(self.contexts)), _ints(held, 4)), _ints(alone)
+
+    def tables(self, t: np.ndarray) -> np.ndarray:
+        return self.alone + self._sum(t)
+
+    def customers(self) -> np.ndarray:
+        return self.alone + self._sum(self.count)
+
+    def _sum(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=x, minlength=len(self.contexts)).astype(np.int64)
+
+
+def _restaurants(key: tuple, group: pa.Table, number: int, sweeps: int, d: float, theta: float, word_buckets: int, base: tuple) -> pa.Table:
+    """A bucket's dishes seated anew with the parent's probabilities; their tables by word go to the parent."""
+    b, here = key[0].as_py(), Bucket(group)
+    t = np.ones(len(here.count), np.int64)
+    for _, _, one, _, _ in _rows(group, _SEATS):
+        t = _ints(one)
+    answers = {s: (_ints(one), _ints(two)) for _, s, one, two, _ in _rows(group, _SHARES)}
+    share, of = np.zeros(len(here.words)), _bucket(here.words, word_buckets)
+    for part in _split(of):
+        c0, t0 = answers[int(of[part[0]])]
+        share[part] = _probability(c0, t0, theta, *base)
+    own = textbytes.mix(here.contexts)[here.context] * np.uint64(3) + textbytes.mix(here.words)[here.word]
+    for sweep in range(sweeps if len(t) else 0):
+        t = reseat(here.count, t, here.context, here.tables(t), share[here.word], own, d=d, theta=theta, sweep=number * sweeps + sweep)
+    by_word = np.bincount(here.word, weights=t, minlength=len(here.words)).astype(np.int64)
+    return _table([(_SEATS, b, number, _planes(t, 8), b"", b""), *_to_parent(_TABLES, b, here.words, by_word, word_buckets)], _NAMES)
+
+
+def _probability(c: np.ndarray, t: np.ndarray, theta: float, d: float, known: int, customers: int, tables: int) -> np.ndarray:
+    """The parent's predictive probability of words with c customers and t tables there."""
+    return (c - d * t + (theta + d * tables) / (known + 1)) / (theta + customers)
+
+
+def _answer(key: tuple, group: pa.Table, d: float, theta: float) -> pa.Table:
+    """For each slice: its dishes' own parts (means over the rounds kept), its restaurants' parent parts in each of them, and customers."""
+    b, here = key[0].as_py(), Bucket(group)
+    seats = [_ints(one) for _, _, one, _, _ in _rows(group, _SEATS)]
+    customers, mean = here.customers(), np.mean(seats, axis=0)
+    rest = [np.where(customers > 0, theta + d * here.tables(t), theta) for t in seats]
+    rows = []
+    for _, s, counts, places, where in _rows(group, _ASKED):
+        c, where = _ints(counts), np.cumsum(_ints(where, 4))
+        own = c - d * (c > 0)
+        own[c > 1] = c[c > 1] - d * mean[np.cumsum(_ints(places, 4))]
+        rows.append((_OF_PAIRS, b, s, _floats(own), _floats(np.concatenate([r[where] for r in rest])), _planes(customers[where], 8)))
+    return _table(rows, _NAMES)
+
+
+def _words(key: tuple, group: pa.Table, d: float) -> pa.Table:
+    """For each slice: its words' training counts and their own parts of the parent in each round kept."""
+    asked = _rows(group, _DOCS)
+    full = [_values(one, 8) for _, _, one, _, _ in asked]
     words, back = np.unique(np.concatenate([*full, np.zeros(0, np.uint64)]), return_inverse=True)
-    count = np.bincount(back, weights=np.concatenate([*counts, np.zeros(0, np.int64)]), minlength=len(words)).astype(np.int64)
-    customers = np.zeros(len(words))
-    short = words >> _SHORT
-    for i, k in enumerate(kinds):
-        if k == 1:
-            w, t = _values(ones[i], 5), _from_floats(twos[i])
-            at = np.searchsorted(short, w)
-            ok = at < len(short)
-            ok[ok] = short[at[ok]] == w[ok]
-            np.add.at(customers, at[ok], t[ok])
-    whole = np.maximum(np.rint(customers), count > 0).astype(np.int64)
-    live = np.flatnonzero(whole > 0)
-    d = discount(whole[live])
-    tables = np.zeros(len(words))
-    if len(live):
-        tables[live] = seat(whole[live], np.zeros(len(live), np.int64), np.arange(len(live)), d=d, theta=theta, sweeps=sweeps, burn_in=burn_in, seed=int(key[0].as_py()), base=np.full(len(live), 1.0 / len(live)))
-    totals = np.array([count.sum(), (count > 0).sum(), whole.sum(), (d * tables).sum()], "<f8")
-    rows, at = [(2, key[0].as_py(), None, totals.tobytes(), b"", b"")], 0
-    for (s, _), own in zip(asked, full, strict=True):
-        i = back[at : at + len(own)]
-        rows.append((0, key[0].as_py(), s, _planes(count[i], 4), _floats(whole[i] - d * tables[i]), b""))
-        at += len(own)
+    count = np.bincount(back, weights=np.concatenate([*(_ints(two, 4) for _, _, _, two, _ in asked), np.zeros(0)]), minlength=len(words)).astype(np.int64)
+    own = []
+    for _, _, one, c, t in _rows(group, _PARENT):
+        known, share = _values(one, 5), _ints(c) - d * _ints(t)
+        at = np.minimum(np.searchsorted(known, words >> _SHORT), len(known) - 1)
+        own.append(np.where(known[at] == words >> _SHORT, share[at], 0.0))
+    rows, at = [_sums(count.sum(), (count > 0).sum())], 0
+    for (b, s, *_), w in zip(asked, full, strict=True):
+        i = back[at : at + len(w)]
+        at += len(w)
+        rows.append((_OF_WORDS, b, s, _planes(count[i], 8), _floats(np.concatenate([x[i] for x in own] or [np.zeros(0)])), b""))
     return _table(rows, _NAMES)
 
 
-def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text_column: str = "text", sweeps: int = 8, burn_in: int = 3, theta: float = 1.0, slice_bytes: int = 12 << 20, bucket_pairs: int = 1_200_000) -> DataFrame:
+def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text_column: str = "text", rounds: int = 5, kept: int = 3, sweeps: int = 2, theta: float = 1.0, slice_bytes: int = 12 << 20, bucket_pairs: int = 1_200_000) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) for every row.
 
     train: boolean column expression that says which rows are learnt from (null:
     learnt from).  Null and empty texts are one end token.  Every row is a text of
     its own, whatever its id.  With nothing to learn from, words have the uniform
     probability.
+
+    rounds: exchanges between restaurants and parent, of `sweeps` sweeps each; the
+    predictive probabilities after each of the last `kept` ones are averaged.
+    theta: the concentration of all restaurants.  slice_bytes and bucket_pairs
+    bound a task's memory and don't change a score.
     """
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     rows = shared.stable(rows)
@@ -263,7 +386,7 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches, slice_bytes):
             bucket = _bucket(s.words >> _SHORT, buckets)
-            yield from _table([(2, int(bucket[p[0]]), s.name, _planes(s.words[p], 8), _planes(s.word_counts[p], 4), b"") for p in _split(bucket)], _NAMES).to_batches()
+            yield from _table([(_DOCS, int(bucket[p[0]]), s.name, _planes(s.words[p], 8), _planes(s.word_counts[p], 4), b"") for p in _split(bucket)], _NAMES).to_batches()
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A slice's documents: ids as Arrow, tokens per text, and tokens as word numbers by falling frequency."""
@@ -275,15 +398,36 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("n", pa.int64())])) as out:
                 out.write_batch(pa.RecordBatch.from_arrays([s.ids, pa.array(s.train), pa.array(s.size)], ["id", "train", "n"]))
-            yield from _table([(3, -1, s.name, sink.getvalue().to_pybytes(), _planes(rank[s.at], 4), _planes(s.words[order], 8))], _NAMES).to_batches()
-
-    seated = shared.table(rows.mapInArrow(ask_pairs, _PAIRS).groupBy("bucket").applyInArrow(lambda k, g: _seat_bucket(k, g, buckets, sweeps, burn_in, theta), _SEATED), "seated")
-    words = shared.table(rows.mapInArrow(ask_words, _WORDS).union(seated.filter("kind = 1")).groupBy("bucket").applyInArrow(lambda k, g: _word_bucket(k, g, sweeps, burn_in, theta), _WORDS), "words")
-    totals = [np.frombuffer(r["one"], "<f8") for r in words.filter("kind = 2").select("one").toLocalIterator()]  # four numbers a bucket
-    n, v, customers, taken = np.sum(totals, 0) if totals else np.zeros(4)
+            yield from _table([(_DOCS, -1, s.name, sink.getvalue().to_pybytes(), _planes(rank[s.at], 4), _planes(s.words[order], 8))], _NAMES).to_batches()
+
+    def grouped(parts: list[DataFrame], work) -> DataFrame:  # noqa: ANN001
+        every = functools.reduce(DataFrame.unionByName, parts)
+        return every.groupBy("bucket").applyInArrow(work, _ROWS)
+
+    def parent(number: int, d: float, tables: int, known: int, *parts: DataFrame) -> DataFrame:
+        return _kept(grouped([_of(merged, _SINGLES), *parts], lambda k, g: _parent(k, g, number, sweeps, d, theta, tables, known)), "parent")
+
+    def restaurants(number: int, base: tuple, *parts: DataFrame) -> DataFrame:
+        return _kept(grouped([_of(merged, _CONTEXTS, _DISHES), *parts], lambda k, g: _restaurants(k, g, number, sweeps, d, theta, buckets, base)), "seated")
+
+    merged = _kept(rows.mapInArrow(ask_pairs, _PAIRS).groupBy("bucket").applyInArrow(lambda k, g: _merge(k, g, buckets), _ROWS), "merged")
+    d = discount(*_added(merged, 2))
+    above = parent(0, 0.0, 0, 0, _of(merged, _TABLES))
+    known, customers, tables, *few = _added(above, 5)
+    parent_d, last, seats, shares, bases = discount(*few), [], [], [], []
+    for number in range(1, rounds + 1):
+        below = restaurants(number, (parent_d, known, customers, tables), _of(above, _SHARES), *last)
+        above = parent(number, parent_d, tables, known, _of(below, _TABLES), _of(above, _PARENT))
+        _, customers, tables, *_ = _added(above, 5)
+        last = [_of(below, _SEATS)]
+        if number > rounds - kept:
+            seats, shares = [*seats, *last], [*shares, _of(above, _PARENT)]
+            bases.append(((theta + parent_d * tables) / (known + 1), theta + customers))
+    words = _kept(grouped([rows.mapInArrow(ask_words, _ROWS), *shares], lambda k, g: _words(k, g, parent_d)), "words")
+    n, v = _added(words, 2)
 
     def score(key: tuple, group: pa.Table) -> pa.Table:
-        return pa.concat_tables([score_head(group, int(head)) for head in np.flatnonzero(group["kind"].to_numpy() == 3)])
+        return pa.concat_tables([score_head(group, int(head)) for head in np.flatnonzero(group["kind"].to_numpy() == _DOCS)])
 
     def score_head(group: pa.Table, head: int) -> pa.Table:
         kind, bucket = group["kind"].to_numpy(), group["bucket"].to_numpy()
@@ -302,29 +446,34 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
         s.before[1:] = s.tokens[:-1]
         s.before[np.cumsum(size) - size] = _END
         s.learnt = np.zeros(len(s.tokens))
-        count, share = np.zeros(len(s.words)), np.zeros(len(s.words))
-        answers = {int(b): i for i, b in zip(np.flatnonzero(kind == 0), bucket[kind == 0], strict=True)}
+        count, share = np.zeros(len(s.words)), np.zeros((kept, len(s.words)))
+        answers = {int(b): i for i, b in zip(np.flatnonzero(kind == _OF_WORDS), bucket[kind == _OF_WORDS], strict=True)}
         for part in _split(_bucket(s.words >> _SHORT, buckets)):
             i = answers[int(_bucket(s.words[part[:1]] >> _SHORT, buckets)[0])]
-            count[part], share[part] = _values(get(i, "one"), 4), _from_floats(get(i, "two"))
+            count[part] = _values(get(i, "one"), 8)
+            if len(own := _from_floats(get(i, "two"))):  # nothing where no word is known
+                share[:, part] = own.reshape(kept, -1)
         u, _, _, back = s.pairs()
-        own, rest = np.zeros(len(u)), np.zeros(len(u))
-        answers = {int(b): i for i, b in zip(np.flatnonzero(kind == 4), bucket[kind == 4], strict=True)}
+        own, rest = np.zeros(len(u)), np.zeros((kept, len(u)), np.float32)
+        answers = {int(b): i for i, b in zip(np.flatnonzero(kind == _OF_PAIRS), bucket[kind == _OF_PAIRS], strict=True)}
         for part in _split(_bucket(u, buckets)):
             i = answers[int(_bucket(u[part[:1]], buckets)[0])]
             of = np.cumsum(np.append(True, u[part][1:] != u[part][:-1])) - 1
-            everyone = theta + _values(get(i, "three"), 4).astype(np.int64)[of]
-            own[part] = _from_floats(get(i, "one")) / everyone
-            rest[part] = _from_floats(get(i, "two"))[of] / everyone
-        parent = (share + (theta + taken) / (v + 1)) / (theta + customers)
+            everyone = theta + _ints(get(i, "three"))
+            own[part] = _from_floats(get(i, "one")) / everyone[of]
+            rest[:, part] = (_from_floats(get(i, "two")).reshape(kept, -1) / everyone)[:, of]
+        chance = own[back]
+        for part, above, (base, everyone) in zip(rest, share, bases, strict=True):
+            chance += part[back] * ((above + base) / everyone)[s.at] / kept
         total = lambda x: np.add.reduceat(x, np.cumsum(size) - size)
         known = count[s.at]
         return pa.table({
             "id": docs["id"], "train": docs["train"], "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(total((known > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(size), int(n)), pa.int64()),
-            "base_score": pa.array(total(np.log10((known + 0.5) / (n + 0.5 * (v + 1))))), "score": pa.array(total(np.log10(own[back] + rest[back] * parent[s.at]))),
+            "base_score": pa.array(total(np.log10((known + 0.5) / (n + 0.5 * (v + 1))))), "score": pa.array(total(np.log10(chance))),
         })
 
-    answers = seated.filter("kind = 0").withColumn("kind", F.lit(4)).union(words.filter("kind = 0")).union(rows.mapInArrow(heads, _WORDS))
+    pairs = grouped([_of(merged, _ASKED, _CONTEXTS, _DISHES), *seats], lambda k, g: _answer(k, g, d, theta))
+    answers = pairs.unionByName(_of(words, _OF_WORDS)).unionByName(rows.mapInArrow(heads, _ROWS))
     out = answers.groupBy("slice").applyInArrow(score, "id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_column)
 

@@ -393,8 +393,100 @@ def test_training_is_the_published_update(spark, rows):
 
 
 def test_seating_is_within_bounds():
-    c = np.array([1, 1, 2, 5, 100, 20_000])
-    t = pitman_yor.seat(c, np.array([0, 0, 0, 1, 1, 1]), np.arange(6), d=0.5, theta=1.0, sweeps=6, burn_in=2, seed=1)
-    assert (t >= 1).all() and (t <= c).all() and t[0] == 1 and t[5] > 1
-    again = pitman_yor.seat(c, np.array([0, 0, 0, 1, 1, 1]), np.arange(6), d=0.5, theta=1.0, sweeps=6, burn_in=2, seed=1)
-    assert (t == again).all()
+    c, context, word = np.array([2, 2, 2, 5, 100, 20_000]), np.array([0, 0, 0, 1, 1, 1]), np.arange(6, dtype=np.uint64)
+    seated = []
+    for _ in range(2):
+        t = np.ones(6, np.int64)
+        for sweep in range(6):
+            t = pitman_yor.reseat(c, t, context, np.bincount(context, weights=t), np.full(6, 1 / 6), word, d=0.5, theta=1.0, sweep=sweep)
+            assert (t >= 1).all() and (t <= c).all()
+        seated.append(t)
+    assert (seated[0] == seated[1]).all() and seated[0][5] > 1
+
+
+def test_binomial_draws():
+    for n, p in ((1, 0.3), (7, 0.9), (40, 0.01), (1000, 0.02), (5000, 0.4), (3, 0.0), (3, 1.0)):
+        got = pitman_yor.binomial(np.full(200_000, n), np.full(200_000, p), np.arange(200_000, dtype=np.uint64))
+        sd = np.sqrt(n * p * (1 - p))
+        assert (got >= 0).all() and (got <= n).all()
+        assert abs(got.mean() - n * p) <= 5 * sd / np.sqrt(len(got)) + 1e-9 and abs(got.std() - sd) <= 0.02 * sd + 1e-6
+
+
+def test_tables_of_two_customers_are_gibbs_draws():
+    """Two customers sit apart with odds of (theta + d (others + 1)) p to 1 - d: the conditional of one dish given the rest."""
+    n, d, theta, p, others = 100_000, 0.4, 1.5, 0.3, 4
+    t = pitman_yor.reseat(np.full(n, 2), np.ones(n, np.int64), np.arange(n), np.full(n, others + 1), np.full(n, p), np.arange(n, dtype=np.uint64), d=d, theta=theta, sweep=3)
+    apart = (theta + d * (others + 1)) * p
+    assert abs((t == 2).mean() - apart / (apart + 1 - d)) < 0.01
+
+
+def test_scores_do_not_depend_on_buckets_or_slices(spark, rows):
+    scores = [
+        {(r.doc_id, r.n_tokens, r.score) for r in pitman_yor.pitman_yor_scores(frame(spark, rows), F.col("doc_id") % 5 != 1, slice_bytes=size, bucket_pairs=pairs).collect()}
+        for size, pairs in ((12 << 20, 1_200_000), (20_000, 300), (50_000, 70))
+    ]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def customers_one_by_one(pairs, sweeps, burn_in, d, parent_d, theta, seed):
+    """Plain sampler: customers leave and come back one at a time, and so do their tables above; mean predictive of each (context, word)."""
+    rng = np.random.default_rng(seed)
+    vocabulary = sorted({w for _, w in pairs})
+    below, above = collections.defaultdict(list), {w: [] for w in vocabulary}  # sizes of tables
+
+    def p(w):
+        total, tables = sum(map(sum, above.values())), sum(map(len, above.values()))
+        return (sum(above[w]) - parent_d * len(above[w]) + (theta + parent_d * tables) / (len(vocabulary) + 1)) / (theta + total)
+
+    def restaurant(u):
+        return sum(sum(below[u, w]) for w in vocabulary), sum(len(below[u, w]) for w in vocabulary)
+
+    def pick(tables, off, new):
+        weights = np.array([n - off for n in tables] + [new])
+        return int(rng.choice(len(weights), p=weights / weights.sum()))
+
+    def sit(u, w):
+        at = pick(below[u, w], d, (theta + d * restaurant(u)[1]) * p(w))
+        if at < len(below[u, w]):
+            below[u, w][at] += 1
+            return
+        below[u, w].append(1)
+        up = pick(above[w], parent_d, (theta + parent_d * sum(map(len, above.values()))) / (len(vocabulary) + 1))
+        above[w][up : up + 1] = [above[w][up] + 1] if up < len(above[w]) else [1]
+
+    def leave(tables):
+        at = int(rng.choice(len(tables), p=np.array(tables) / sum(tables)))
+        tables[at] -= 1
+        return not tables[at] and not tables.pop(at)
+
+    for u, w in pairs:
+        sit(u, w)
+    mean = collections.Counter()
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if leave(below[u, w]):
+                leave(above[w])
+            sit(u, w)
+        if sweep >= burn_in:
+            for u in {u for u, _ in pairs}:
+                n, tables = restaurant(u)
+                for w in vocabulary:
+                    mean[u, w] += (sum(below[u, w]) - d * len(below[u, w]) + (theta + d * tables) * p(w)) / (theta + n) / (sweeps - burn_in)
+    return mean
+
+
+def test_language_model_agrees_with_a_plain_sampler(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcde"), p=[0.4, 0.3, 0.15, 0.1, 0.05], size=rng.integers(1, 9))) for _ in range(40)]
+    tokens = [[*words(t), None] for t in texts]
+    pairs = [(u or "", w or "") for t in tokens for u, w in zip([None, *t], t, strict=False)]
+    counts = collections.Counter(pairs)
+    d = pitman_yor.discount(*(sum(c == k for c in counts.values()) for k in (1, 2)))
+    contexts = collections.Counter(w for _, w in counts)
+    parent_d = pitman_yor.discount(*(sum(c == k for c in contexts.values()) for k in (1, 2)))
+    mean = customers_one_by_one(pairs, 60, 20, d, parent_d, 1.0, 1)
+    got = pitman_yor.pitman_yor_scores(frame(spark, list(enumerate(texts))), F.lit(True), rounds=14, kept=10).collect()
+    for r in got:
+        t = ["", *(w or "" for w in tokens[r.doc_id])]
+        want = sum(np.log10(mean[u, w]) for u, w in zip(t, t[1:], strict=False))
+        assert abs(r.score - want) < 0.03 * r.n_tokens
