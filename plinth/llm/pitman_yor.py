@@ -56,7 +56,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _planes(values: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each value, byte by byte over all values, compressed."""
     v = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-    return zstandard.compress(np.ascontiguousarray(v.T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(v.T).tobytes(), 3)
 
 
 def _values(data: bytes, width: int) -> np.ndarray:
@@ -66,13 +66,17 @@ def _values(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _floats(values: np.ndarray) -> bytes:
-    v = np.ascontiguousarray(values.astype("<f4")).view(np.uint8).reshape(-1, 4)
-    return zstandard.compress(np.ascontiguousarray(v.T).tobytes(), 1)
+def _series(values: list[np.ndarray]) -> bytes:
+    """Arrays of one length that change little from one to the next: the first, then what is added, signs in the lowest bit."""
+    first, *later = values
+    more = [b - a for a, b in zip(values, later, strict=False)]
+    return _planes(np.concatenate([first, *((x << 1) ^ (x >> 63) for x in more)]), 8)
 
 
-def _from_floats(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<f4").ravel()
+def _from_series(data: bytes, n: int) -> np.ndarray:
+    v = _values(data, 8).astype(np.int64).reshape(n, -1)
+    v[1:] = (v[1:] >> 1) ^ -(v[1:] & 1)
+    return np.cumsum(v, axis=0)
 
 
 class Slice:
@@ -251,7 +255,9 @@ def _merge(key: tuple, group: pa.Table, word_buckets: int) -> pa.Table:
     words, of = np.unique(word[many], return_inverse=True)
     alone = np.bincount(context[single], minlength=len(contexts))
     rows.append((_CONTEXTS, b, None, _planes(contexts, 8), _planes(np.bincount(context[many], minlength=len(contexts)), 4), _planes(alone, 8)))
-    rows.append((_DISHES, b, None, _planes(words, 5), _planes(of, 4), _planes(count[many], 8)))
+    same = np.diff(context[many], prepend=-1) == 0
+    gaps = of - np.where(same, np.append(0, of[:-1])[: len(of)], 0)  # words ascend within a restaurant
+    rows.append((_DISHES, b, None, _planes(words, 5), _planes(gaps, 4), _planes(count[many], 8)))
     rows += _to_parent(_TABLES, b, words, np.bincount(of, minlength=len(words)), word_buckets)
     rows += _to_parent(_SINGLES, b, *np.unique(word[single], return_counts=True), word_buckets)
     return _table(rows, _NAMES)
@@ -260,8 +266,8 @@ def _merge(key: tuple, group: pa.Table, word_buckets: int) -> pa.Table:
 def _parent(key: tuple, group: pa.Table, number: int, sweeps: int, d: float, theta: float, tables: int, known: int) -> pa.Table:
     """The parent's words of a bucket: customers (the restaurants' tables) and tables, seated anew, and answers to the restaurants' buckets."""
     b = key[0].as_py()
-    told = _rows(group, _TABLES)
-    got = [(_values(one, 5), _ints(two)) for _, _, one, two, _ in told + _rows(group, _SINGLES)]
+    told, alone = _rows(group, _TABLES), _rows(group, _SINGLES)
+    got = [(_values(one, 5), _ints(two)) for _, _, one, two, _ in told + alone]
     words, back = np.unique(np.concatenate([w for w, _ in got]), return_inverse=True)
     c = np.bincount(back, weights=np.concatenate([t for _, t in got])).astype(np.int64)
     t = np.ones(len(c), np.int64)
@@ -277,6 +283,9 @@ def _parent(key: tuple, group: pa.Table, number: int, sweeps: int, d: float, the
         i = back[at : at + len(w)]
         at += len(w)
         rows.append((_SHARES, asker, b, _planes(c[i], 8), _planes(t[i], 8), b""))
+    if not number and alone:  # tables of one customer, by word, for all rounds
+        i = back[at:]
+        rows.append((_SINGLES, b, b, _planes(words, 5), _planes(np.bincount(i, weights=np.concatenate([t for _, t in got[len(told) :]]), minlength=len(words)), 8), b""))
     return _table(rows, _NAMES)
 
 
@@ -285,9 +294,11 @@ class Bucket:
 
     def __init__(self, group: pa.Table):
         _, _, contexts, held, alone = _rows(group, _CONTEXTS)[0]
-        _, _, words, of, counts = _rows(group, _DISHES)[0]
-        self.contexts, self.words, self.word, self.count = _values(contexts, 8), _values(words, 5), _ints(of, 4), _ints(counts)
-        self.context, self.alone = np.repeat(np.arange(len(self.contexts)), _ints(held, 4)), _ints(alone)
+        _, _, words, gaps, counts = _rows(group, _DISHES)[0]
+        self.contexts, self.words, self.word, self.count = _values(contexts, 8), _values(words, 5), np.cumsum(_ints(gaps, 4)), _ints(counts)
+        held, self.alone = _ints(held, 4), _ints(alone)
+        self.context = np.repeat(np.arange(len(self.contexts)), held)
+        self.word -= np.repeat(np.append(0, self.word)[np.cumsum(held) - held], held)
 
     def tables(self, t: np.ndarray) -> np.ndarray:
         return self.alone + self._sum(t)
@@ -322,37 +333,35 @@ def _probability(c: np.ndarray, t: np.ndarray, theta: float, d: float, known: in
     return (c - d * t + (theta + d * tables) / (known + 1)) / (theta + customers)
 
 
-def _answer(key: tuple, group: pa.Table, d: float, theta: float) -> pa.Table:
-    """For each slice: its dishes' own parts (means over the rounds kept), its restaurants' parent parts in each of them, and customers."""
+def _answer(key: tuple, group: pa.Table) -> pa.Table:
+    """For each slice: customers of its dishes, sums of the tables of those with a state over the rounds kept, and its restaurants' customers and tables in each."""
     b, here = key[0].as_py(), Bucket(group)
     seats = [_ints(one) for _, _, one, _, _ in _rows(group, _SEATS)]
-    customers, mean = here.customers(), np.mean(seats, axis=0)
-    rest = [np.where(customers > 0, theta + d * here.tables(t), theta) for t in seats]
+    customers, total = here.customers(), np.sum(seats, axis=0)
+    tables = [here.tables(t) for t in seats]
     rows = []
     for _, s, counts, places, where in _rows(group, _ASKED):
-        c, where = _ints(counts), np.cumsum(_ints(where, 4))
-        own = c - d * (c > 0)
-        own[c > 1] = c[c > 1] - d * mean[np.cumsum(_ints(places, 4))]
-        rows.append((_OF_PAIRS, b, s, _floats(own), _floats(np.concatenate([r[where] for r in rest])), _planes(customers[where], 8)))
+        where = np.cumsum(_ints(where, 4))
+        rows.append((_OF_PAIRS, b, s, counts, _planes(total[np.cumsum(_ints(places, 4))], 8), _series([customers[where], *(t[where] for t in tables)])))
     return _table(rows, _NAMES)
 
 
-def _words(key: tuple, group: pa.Table, d: float) -> pa.Table:
-    """For each slice: its words' training counts and their own parts of the parent in each round kept."""
+def _words(key: tuple, group: pa.Table, kept: int) -> pa.Table:
+    """For each slice: its words' training counts, and their customers and tables in the parent in each round kept."""
     asked = _rows(group, _DOCS)
     full = [_values(one, 8) for _, _, one, _, _ in asked]
     words, back = np.unique(np.concatenate([*full, np.zeros(0, np.uint64)]), return_inverse=True)
     count = np.bincount(back, weights=np.concatenate([*(_ints(two, 4) for _, _, _, two, _ in asked), np.zeros(0)]), minlength=len(words)).astype(np.int64)
-    own = []
-    for _, _, one, c, t in _rows(group, _PARENT):
-        known, share = _values(one, 5), _ints(c) - d * _ints(t)
+    seated = [np.zeros(len(words), np.int64)] * (2 * kept)
+    for n, (_, _, one, c, t) in enumerate(_rows(group, _PARENT)):
+        known = _values(one, 5)
         at = np.minimum(np.searchsorted(known, words >> _SHORT), len(known) - 1)
-        own.append(np.where(known[at] == words >> _SHORT, share[at], 0.0))
+        seated[n], seated[kept + n] = (np.where(known[at] == words >> _SHORT, _ints(x)[at], 0) for x in (c, t))
     rows, at = [_sums(count.sum(), (count > 0).sum())], 0
     for (b, s, *_), w in zip(asked, full, strict=True):
         i = back[at : at + len(w)]
         at += len(w)
-        rows.append((_OF_WORDS, b, s, _planes(count[i], 8), _floats(np.concatenate([x[i] for x in own] or [np.zeros(0)])), b""))
+        rows.append((_OF_WORDS, b, s, _planes(count[i], 8), _series([x[i] for x in seated[:kept]]), _series([x[i] for x in seated[kept:]])))
     return _table(rows, _NAMES)
 
 
@@ -405,14 +414,14 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
         return every.groupBy("bucket").applyInArrow(work, _ROWS)
 
     def parent(number: int, d: float, tables: int, known: int, *parts: DataFrame) -> DataFrame:
-        return _kept(grouped([_of(merged, _SINGLES), *parts], lambda k, g: _parent(k, g, number, sweeps, d, theta, tables, known)), "parent")
+        return _kept(grouped([_of(start if number else merged, _SINGLES), *parts], lambda k, g: _parent(k, g, number, sweeps, d, theta, tables, known)), "parent")
 
     def restaurants(number: int, base: tuple, *parts: DataFrame) -> DataFrame:
         return _kept(grouped([_of(merged, _CONTEXTS, _DISHES), *parts], lambda k, g: _restaurants(k, g, number, sweeps, d, theta, buckets, base)), "seated")
 
     merged = _kept(rows.mapInArrow(ask_pairs, _PAIRS).groupBy("bucket").applyInArrow(lambda k, g: _merge(k, g, buckets), _ROWS), "merged")
     d = discount(*_added(merged, 2))
-    above = parent(0, 0.0, 0, 0, _of(merged, _TABLES))
+    above = start = parent(0, 0.0, 0, 0, _of(merged, _TABLES))
     known, customers, tables, *few = _added(above, 5)
     parent_d, last, seats, shares, bases = discount(*few), [], [], [], []
     for number in range(1, rounds + 1):
@@ -423,7 +432,7 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
         if number > rounds - kept:
             seats, shares = [*seats, *last], [*shares, _of(above, _PARENT)]
             bases.append(((theta + parent_d * tables) / (known + 1), theta + customers))
-    words = _kept(grouped([rows.mapInArrow(ask_words, _ROWS), *shares], lambda k, g: _words(k, g, parent_d)), "words")
+    words = _kept(grouped([rows.mapInArrow(ask_words, _ROWS), *shares], lambda k, g: _words(k, g, kept)), "words")
     n, v = _added(words, 2)
 
     def score(key: tuple, group: pa.Table) -> pa.Table:
@@ -451,17 +460,19 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
         for part in _split(_bucket(s.words >> _SHORT, buckets)):
             i = answers[int(_bucket(s.words[part[:1]] >> _SHORT, buckets)[0])]
             count[part] = _values(get(i, "one"), 8)
-            if len(own := _from_floats(get(i, "two"))):  # nothing where no word is known
-                share[:, part] = own.reshape(kept, -1)
+            share[:, part] = _from_series(get(i, "two"), kept) - parent_d * _from_series(get(i, "three"), kept)
         u, _, _, back = s.pairs()
         own, rest = np.zeros(len(u)), np.zeros((kept, len(u)), np.float32)
         answers = {int(b): i for i, b in zip(np.flatnonzero(kind == _OF_PAIRS), bucket[kind == _OF_PAIRS], strict=True)}
         for part in _split(_bucket(u, buckets)):
             i = answers[int(_bucket(u[part[:1]], buckets)[0])]
             of = np.cumsum(np.append(True, u[part][1:] != u[part][:-1])) - 1
-            everyone = theta + _ints(get(i, "three"))
-            own[part] = _from_floats(get(i, "one")) / everyone[of]
-            rest[:, part] = (_from_floats(get(i, "two")).reshape(kept, -1) / everyone)[:, of]
+            customers, *tables = _from_series(get(i, "three"), kept + 1)
+            c = _ints(get(i, "one"))
+            t = (c > 0).astype(float)
+            t[c > 1] = _ints(get(i, "two")) / kept
+            own[part] = (c - d * t) / (theta + customers)[of]
+            rest[:, part] = ((theta + d * np.array(tables)) / (theta + customers))[:, of]
         chance = own[back]
         for part, above, (base, everyone) in zip(rest, share, bases, strict=True):
             chance += part[back] * ((above + base) / everyone)[s.at] / kept
@@ -472,7 +483,7 @@ def pitman_yor_scores(docs: DataFrame, train, *, id_column: str = "doc_id", text
             "base_score": pa.array(total(np.log10((known + 0.5) / (n + 0.5 * (v + 1))))), "score": pa.array(total(np.log10(chance))),
         })
 
-    pairs = grouped([_of(merged, _ASKED, _CONTEXTS, _DISHES), *seats], lambda k, g: _answer(k, g, d, theta))
+    pairs = grouped([_of(merged, _ASKED, _CONTEXTS, _DISHES), *seats], _answer)
     answers = pairs.unionByName(_of(words, _OF_WORDS)).unionByName(rows.mapInArrow(heads, _ROWS))
     out = answers.groupBy("slice").applyInArrow(score, "id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_column)
