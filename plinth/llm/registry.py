@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, embedding_dedup, fill_middle, jaccard, line_dedup, pitman_yor, quality, sentencepiece_codec, suffix_dedup, token_output, warc
+from plinth.llm import decontaminate, embedding_dedup, fill_middle, hard_negatives, jaccard, line_dedup, pitman_yor, quality, sentencepiece_codec, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.op9_warc,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": decontaminate.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
     "op12_fill_in_middle": fill_middle.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
