@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, embedding_dedup, fill_middle, hard_negatives, jaccard, line_dedup, pitman_yor, quality, sentencepiece_codec, suffix_dedup, token_output, warc
+from plinth.llm import decontaminate, embedding_dedup, fill_middle, hard_negatives, jaccard, line_dedup, personal_data, pitman_yor, quality, sentencepiece_codec, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_warc": warc.op9_warc,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_personal_data": personal_data.op11_personal_data,
     "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
