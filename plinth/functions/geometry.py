@@ -5,10 +5,17 @@ Null rings, and rings too short for the question, give null or the stated value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -144,9 +151,9 @@ def ray_enters(x: Column, y: Column, nx: Column, ny: Column, ring: Column) -> Co
     def hit(e: Column) -> Column:
         ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
         det = nx * ey - ny * ex
-        t = ((e["ax"] - x) * ey - (e["ay"] - y) * ex) / det
-        u = ((e["ax"] - x) * ny - (e["ay"] - y) * nx) / det
-        return F.when((F.abs(det) >= 1e-12) & (t >= 0) & (u >= -1e-9) & (u <= 1 + 1e-9), t)
+        t = ((e["ax"] - x) * ey - (e["ay"] - y) * ex) / F.when(F.abs(det) >= 1e-12, det)
+        u = ((e["ax"] - x) * ny - (e["ay"] - y) * nx) / F.when(F.abs(det) >= 1e-12, det)
+        return F.when((t >= -1e-9) & (u >= -1e-9) & (u <= 1 + 1e-9), F.greatest(t, F.lit(0.0)))
 
     hits = F.filter(F.transform(ring_edges(ring), hit), lambda t: t.isNotNull())
     return F.when(point_in_ring(x, y, ring), F.lit(0.0)).otherwise(F.when(F.size(hits) > 0, F.array_min(hits)))

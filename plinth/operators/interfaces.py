@@ -84,21 +84,29 @@ def walkable_voids(voids: DataFrame) -> DataFrame:
     return voids.filter("host_is_wall and x is not null and y is not null").filter(thin & high)
 
 
-def _met(samples: DataFrame, shapes: DataFrame, within: Column, pad: float) -> DataFrame:
+def _met(samples: DataFrame, shapes: DataFrame, within: Column, pad: float, near: DataFrame | None = None) -> DataFrame:
     """Samples for which any shape (storey, x0 .. y1 and what `within` reads) holds; a hash join by cell."""
     key = ["a", "b", "at"]
-    return spatial.points_to_boxes(samples.select(*key, "storey", "x", "y"), shapes, on=["storey"], pad=pad, size=2.0).filter(within).select(*key).distinct()
+    met = spatial.points_to_boxes(samples.select(*key, "storey", "x", "y"), shapes, on=["storey"], pad=pad, size=2.0).filter(within)
+    if near is not None:
+        for room in ("a", "b"):
+            met = met.join(near.select("void", F.col("space").alias(room)), ["void", room], "left_semi")
+    return met.select(*key).distinct()
 
 
-def blocked_samples(samples: DataFrame, walls: DataFrame, voids: DataFrame) -> DataFrame:
-    """Samples with `blocked`: in a wall or near one (storey, ring), unless a void (storey, x, y, ring or null) opens it."""
+def blocked_samples(samples: DataFrame, walls: DataFrame, voids: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """Samples with `blocked`: in a wall or near one (storey, ring), unless a void (storey, x, y, ring or null) opens it.
+
+    near: (void, space), where only voids (with void) near both rooms of a pair open its front.
+    """
+    id_ = [] if near is None else ["void"]
     boxed = lambda df: df.withColumn("__box", g.bbox(F.col("ring"))).select("*", *(F.col(f"__box.{m}_{c}").alias(f"{c}{i}") for i, m in enumerate(("min", "max")) for c in "xy")).drop("__box")
     hit = _met(samples, boxed(walls.select("storey", "ring").filter(F.size("ring") >= 3)), g.polygon_distance(F.col("x"), F.col("y"), F.col("ring")) <= WALL, WALL)
     shaped = F.size("ring") >= 3
-    own = voids.select("storey", F.col("x").alias("vx"), F.col("y").alias("vy"), "ring")
-    outlined = _met(samples, boxed(own.filter(shaped)), g.polygon_distance(F.col("x"), F.col("y"), F.col("ring")) <= SLACK, SLACK)
-    bare = own.filter(~F.coalesce(shaped, F.lit(False))).select("storey", "vx", "vy", *(F.col(f"v{c}").alias(f"{c}{i}") for i in (0, 1) for c in "xy"))
-    around = _met(samples, bare, g.distance(F.col("x"), F.col("y"), F.col("vx"), F.col("vy")) <= CARVE, CARVE)
+    own = voids.select(*id_, "storey", F.col("x").alias("vx"), F.col("y").alias("vy"), "ring")
+    outlined = _met(samples, boxed(own.filter(shaped)), g.polygon_distance(F.col("x"), F.col("y"), F.col("ring")) <= SLACK, SLACK, near)
+    bare = own.filter(~F.coalesce(shaped, F.lit(False))).select(*id_, "storey", "vx", "vy", *(F.col(f"v{c}").alias(f"{c}{i}") for i in (0, 1) for c in "xy"))
+    around = _met(samples, bare, g.distance(F.col("x"), F.col("y"), F.col("vx"), F.col("vy")) <= CARVE, CARVE, near)
     closed = hit.join(outlined.union(around), ["a", "b", "at"], "left_anti").withColumn("__blocked", F.lit(True))
     return samples.join(closed, ["a", "b", "at"], "left").withColumn("blocked", F.coalesce("__blocked", F.lit(False))).drop("__blocked")
 
