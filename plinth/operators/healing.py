@@ -42,13 +42,20 @@ def boxed(df: DataFrame) -> DataFrame:
     return box.select("*", *(F.col(f"__box.{m}_{c}").alias(f"{c}{i}") for i, m in enumerate(("min", "max")) for c in "xy")).drop("__box")
 
 
-def met_on_storeys(left: DataFrame, right: DataFrame, *, pad: float) -> DataFrame:
-    """Pairs of boxes within `pad` (columns end in _l and _r) on one storey; rows without storey meet those of all."""
-    named, bare = "storey is not null", "storey is null"
-    same = spatial.boxes_to_boxes(left.filter(named), right.filter(named), on=["storey"], pad=pad).drop("storey")
-    free = spatial.boxes_to_boxes(left.filter(bare).drop("storey"), right.drop("storey"), on=[], pad=pad)
-    every = spatial.boxes_to_boxes(left.filter(named).drop("storey"), right.filter(bare).drop("storey"), on=[], pad=pad)
-    return same.unionByName(free).unionByName(every)
+def met_on_storeys(left: DataFrame, right: DataFrame, *, pad: float = 0.0) -> DataFrame:
+    """Pairs of boxes within `pad` (columns end in _l and _r) on one storey; rows without storey meet those of all.
+
+    One join: a row stands under its storey and under a key for the other side's
+    rows without one; a pair shares one key alone.
+    """
+    storey, named = F.col("storey"), F.col("storey").isNotNull()
+    key = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"))
+    none = F.lit(None).cast("string")
+    own, bare, every = key("own", storey), key("bare", none), key("every", none)
+    spread = lambda df, keys: df.withColumn("__key", F.explode(keys)).withColumns({"__kind": F.col("__key.kind"), "__at": F.coalesce("__key.at", F.lit(""))}).drop("__key", "storey")
+    l = spread(left, F.when(named, F.array(own, bare)).otherwise(F.array(every)))
+    r = spread(right, F.when(named, F.array(own, every)).otherwise(F.array(bare, every)))
+    return spatial.boxes_to_boxes(l, r, on=["__kind", "__at"], pad=pad).drop("__kind", "__at")
 
 
 # --- a door between two rooms ---------------------------------------------------------
@@ -144,19 +151,18 @@ def match_doors(doors: DataFrame, spaces: DataFrame, links: DataFrame) -> DataFr
     outlines = rooms.select(F.col("space").alias("own"), F.col("ring").alias("own_ring"))
     open_ = doors.filter("x is not null and y is not null").join(had, "door", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < 2")
     open_ = open_.join(outlines, "own", "left").filter("n = 0 or own_ring is not null")
-    size = F.hypot("nx", "ny")
-    open_ = kept(open_.withColumns({"ux": F.col("nx") / F.when(size >= 1e-9, size), "uy": F.col("ny") / F.when(size >= 1e-9, size)}))
+    size, aimed = F.hypot("nx", "ny"), F.col("nx").isNotNull() & F.col("ny").isNotNull()
     x, y, ring = F.col("x"), F.col("y"), F.col("ring")
-    named = lambda df: df.select(*(F.col(c).alias(c[:-2]) if c in ("door_l", "x_l", "y_l", "ux_l", "uy_l", "n_l", "own_l", "own_ring_l", "space_r", "ring_r") else F.col(c) for c in df.columns))
-
-    facing = named(met_on_storeys(open_.filter("ux is not null"), rooms, pad=INFLATE))
-    rays = facing.select(
-        "door", "space", "n", "own", g.point_in_ring(x, y, ring).alias("inside"), g.area(ring).alias("area"), g.ray_enters(x, y, F.col("ux"), F.col("uy"), ring).alias("plus"),
-        g.ray_enters(x, y, -F.col("ux"), -F.col("uy"), ring).alias("minus"), F.coalesce(g.point_in_ring(x, y, F.col("own_ring")), F.lit(False)).alias("own_inside"),
-    )
-    places = open_.filter("nx is null or ny is null").withColumns({"x0": x, "x1": x, "y0": y, "y1": y})
-    around = named(met_on_storeys(places, rooms, pad=CLEARANCE))
-    measured = around.select("door", "space", "x", "y", "n", "own", contact(x, y, ring).alias("c"), contact(x, y, F.col("own_ring")).alias("own_c"))
+    open_ = open_.withColumns({"aimed": aimed, "ux": F.col("nx") / F.when(size >= 1e-9, size), "uy": F.col("ny") / F.when(size >= 1e-9, size)}).filter("not aimed or ux is not null")
+    reach = {f"{c}{i}": F.when(F.col("aimed"), F.col(f"{c}{i}") + side * INFLATE).otherwise(F.col(c) + side * CLEARANCE) for c in "xy" for i, side in ((0, -1), (1, 1))}
+    own_in = F.coalesce(g.point_in_ring(x, y, F.col("own_ring")), F.lit(False))
+    asked = open_.select("door", "storey", "x", "y", "ux", "uy", "aimed", "n", "own", own_in.alias("own_inside"), F.when(~F.col("aimed"), contact(x, y, F.col("own_ring"))).alias("own_c"), *(v.alias(k) for k, v in reach.items()))
+    met = met_on_storeys(asked, rooms)
+    own = ("door", "x", "y", "ux", "uy", "aimed", "n", "own", "own_inside", "own_c")
+    met = kept(met.select(*(F.col(f"{c}_l").alias(c) for c in own), F.col("space_r").alias("space"), F.col("ring_r").alias("ring")))
+    ray = lambda side: g.ray_enters(x, y, side * F.col("ux"), side * F.col("uy"), ring)
+    rays = met.filter("aimed").select("door", "space", "n", "own", "own_inside", g.point_in_ring(x, y, ring).alias("inside"), g.area(ring).alias("area"), ray(1).alias("plus"), ray(-1).alias("minus"))
+    measured = kept(met.filter("not aimed").select("door", "space", "x", "y", "n", "own", "own_c", contact(x, y, ring).alias("c")))
     found = _by_rays(rays).union(_by_distance(measured))
     names = F.array(*map(F.lit, PHASES))
     return found.select("door", "space", F.element_at(names, F.col("phase") + 1).alias("phase")).join(links.select("door", "space"), ["door", "space"], "left_anti")
