@@ -334,21 +334,25 @@ def room_components(b: Building) -> DataFrame:
     return graph.components(b.spaces().select(F.col("space").alias("node")), b.doors().filter("b is not null"))
 
 
-def _evacuation(b: Building) -> tuple[DataFrame, DataFrame, DataFrame]:
-    spaces, doors = graph.kept(b.spaces()), graph.kept(b.doors())  # each is read several times a round
-    links = graph.kept(b.links())
+def _evacuation(b: Building, blocked: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rooms with their ways, and distances of portals and landings."""
+    spaces, doors = graph.kept(b.spaces()), graph.kept(b.doors())  # each is read several times
+    links = graph.kept(doors.select("door", F.col("a").alias("space")).union(doors.filter("b is not null").select("door", "b")))
     st = b.stairs().select("stair", "storey", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     landing = graph.kept(evacuation.landings(st, spaces, b.storeys()))
-    distances = evacuation.exit_distances(links, doors, landing)
-    return evacuation.room_exits(spaces, links, doors, landing, distances), distances, landing
+    distances = evacuation.exit_distances(links, doors, landing, spaces, b.storeys(), **(blocked or {}))
+    return evacuation.room_exits(spaces, links, doors, landing, distances, **(blocked or {})), distances
 
 
-#: Nodes, steps, distances, parents and rooms' ways in SQL.
-_EVACUATION = """WITH RECURSIVE pn AS (SELECT door, count(DISTINCT space) AS n FROM links GROUP BY door),
+#: Nodes, steps, distances, parents and rooms' ways in SQL, without blocked portals bp, rooms br and landings bl.
+_OPEN = "bp AS (SELECT NULL::VARCHAR AS door WHERE false), br AS (SELECT NULL::VARCHAR AS space WHERE false), bl AS (SELECT NULL::VARCHAR AS node WHERE false)"
+_EVACUATION = """WITH RECURSIVE {blocked}, pn AS (SELECT door, count(DISTINCT space) AS n FROM links GROUP BY door),
+lk AS (SELECT * FROM links WHERE door NOT IN (SELECT door FROM bp) AND space NOT IN (SELECT space FROM br)),
 lv AS (SELECT storey, elevation, row_number() OVER (ORDER BY elevation, storey) AS k FROM storeys),
-ls AS (SELECT s.stair, t.storey, t.elevation, min(r.space) AS space FROM (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM stairs) s JOIN lv o ON o.storey = s.storey JOIN lv t ON t.k IN (o.k, o.k + 1)
+l0 AS (SELECT s.stair, t.storey, t.elevation, min(r.space) AS space FROM (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM stairs) s JOIN lv o ON o.storey = s.storey JOIN lv t ON t.k IN (o.k, o.k + 1)
        JOIN spaces r ON r.storey = t.storey AND s.x BETWEEN r.x0 AND r.x1 AND s.y BETWEEN r.y0 AND r.y1 GROUP BY s.stair, t.storey, t.elevation),
-nd AS (SELECT 'p:' || l.door AS node, l.space, d.x, d.y, n = 1 AS is_exit FROM links l JOIN doors d USING (door) JOIN pn ON pn.door = l.door
+ls AS (SELECT * FROM l0 WHERE space NOT IN (SELECT space FROM br) AND stair || '@' || storey NOT IN (SELECT node FROM bl)),
+nd AS (SELECT 'p:' || l.door AS node, l.space, d.x, d.y, n = 1 AS is_exit FROM lk l JOIN doors d USING (door) JOIN pn ON pn.door = l.door
        UNION ALL SELECT 'v:' || stair || '@' || ls.storey, ls.space, (x0 + x1) / 2, (y0 + y1) / 2, false FROM ls JOIN spaces USING (space)),
 ed AS (SELECT a.node AS f, b.node AS t, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS cost FROM nd a JOIN nd b ON a.space = b.space AND a.node <> b.node
        UNION ALL SELECT 'v:' || a.stair || '@' || a.storey, 'v:' || b.stair || '@' || b.storey, greatest(abs(a.elevation - b.elevation), 1e0) FROM ls a JOIN ls b ON a.stair = b.stair AND a.elevation <> b.elevation),
@@ -359,34 +363,64 @@ sp AS (SELECT ed.t AS node, ed.f, ed.cost, a.d AS near, b.d FROM ed JOIN di a ON
 pr AS (SELECT node, min(f) AS parent FROM sp WHERE near < d - 1e-7 GROUP BY node),
 tr AS (SELECT * FROM pr UNION ALL SELECT node, min(f) FROM sp WHERE cost <= 1e-7 AND node NOT IN (SELECT node FROM pr) AND f IN (SELECT node FROM pr UNION SELECT node FROM ex) GROUP BY node),
 rt AS (SELECT node, node AS root FROM ex UNION ALL SELECT tr.node, rt.root FROM tr JOIN rt ON rt.node = tr.parent),
-rm AS (SELECT space, storey, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my, greatest((x1 - x0) * (y1 - y0) / 10, 1e0) AS weight FROM spaces),
+rm AS (SELECT space, storey, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my, greatest((x1 - x0) * (y1 - y0) / 10, 1e0) AS weight FROM spaces WHERE space NOT IN (SELECT space FROM br)),
 wy AS (SELECT DISTINCT rm.space, nd.node, round(sqrt((nd.x - mx) * (nd.x - mx) + (nd.y - my) * (nd.y - my)) + di.d, 9) AS total FROM rm JOIN nd USING (space) JOIN di ON di.node = nd.node),
-bs AS (SELECT space, node, total FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY total, node) AS k FROM wy) WHERE k = 1),
+bs AS (SELECT space, node, total FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY round(total, 7), node) AS k FROM wy) WHERE k = 1),
 ld AS (SELECT bs.node, rm.weight FROM bs JOIN rm USING (space) UNION ALL SELECT tr.parent, ld.weight FROM ld JOIN tr ON tr.node = ld.node),
 sm AS (SELECT node, round(sum(weight), 6) AS load FROM ld GROUP BY node)
 """
+_ALL_OPEN = _EVACUATION.format(blocked=_OPEN)
 
 
-@query(_EVACUATION + "SELECT rm.space, rm.storey, round(weight, 6) AS weight, bs.node, round(bs.total, 6) AS distance, rt.root AS exit FROM rm LEFT JOIN bs USING (space) LEFT JOIN rt ON rt.node = bs.node")
+def _ways(rooms: DataFrame, distances: DataFrame) -> DataFrame:
+    led = rooms.join(evacuation.exit_of(distances), "node", "left")
+    return led.select("space", "storey", r6("weight").alias("weight"), "node", r6("distance").alias("distance"), "exit")
+
+
+@query(_ALL_OPEN + "SELECT rm.space, rm.storey, round(weight, 6) AS weight, bs.node, round(bs.total, 6) AS distance, rt.root AS exit FROM rm LEFT JOIN bs USING (space) LEFT JOIN rt ON rt.node = bs.node")
 def evac_rooms(b: Building) -> DataFrame:
     """Each room's way to the nearest exit of the building; null where there is none."""
-    rooms, distances, _ = _evacuation(b)
-    led = rooms.drop("exit").join(evacuation.exit_of(distances), "node", "left")
-    return led.select("space", "storey", r6("weight").alias("weight"), "node", r6("distance").alias("distance"), "exit")
+    return _ways(*_evacuation(b))
 
 
-@query(_EVACUATION + "SELECT node, load FROM sm")
+@query(_ALL_OPEN + "SELECT node, load FROM sm")
 def evac_load(b: Building) -> DataFrame:
     """Occupants that pass each portal and landing."""
-    rooms, distances, _ = _evacuation(b)
-    return evacuation.loads(rooms, distances)
+    return evacuation.loads(*_evacuation(b))
 
 
-@query(_EVACUATION + "SELECT node, load FROM sm ORDER BY load DESC, node LIMIT 8")
+@query(_ALL_OPEN + "SELECT node, load FROM sm ORDER BY load DESC, node LIMIT 8")
 def top_bottlenecks(b: Building) -> DataFrame:
     """The eight portals and landings of the largest loads."""
-    rooms, distances, _ = _evacuation(b)
-    return evacuation.bottlenecks(evacuation.loads(rooms, distances))
+    return evacuation.bottlenecks(evacuation.loads(*_evacuation(b)))
+
+
+def _blocked(b: Building) -> dict[str, DataFrame]:
+    """Some exits, doors between rooms and rooms by their keys, every seventh stair's upper landing."""
+    k = F.substring("a", 2, 18).cast("bigint")
+    portals = b.doors().filter(F.when(F.col("b").isNull(), k % 3 == 1).otherwise(k % 29 == 3)).select("door")
+    upper = b.stairs().filter("n % 7 = 0").select("stair", F.concat(F.lit("L"), F.substring("storey", 2, 9).cast("int") + 1).alias("storey"))
+    return {"blocked_portals": graph.kept(portals), "blocked_spaces": graph.kept(b.spaces().filter("s % 13 = 5").select("space")), "blocked_landings": graph.kept(upper)}
+
+
+_SOME_BLOCKED = _EVACUATION.format(blocked="""bp AS (SELECT door FROM doors WHERE CASE WHEN b IS NULL THEN CAST(substr(a, 2) AS BIGINT) % 3 = 1 ELSE CAST(substr(a, 2) AS BIGINT) % 29 = 3 END), br AS (SELECT space FROM spaces WHERE s % 13 = 5),
+bl AS (SELECT stair || '@L' || (CAST(substr(storey, 2) AS INT) + 1) AS node FROM stairs WHERE n % 7 = 0)""")
+
+
+@query(_SOME_BLOCKED + """SELECT rm.space, rm.storey, round(weight, 6) AS weight, bs.node, round(bs.total, 6) AS distance, rt.root AS exit, CASE WHEN bs.node IS NULL THEN 'unreachable' ELSE 'reached' END AS class FROM rm LEFT JOIN bs USING (space) LEFT JOIN rt ON rt.node = bs.node
+UNION ALL SELECT space, storey, NULL, NULL, NULL, NULL, 'blocked' FROM spaces JOIN br USING (space)""")
+def evac_blocked(b: Building) -> DataFrame:
+    """The ways out while some exits, doors, rooms and landings are blocked; rooms by class."""
+    blocked = _blocked(b)
+    ways = _ways(*_evacuation(b, blocked)).withColumn("class", F.when(F.col("node").isNull(), "unreachable").otherwise("reached"))
+    shut = b.spaces().join(blocked["blocked_spaces"], "space", "left_semi").select("space", "storey", F.lit("blocked").alias("class"))
+    return ways.unionByName(shut, allowMissingColumns=True)
+
+
+@query(_SOME_BLOCKED + "SELECT node, load FROM sm")
+def evac_blocked_load(b: Building) -> DataFrame:
+    """Occupants that pass each portal and landing while some are blocked."""
+    return evacuation.loads(*_evacuation(b, _blocked(b)))
 
 
 # --- catalogue, heat ----------------------------------------------------------------------

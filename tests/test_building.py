@@ -42,11 +42,16 @@ def test_against_sql(spark, sf_dir, duck, name):
     assert plain([tuple(r[c] for c in columns) for r in df.collect()]) == plain([tuple(r[names.index(c)] for c in columns) for r in cur.fetchall()])
 
 
-def test_evacuation(spark, sf_dir):
-    """Distances by one search over all nodes, loads by walking each room's way."""
+def test_evacuation(spark, sf_dir, monkeypatch):
+    """Distances by one search over all nodes, loads by walking each room's way; tiles of few rooms, so that there are several levels."""
+    monkeypatch.setattr(evacuation, "TILE", 6.0)
+    monkeypatch.setattr(evacuation, "FACTOR", 2)
     b = Building(spark, sf_dir)
-    rooms, distances, landing = q._evacuation(b)
-    nodes = evacuation._storey_nodes(b.links(), b.doors(), landing).toPandas()
+    rooms, distances = q._evacuation(b)
+    st = b.stairs().selectExpr("stair", "storey", "(x0 + x1) / 2 as x", "(y0 + y1) / 2 as y")
+    landing = evacuation.landings(st, b.spaces(), b.storeys())
+    portal = b.links().join(b.doors(), "door").selectExpr("concat('p:', door) as node", "space", "x", "y", "b is null as exit")
+    nodes = portal.union(landing.selectExpr("concat('v:', stair, '@', storey)", "space", "x", "y", "false")).toPandas()
     place = {r.node: (r.x, r.y) for r in nodes.itertuples()}
     near = {}
     for _, g in nodes.groupby("space"):

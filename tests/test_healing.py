@@ -205,48 +205,46 @@ def model_of(spark, cases, *, stairs=(), more_rooms=(), levels=None, edges=(), n
     )
 
 
-def test_fronts(spark):
-    got = h.healed(model_of(spark, FRONT_CASES)).filter("kind = 'space_space'").collect()
-    assert sorted(r.source.split("/")[0].split(":")[1] for r in got) == sorted(k for k, c in FRONT_CASES.items() if c[4])  # one each
-    by = {r.source.split("/")[0].split(":")[1]: r for r in got}
-    assert all(r.source < r.target and r.inferred and r.method == "geom_opening_space" for r in got)
+def test_whole_graph(spark):
+    """All fronts in one graph, one edge a pair; doors come first; what the model links isn't healed again, whatever the direction; nodes that aren't there get nothing."""
+    more = {"had": FRONT_CASES["open"], "half": FRONT_CASES["door"], "gone": FRONT_CASES["door"]}
+    edges = [
+        ("e1", "space_space", "space:had/B", "space:had/A", None, "given", False, None, None),
+        ("e2", "space_door", "door:half/D0", "space:half/A", None, "ifc_rel_space_boundary", False, None, None),
+        ("e3", "space_door", "space:gone/A", "door:gone/D0", None, "ifc_rel_space_boundary", False, None, None),
+    ]
+    got = h.healed(model_of(spark, FRONT_CASES | more, edges=edges, no_node=("door:gone/D0",))).collect()
+    ids = {r.id: r for r in got}
+    assert len(ids) == len(got)
+    new = [r for r in got if r.kind == "space_space" and r.inferred]
+    case = lambda r: r.source.split("/")[0].split(":")[1]
+    assert sorted(map(case, new)) == sorted([k for k, c in FRONT_CASES.items() if c[4]] + ["gone"])
+    by = {case(r): r for r in new}
+    assert all(r.source < r.target and r.method == "geom_opening_space" for r in new)
     assert by["open"].id == "space_space:space:open/A:space:open/B:strip:geom" and by["open"].x == pytest.approx(4.1, abs=0.05) and 0.5 < by["open"].y < 3.5
     assert by["partial"].global_id == "partial/O0" and 1.5 < by["partial"].y < 3.5 and by["partial"].id == "space_space:space:partial/A:space:partial/B:opening:partial/O0:geom"
     assert by["doorway"].global_id == "doorway/O0" and by["filled void"].global_id is None
-
-
-def test_doors_come_before_fronts(spark):
-    got = h.healed(model_of(spark, {"door": FRONT_CASES["door"]})).collect()
-    assert sorted(r.id for r in got) == ["space_door:door/A:door/D0:geom", "space_door:door/B:door/D0:geom"]
-    assert all((r.kind, r.method, r.inferred, r.target) == ("space_door", "geom_door_space", True, "door:door/D0") for r in got)
-
-
-def test_model_edges_count(spark):
-    """What the model links isn't healed again, whatever the direction; excluded nodes' links don't count, nodes that aren't there get none."""
-    cases = {"open": FRONT_CASES["open"], "door": FRONT_CASES["door"], "2nd": FRONT_CASES["door"]}
-    edges = [
-        ("e1", "space_space", "space:open/B", "space:open/A", None, "given", False, None, None),
-        ("e2", "space_door", "door:door/D0", "space:door/A", None, "ifc_rel_space_boundary", False, None, None),
-        ("e3", "space_door", "space:2nd/A", "door:2nd/D0", None, "ifc_rel_space_boundary", False, None, None),
-    ]
-    model = model_of(spark, cases, edges=edges, no_node=("door:2nd/D0",))
-    assert sorted(r.id for r in h.healed(model).collect()) == ["e1", "e2", "e3", "space_door:door/B:door/D0:geom", "space_space:space:2nd/A:space:2nd/B:strip:geom"]
-    excluded = spark.createDataFrame([("space:door/A",)], "id string")
-    assert "space_door:door/B:door/D0:geom" in {r.id for r in h.healed(model, excluded=excluded).collect()}
+    doors = sorted(r.id for r in got if r.kind == "space_door")
+    assert [d for d in doors if "door/D0" in d] == ["space_door:door/A:door/D0:geom", "space_door:door/B:door/D0:geom"]
+    assert [d for d in doors if "half" in d] == ["space_door:half/B:half/D0:geom"] and {"e1", "e2", "e3"} <= set(ids)
+    r = ids["space_door:half/B:half/D0:geom"]
+    assert (r.kind, r.source, r.target, r.method, r.inferred) == ("space_door", "space:half/B", "door:half/D0", "geom_door_space", True)
 
 
 def test_reheal(spark):
-    """A room excluded: its storey is healed anew, others keep what they had; nothing excluded: the previous graph."""
-    levels = [("L1", 0.0), ("L2", 3.0), ("L3", 6.0)]
+    """Rooms excluded: their storeys are healed anew without them and their links, others keep what they had; nothing excluded: the previous graph."""
+    levels = [("L1", 0.0), ("L2", 3.0), ("L3", 6.0), ("L4", 60.0)]
     rooms = [("PARENT", "L1", box(0, 0, 40, 40), []), ("LOBBY", "L1", box(0, 0, 2.4, 2.4), []), ("UP", "L2", box(0, 0, 3, 3), [])]
-    model = model_of(spark, {"L3": FRONT_CASES["open"]}, stairs=[("S", "L1", box(0.5, 0.5, 2.5, 2.5))], more_rooms=rooms, levels=levels)
-    before = h.healed(model)
-    vertical = lambda df: sorted(r.source for r in df.collect() if r.kind == "vertical")
-    assert vertical(before) == ["space:PARENT", "space:UP"]
+    linked = [("e4", "space_door", "door:L4/D0", "space:L4/A", None, "ifc_rel_space_boundary", False, None, None)]
+    twins = ({"A": A, "A2": A, "B": B}, [SEALED], [], [(4.1, 2.0, None)], False)
+    model = model_of(spark, {"L3": FRONT_CASES["open"], "L4": twins}, stairs=[("S", "L1", box(0.5, 0.5, 2.5, 2.5))], more_rooms=rooms, levels=levels, edges=linked)
+    before = h.kept(h.healed(model))
+    of = lambda df, kind: sorted(r.source for r in df.collect() if r.kind == kind)
+    assert of(before, "vertical") == ["space:PARENT", "space:UP"] and of(before, "space_door") == ["door:L4/D0", "space:L4/B"]
     marked = before.withColumn("x", F.when(F.col("kind") == "space_space", 77.0).otherwise(F.col("x")))  # shows whether an edge was kept
-    after = h.rehealed(model, marked, spark.createDataFrame([("space:PARENT",), (None,)], "id string"))
-    assert vertical(after) == ["space:LOBBY", "space:UP"]
-    assert [r.x for r in after.collect() if r.kind == "space_space"] == [77.0]
+    after = h.kept(h.rehealed(model, marked, spark.createDataFrame([("space:PARENT",), ("space:L4/A",), (None,)], "id string")))
+    assert of(after, "vertical") == ["space:LOBBY", "space:UP"] and of(after, "space_door") == ["door:L4/D0", "space:L4/A2", "space:L4/B"]
+    assert [r.x for r in after.filter("kind = 'space_space' and source like 'space:L3%'").collect()] == [77.0]
     same = h.rehealed(model, marked, spark.createDataFrame([(None,)], "id string"))
     assert sorted(map(tuple, same.collect()), key=str) == sorted(map(tuple, marked.collect()), key=str)
 
