@@ -114,10 +114,13 @@ def _parts(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame
     return rows[rows.kind == 0].rename(columns={"a": "node"}), rows[rows.kind == 1], rows[rows.kind == 2]
 
 
-def _up(rows: pd.DataFrame) -> pd.DataFrame:
-    nodes, edges, borders = _parts(rows)
-    out = _contracted(*_matrix(nodes, edges, borders), set(borders.a))
-    return out.assign(**{k: rows[k].iloc[0] // FACTOR for k in _KEY})[[*_KEY, *_EDGES]]
+def _up(factor: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, edges, borders = _parts(rows)
+        out = _contracted(*_matrix(nodes, edges, borders), set(borders.a))
+        return out.assign(**{k: rows[k].iloc[0] // factor for k in _KEY})[[*_KEY, *_EDGES]]
+
+    return run
 
 
 def _down(rows: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +165,8 @@ def exit_distances(links: DataFrame, doors: DataFrame, landing: DataFrame, space
     """
     links, landing, exits = without_blocked(links, landing, blocked_portals, blocked_spaces, blocked_landings)
     level = storeys.select("storey", (F.row_number().over(Window.orderBy("elevation", "storey")) - 1).cast("bigint").alias("tz"))  # a building's storeys
-    tile = lambda c: F.floor(F.col(c) / TILE).cast("bigint")
+    least = spaces.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0")).first()
+    tile = lambda c: F.floor((F.col(c) - (least[c] or 0.0)) / TILE).cast("bigint")  # noqa: E731  from 0 on, so that levels come to one tile
     room = spaces.join(F.broadcast(level), "storey").select("space", tile("x0").alias("tx"), tile("y0").alias("ty"), "tz")
     portal = links.join(doors.select("door", "x", "y"), "door").select(F.concat(F.lit("p:"), "door").alias("node"), "space", "x", "y")
     name = F.concat(F.lit("v:"), "stair", F.lit("@"), "storey")
@@ -179,7 +183,7 @@ def exit_distances(links: DataFrame, doors: DataFrame, landing: DataFrame, space
     while any(low != high for low, high in cells):
         border = kept(_borders(homes))
         levels.append((content, border))
-        up = content.unionByName(_rows(border, 2, a="node")).groupBy(*_KEY).applyInPandas(_up, "tx bigint, ty bigint, tz bigint, a string, b string, cost double")
+        up = content.unionByName(_rows(border, 2, a="node")).groupBy(*_KEY).applyInPandas(_up(FACTOR), "tx bigint, ty bigint, tz bigint, a string, b string, cost double")
         content = _rows(kept(up), 1, a="a", b="b", cost="cost")
         homes = border.select("node", *(F.floor(F.col(k) / FACTOR).cast("bigint").alias(k) for k in _KEY)).distinct()
         cells = [(low // FACTOR, high // FACTOR) for low, high in cells]
