@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions import geometry as g
-from plinth.functions import rectangles
+from plinth.functions import rectangles, registered
 from plinth.operators import rings
 from plinth.plans.building import Building
 from plinth.plans.queries import query
@@ -87,3 +87,23 @@ def oriented_rectangles(b: Building) -> DataFrame:
     found = staged.select("item", portal.alias("r"))
     side = lambda i, j: g.distance(F.col("r.ring")[i]["x"], F.col("r.ring")[i]["y"], F.col("r.ring")[j]["x"], F.col("r.ring")[j]["y"])
     return found.select("item", "r.method", r6("r.point.x").alias("x"), r6("r.point.y").alias("y"), r6(F.abs("r.normal.x")).alias("nx"), r6(F.abs("r.normal.y")).alias("ny"), r6(side(0, 1)).alias("along"), r6(side(1, 2)).alias("through"))
+
+
+# --- SQL functions -------------------------------------------------------------------------------------------
+
+
+@query("""SELECT space, 'space' AS kind, round((x1 - x0) * (y1 - y0), 6) AS area, round(2 * (x1 - x0) + 2 * (y1 - y0), 6) AS perimeter, s % 2 = 0 AS inside, round(sqrt(2), 6) AS distance,
+CAST(2 * (greatest(1, ceil((x1 - x0) / 0.5e0)) + 1) + 2 * (greatest(1, ceil((y1 - y0) / 0.5e0)) + 1) AS BIGINT) AS samples, round(x1 - x0, 6) AS front FROM spaces""")
+def sql_functions(b: Building) -> DataFrame:
+    """Rooms measured in Spark SQL by the functions that a session registers."""
+    registered.register(b.spark)
+    return b.spark.sql(
+        """WITH m AS (SELECT space, ring, node_kind('space:' || space) AS kind, ring_area(ring) AS area, ring_perimeter(ring) AS perimeter,
+                             point_in_ring(CASE WHEN s % 2 = 0 THEN ring_centroid(ring).x ELSE ring_box(ring).x1 + 1 END, ring_centroid(ring).y, ring) AS inside,
+                             ring_distance(ring_box(ring).x0 - 1, ring_box(ring).y0 - 1, ring) AS distance FROM {rooms}),
+                p AS (SELECT m.space, p.i, count(*) AS n FROM m, LATERAL boundary_samples(m.ring, 0.5D) p GROUP BY m.space, p.i),
+                e AS (SELECT m.space, e.i, e.bx - e.ax AS dx FROM m, LATERAL ring_edges(m.ring) e),
+                t AS (SELECT space, sum(n) AS samples, round(max(dx), 6) AS front FROM p JOIN e USING (space, i) GROUP BY space)
+           SELECT space, kind, round(area, 6) AS area, round(perimeter, 6) AS perimeter, inside, round(distance, 6) AS distance, samples, front FROM m JOIN t USING (space)""",
+        rooms=b.spaces(),
+    )
