@@ -12,9 +12,11 @@ from plinth.plans.queries import query
 r6 = lambda c: F.round(c, 6)
 
 
-def upper_median(value: str):
-    """The element at floor(n / 2) of the sorted values, from 0: the larger of the two middle ones."""
-    return F.expr(f"element_at(array_sort(collect_list({value})), cast(floor(count({value}) / 2) as int) + 1)")
+def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value): each key's value at floor(n / 2) in order, from 0: the larger of the two middle ones; no key meets in one task."""
+    some = rows.filter(F.col(value).isNotNull()).select(by, value)
+    half = some.groupBy(by).agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("__half"))
+    return placed(some, by, [value]).join(half, by).filter(F.col("place") == F.col("__half")).select(by, value)
 
 
 @query("""WITH c AS (SELECT 'region' AS section, space AS id, name AS title, storey FROM spaces UNION ALL SELECT 'exit', door, door, storey FROM doors WHERE b IS NULL
@@ -26,15 +28,14 @@ def catalog_page(b: Building) -> DataFrame:
     c = c.union(b.doors().filter("b is null").select(F.lit("exit"), "door", "door", "storey"))
     c = c.union(b.stairs().select(F.lit("stair"), "stair", "name", F.when(F.col("n") % 7 != 0, F.col("storey"))))
     shown = c.filter(F.col("section").isin("region", "stair") & ((F.col("storey") == "L1") | F.col("storey").isNull()))
-    place = F.row_number().over(Window.partitionBy("section").orderBy(F.lower("title"), "title", "id"))
-    return shown.select("section", "id", "title", place.alias("place"))
+    return placed(shown.select("section", "id", "title"), "section", [F.lower("title"), "title", "id"])
 
 
 @query("""SELECT storey, round(list_sort(list(x1 - x0))[CAST(floor(count(*) / 2e0) AS BIGINT) + 1], 6) AS span, round(list_sort(list(y1))[CAST(floor(count(*) / 2e0) AS BIGINT) + 1], 6) AS top FROM spaces GROUP BY storey""")
 def median_spans(b: Building) -> DataFrame:
     """Upper medians of the rooms' widths and tops on each storey."""
     s = b.spaces().select("storey", (F.col("x1") - F.col("x0")).alias("w"), "y1")
-    return s.groupBy("storey").agg(r6(upper_median("w")).alias("span"), r6(upper_median("y1")).alias("top"))
+    return upper_median(s, "storey", "w").join(upper_median(s, "storey", "y1"), "storey").select("storey", r6("w").alias("span"), r6("y1").alias("top"))
 
 
 @query("""SELECT storey, 'Level ' || row_number() OVER (ORDER BY elevation) AS label, printf('storey_%.3f', elevation) AS level_id FROM storeys""")
@@ -99,6 +100,13 @@ def component_order(b: Building) -> DataFrame:
     return numbered(ranked)
 
 
+def placed(rows: DataFrame, by: str, order: list) -> DataFrame:
+    """Rows with their place from 1 within a key: sorted by ranges as a whole, less the rows of the keys before."""
+    ranked = numbered(rows.orderBy(by, *order))
+    least = ranked.groupBy(by).agg(F.min("place").alias("__first"))
+    return ranked.join(least, by).withColumn("place", F.col("place") - F.col("__first") + 1).drop("__first")
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Rows that are sorted by ranges, with their place from 1: counts of the partitions before are added, so nothing meets in one task."""
     rows = graph.kept(rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))

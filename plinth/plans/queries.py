@@ -318,8 +318,8 @@ def incremental_merge(b: Building) -> DataFrame:
 
 
 @query("""WITH RECURSIVE u AS (SELECT a, b FROM doors WHERE b IS NOT NULL UNION SELECT b, a FROM doors WHERE b IS NOT NULL),
-w AS (SELECT a AS node, 0::BIGINT AS hops FROM doors WHERE b IS NULL UNION SELECT u.b, w.hops + 1 FROM w JOIN u ON u.a = w.node WHERE w.hops < 60)
-SELECT node, min(hops) AS hops FROM w GROUP BY node""")
+w(node, hops) USING KEY (node) AS (SELECT DISTINCT a, 0::BIGINT FROM doors WHERE b IS NULL UNION SELECT u.b, min(w.hops + 1) FROM w JOIN u ON u.a = w.node LEFT JOIN recurring.w r ON r.node = u.b WHERE r.hops IS NULL OR w.hops + 1 < r.hops GROUP BY u.b)
+SELECT node, hops FROM w""")
 def hop_distance(b: Building) -> DataFrame:
     """Doors to pass from each room to an exit."""
     d = b.doors()
@@ -445,7 +445,7 @@ def connections(b: Building) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT storey, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, (s % 10) / 10e0 AS value FROM spaces),
-px AS (SELECT storey, 2e0 * i + 1 AS px, 2e0 * j + 1 AS py FROM (SELECT storey, max(y1) AS top FROM spaces GROUP BY storey), range(15) t(i), range(200) u(j) WHERE 2e0 * j + 1 <= top),
+px AS (SELECT storey, 2e0 * i + 1 AS px, 2e0 * j + 1 AS py FROM (SELECT storey, max(y1) AS top, unnest(range(0, CAST(floor((max(y1) - 1) / 2) AS BIGINT) + 1)) AS j FROM spaces GROUP BY storey), range(15) t(i)),
 w AS (SELECT px.storey, px, py, value, exp(-((x - px) * (x - px) + (y - py) * (y - py)) / 12.5e0) AS w FROM px JOIN v ON v.storey = px.storey AND (x - px) * (x - px) + (y - py) * (y - py) <= 56.25e0)
 SELECT storey, px, py, round(sum(w * value) / sum(w), 6) AS heat, round(least(1e0, sum(w) / 1.1e0), 6) AS coverage FROM w GROUP BY storey, px, py HAVING sum(w) >= 1e-4""")
 def heat_field(b: Building) -> DataFrame:

@@ -11,8 +11,7 @@ from plinth.plans.queries import query
 
 _ROUTES = """u0 AS (SELECT door, a, b FROM doors WHERE b IS NOT NULL AND a <> b {open}),
 u AS (SELECT a, b, max(door) AS edge FROM (SELECT a, b, door FROM u0 UNION ALL SELECT b, a, door FROM u0) GROUP BY a, b),
-w AS (SELECT a AS node, 0::BIGINT AS hops FROM doors WHERE b IS NULL {goals} UNION SELECT u.b, w.hops + 1 FROM w JOIN u ON u.a = w.node WHERE w.hops < 60),
-h AS (SELECT node, min(hops) AS hops FROM w GROUP BY node),
+h(node, hops) USING KEY (node) AS (SELECT DISTINCT a, 0::BIGINT FROM doors WHERE b IS NULL {goals} UNION SELECT u.b, min(h.hops + 1) FROM h JOIN u ON u.a = h.node LEFT JOIN recurring.h r ON r.node = u.b WHERE r.hops IS NULL OR h.hops + 1 < r.hops GROUP BY u.b),
 nx AS (SELECT h.node, h.hops, min(k.node) AS next FROM h JOIN u ON u.a = h.node JOIN h k ON k.node = u.b AND k.hops = h.hops - 1 GROUP BY h.node, h.hops),
 p AS (SELECT node, hops, [node] AS path FROM h WHERE hops = 0 UNION ALL SELECT nx.node, nx.hops, list_prepend(nx.node, p.path) FROM nx JOIN p ON p.node = nx.next)
 """

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +34,55 @@ def read_artifact(spark: SparkSession, path: str, model_id: str, variant: str =
     return found
 
 
+def _folder(spark: SparkSession, path: str):
+    """The path and its file system, whatever it is."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds anything but hidden files."""
+    at, fs = _folder(spark, path)
+    return fs.exists(at) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(at))
+
+
 def ensured(spark: SparkSession, path: str, model_id: str, variant: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The kept artifact, built and written first where there is none."""
     try:
-        return read_artifact(spark, path, model_id, variant)
-    except (FileNotFoundError, AnalysisException) as missing:
-        if isinstance(missing, AnalysisException) and missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise  # something else than a folder that isn't there
-        write_artifact(build().withColumns({"model_id": F.lit(model_id), "variant": F.lit(variant)}), path)
-        return read_artifact(spark, path, model_id, variant)
+        if has_files(spark, path):
+            return read_artifact(spark, path, model_id, variant)
+    except FileNotFoundError:
+        pass  # other models' artifacts alone
+    write_artifact(build().withColumns({"model_id": F.lit(model_id), "variant": F.lit(variant)}), path)
+    return read_artifact(spark, path, model_id, variant)
+
+
+def record_status(statuses: DataFrame, path: str) -> None:
+    """Appends (model_id, status, at); rows are never rewritten, so writers don't meet."""
+    statuses.select("model_id", "status", "at").write.mode("append").parquet(path)
+
+
+def current_status(spark: SparkSession, path: str) -> DataFrame:
+    """(model_id, status, at): each model's last status; of two at one time the larger name."""
+    last = spark.read.parquet(path).groupBy("model_id").agg(F.max(F.struct("at", "status")).alias("s"))
+    return last.select("model_id", "s.status", "s.at")
+
+
+def write_shares(shares: DataFrame, path: str) -> None:
+    """Adds shares (share_id, modified and what they hold), a folder a day."""
+    shares.withColumn("day", F.to_date("modified")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def sweep_shares(spark: SparkSession, path: str, today: date) -> list[str]:
+    """Removes the days whose shares are all older than seven days, and names them; the rest of the last one is for live_shares."""
+    at, fs = _folder(spark, path)
+    least, gone = (today - timedelta(days=SHARE_DAYS)).isoformat(), []
+    for f in fs.listStatus(at) if fs.exists(at) else []:
+        key, _, day = f.getPath().getName().partition("=")
+        if key == "day" and day < least and fs.delete(f.getPath(), True):
+            gone.append(day)
+    return sorted(gone)
 
 
 def live_shares(shares: DataFrame, now: Column) -> DataFrame:

@@ -38,11 +38,13 @@ def split_arguments(text: str) -> list[str]:
 
 
 def member_text(content: bytes) -> str:
-    """A file's text; of a zip archive that of its first .ifc member, empty where it has none."""
+    """A file's text; of a zip archive that of its first .ifc or .ifcxml member.  An archive without one is an error."""
     if content[:2] == b"PK":
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            names = [n for n in archive.namelist() if n.lower().endswith(".ifc") and not n.endswith("/")]
-            content = archive.read(names[0]) if names else b""
+            names = [n for n in archive.namelist() if n.lower().endswith((".ifc", ".ifcxml"))]
+            if not names:
+                raise ValueError("the archive holds no .ifc or .ifcxml file")
+            content = archive.read(names[0])
     return content.decode("utf-8", "replace")
 
 

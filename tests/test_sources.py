@@ -1,7 +1,9 @@
 """Readers on files written here."""
 
 import zipfile
+from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from plinth.sources import artifacts, indoorgml, step
@@ -67,12 +69,46 @@ def test_artifacts(spark, tmp_path):
     made = artifacts.ensured(spark, path, "m1", "ifc", lambda: spark.range(3).toDF("n"))
     assert made.count() == 3
     assert artifacts.ensured(spark, path, "m1", "ifc", lambda: spark.range(9).toDF("n")).count() == 3
+    assert artifacts.ensured(spark, path, "m2", "ifc", lambda: spark.range(4).toDF("n")).count() == 4  # beside another model's
+    assert not artifacts.has_files(spark, str(tmp_path / "nowhere"))
+    with pytest.raises(KeyError):  # what goes wrong in building isn't taken for a missing artifact
+        artifacts.ensured(spark, path, "m3", "ifc", lambda: {}["m3"])
     shares = spark.createDataFrame([("0" * 32, "2024-01-09"), ("0" * 32, "2024-01-01"), ("bad", "2024-01-09")], "share_id string, modified string").withColumn("modified", F.to_timestamp("modified"))
     assert artifacts.live_shares(shares, F.to_timestamp(F.lit("2024-01-10"))).count() == 1
     agents = spark.createDataFrame([("Mozilla iPhone", True, True), ("x", True, True), ("x", True, False), ("x", False, False)], "ua string, u boolean, g boolean")
     assert [r[0] for r in agents.select(artifacts.landing_format(F.col("ua"), F.col("u"), F.col("g"))).collect()] == ["usdz", "glb", "usdz", None]
 
 
+def test_status_rows(spark, tmp_path):
+    path = str(tmp_path / "status")
+    at = lambda *rows: spark.createDataFrame(rows, "model_id string, status string, at string").withColumn("at", F.to_timestamp("at"))
+    artifacts.record_status(at(("m1", "none", "2024-01-01"), ("m2", "none", "2024-01-01")), path)
+    artifacts.record_status(at(("m1", "ready", "2024-01-02")), path)
+    artifacts.record_status(at(("m2", "failed", "2024-01-01")), path)
+    assert sorted((r.model_id, r.status) for r in artifacts.current_status(spark, path).collect()) == [("m1", "ready"), ("m2", "none")]
+
+
+def test_sweep_removes_whole_days(spark, tmp_path):
+    path = str(tmp_path / "shares")
+    assert artifacts.sweep_shares(spark, path, date(2024, 1, 10)) == []
+    rows = [(f"{k:032x}", f"2024-01-{day:02} 12:00:00") for k, day in enumerate((1, 2, 3, 9))]
+    artifacts.write_shares(spark.createDataFrame(rows, "share_id string, modified string").withColumn("modified", F.to_timestamp("modified")), path)
+    assert artifacts.sweep_shares(spark, path, date(2024, 1, 10)) == ["2024-01-01", "2024-01-02"]
+    assert spark.read.parquet(path).count() == 2 and artifacts.sweep_shares(spark, path, date(2024, 1, 10)) == []
+
+
+def test_archives_without_a_model(tmp_path):
+    def packed(*names):
+        with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+            for n in names:
+                z.writestr(n, f"in {n}")
+        return (tmp_path / "x.zip").read_bytes()
+
+    assert step.member_text(packed("a.txt", "b.ifcXML", "c.ifc")) == "in b.ifcXML"
+    with pytest.raises(ValueError, match="no .ifc"):
+        step.member_text(packed("a.txt"))
+
+
 def test_footprint_walks(spark):
     from plinth.operators import footprints as f
 
