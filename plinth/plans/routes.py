@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.operators import graph, routing
+from plinth.operators import evacuation, graph, paths, routing
 from plinth.plans.building import Building
 from plinth.plans.queries import query
 
@@ -94,3 +94,59 @@ def path_segments(b: Building) -> DataFrame:
     """A path is cut where its storey changes."""
     storey = F.concat(F.lit("L"), F.floor(F.col("event_id") * 7 / F.lit(40)) % 5)
     return routing.segments(b.table("events").select("user_id", "event_id", storey.alias("storey")), "user_id", "event_id", "storey")
+
+
+# --- walks between points ---------------------------------------------------------------------------
+
+
+def _asked(b: Building) -> DataFrame:
+    """From the middle of every third room to a place in the room of seven times its key and three, over all storeys."""
+    s = b.spaces().select("space", "s", "storey", "x0", "y0", "x1", "y1")
+    n = s.agg((F.max("s") + 1).alias("n"))  # one row
+    a = s.filter("s % 3 = 0").crossJoin(F.broadcast(n)).select(F.col("space").alias("query"), ((F.col("s") * 7 + 3) % F.col("n")).alias("goal"), F.col("storey").alias("from_storey"), ((F.col("x0") + F.col("x1")) / 2).alias("from_x"), ((F.col("y0") + F.col("y1")) / 2).alias("from_y"))
+    g = s.select(F.col("s").alias("goal"), F.col("storey").alias("to_storey"), (F.col("x0") + 1.0).alias("to_x"), (F.col("y0") + 1.5).alias("to_y"))
+    return a.join(g, "goal").drop("goal")
+
+
+def _walks(b: Building) -> DataFrame:
+    spaces, doors = graph.kept(b.spaces()), graph.kept(b.doors())
+    links = graph.kept(doors.select("door", F.col("a").alias("space")).union(doors.filter("b is not null").select("door", "b")))
+    st = b.stairs().select("stair", "storey", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    landing = graph.kept(evacuation.landings(st, spaces, b.storeys()))
+    return paths.between(_asked(b), spaces, links, doors, landing)
+
+
+_WALKS = """WITH RECURSIVE lv AS (SELECT storey, elevation, row_number() OVER (ORDER BY elevation, storey) AS k FROM storeys),
+ls AS (SELECT s.stair, t.storey, t.elevation, min(r.space) AS space FROM (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM stairs) s JOIN lv o ON o.storey = s.storey JOIN lv t ON t.k IN (o.k, o.k + 1)
+       JOIN spaces r ON r.storey = t.storey AND s.x BETWEEN r.x0 AND r.x1 AND s.y BETWEEN r.y0 AND r.y1 GROUP BY s.stair, t.storey, t.elevation),
+nd AS (SELECT 'p:' || door AS node, space, storey, x, y FROM links JOIN doors USING (door) UNION ALL SELECT 'v:' || stair || '@' || ls.storey, ls.space, ls.storey, (x0 + x1) / 2, (y0 + y1) / 2 FROM ls JOIN spaces USING (space)),
+ed AS (SELECT f, t, min(cost) AS cost FROM (SELECT a.node AS f, b.node AS t, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS cost FROM nd a JOIN nd b ON a.space = b.space AND a.node <> b.node
+       UNION ALL SELECT 'v:' || a.stair || '@' || a.storey, 'v:' || b.stair || '@' || b.storey, greatest(abs(a.elevation - b.elevation), 1e0) FROM ls a JOIN ls b ON a.stair = b.stair AND a.elevation <> b.elevation) GROUP BY f, t),
+aq AS (SELECT a.space AS query, a.space AS sa, a.storey AS fs, (a.x0 + a.x1) / 2 AS fx, (a.y0 + a.y1) / 2 AS fy, b.space AS sb, b.storey AS ts, b.x0 + 1 AS tx, b.y0 + 1.5e0 AS ty FROM spaces a JOIN spaces b ON b.s = (a.s * 7 + 3) % (SELECT max(s) + 1 FROM spaces) WHERE a.s % 3 = 0),
+s0 AS (SELECT query, node, min(sqrt(power(x - fx, 2) + power(y - fy, 2))) AS d FROM aq JOIN nd ON nd.space = sa GROUP BY query, node),
+g0 AS (SELECT query, node, min(sqrt(power(x - tx, 2) + power(y - ty, 2))) AS rest FROM aq JOIN nd ON nd.space = sb GROUP BY query, node),
+di(query, node, d) USING KEY (query, node) AS (SELECT query, node, d FROM s0
+   UNION SELECT di.query, ed.t, min(di.d + ed.cost) FROM di JOIN ed ON ed.f = di.node LEFT JOIN recurring.di r ON r.query = di.query AND r.node = ed.t WHERE r.d IS NULL OR di.d + ed.cost < r.d - 1e-9 GROUP BY di.query, ed.t),
+ch AS (SELECT query, d + rest AS cost, node FROM di JOIN g0 USING (query, node) UNION ALL SELECT query, sqrt(power(fx - tx, 2) + power(fy - ty, 2)), '' FROM aq WHERE sa = sb),
+be AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(cost, 7), node) = 1),
+pr AS (SELECT b.query, b.node, min(a.node) AS prior FROM di b JOIN ed ON ed.t = b.node JOIN di a ON a.query = b.query AND a.node = ed.f LEFT JOIN s0 ON s0.query = b.query AND s0.node = b.node
+       WHERE a.d + ed.cost <= b.d + 1e-7 AND a.d < b.d - 1e-7 AND NOT coalesce(s0.d <= b.d + 1e-7, false) GROUP BY b.query, b.node),
+bk AS (SELECT query, node, 0 AS k FROM be WHERE node <> '' UNION ALL SELECT bk.query, pr.prior, bk.k + 1 FROM bk JOIN pr ON pr.query = bk.query AND pr.node = bk.node),
+pl AS (SELECT DISTINCT node, storey, x, y FROM nd),
+wk AS (SELECT query, -k AS o, node, storey, x, y FROM bk JOIN pl USING (node) UNION ALL SELECT query, -1000000000, NULL, fs, fx, fy FROM aq JOIN be USING (query) UNION ALL SELECT query, 1, NULL, ts, tx, ty FROM aq JOIN be USING (query)),
+st AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY o) - 1 AS step FROM wk)
+"""
+
+
+@query(_WALKS + "SELECT st.query, round(be.cost, 6) AS cost, step, st.node, storey, round(x, 6) AS x, round(y, 6) AS y FROM st JOIN be USING (query)")
+def point_walks(b: Building) -> DataFrame:
+    """Places of the shortest walks between pairs of points, over doors, stairs and storeys."""
+    return _walks(b).select("query", F.round("cost", 6).alias("cost"), F.col("step").cast("bigint").alias("step"), "node", "storey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(_WALKS + """, sg AS (SELECT *, coalesce(lag(storey) OVER w = storey, false) AS same, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS size FROM st WINDOW w AS (PARTITION BY query ORDER BY step)),
+sn AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY query ORDER BY step) - 1 AS segment FROM sg)
+SELECT query, CAST(segment AS BIGINT) AS segment, storey, count(*) AS n, round(coalesce(sum(CASE WHEN same THEN size END), 0), 6) AS length FROM sn WHERE NOT same OR size > 1e-9 GROUP BY query, segment, storey""")
+def walk_stretches(b: Building) -> DataFrame:
+    """The walks' stretches on each storey, without places that repeat."""
+    return paths.stretches(_walks(b)).select("query", F.col("segment").cast("bigint").alias("segment"), "storey", "n", F.round("length", 6).alias("length"))
