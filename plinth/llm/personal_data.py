@@ -172,12 +172,12 @@ def _either(words) -> str:
 
 _WORD = rf"(?:(?:double|triple) )?(?:{_either(DIGIT_WORDS)})"
 _OPEN, _SHUT = r" *+[\[({<] *+", r" *+[\])}>] *+"
-_DOT = rf"(?:{_OPEN}(?:\.|{_either(DOT_WORDS)}){_SHUT}| ++(?:{_either(DOT_WORDS)}) ++|\.)"
+_DOT = rf"(?:{_OPEN}(?:\.|{_either(DOT_WORDS)}){_SHUT}| ++(?:{_either(DOT_WORDS)}) ++| \. |\.)"
 _AT = rf"(?:{_OPEN}(?:@|{_either(AT_WORDS)}){_SHUT}| ++(?:{_either(AT_WORDS)}) ++| *+@ *+)"
-_SPELLED = re.compile(rf"(?<![a-z0-9\xff])(?:plus[ -])?{_WORD}(?:(?:{_DOT}|[ ,-]{{1,2}}){_WORD})+(?![a-z0-9\xff])")
+_SPELLED = re.compile(rf"(?<![a-z0-9\xff])(?:plus[ -])?{_WORD}(?:(?:{_DOT}|[ ,()/-]{{1,3}}){_WORD})+(?![a-z0-9\xff])")
 _TOKEN = re.compile(rf"(?P<plus>plus[ -])|(?P<times>double|triple) |(?P<digit>{_either(DIGIT_WORDS)})|(?P<dot>{_DOT})")
-_LETTER = re.compile(r"(?<=[0-9])[ol|i](?=[0-9])|(?<![a-z0-9\xff])[ol|](?=[0-9]{2})|(?<=[0-9]{2})[ol|](?![a-z0-9\xff])")
-_DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:{_OPEN}(?:\.|{_either(DOT_WORDS)}){_SHUT}| ++(?:{_either(DOT_WORDS)}) ++)(?=[0-9])")
+_LETTER = re.compile(r"(?<=[0-9])[ol|i](?=[0-9])|(?<![a-z0-9\xff])[ol|](?=[0-9]{2})|(?<=[0-9]{2})[ol|](?![a-z0-9\xff])|(?<=[0-9]\.)[ol|](?=\.[0-9])")
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:{_OPEN}(?:\.|{_either(DOT_WORDS)}){_SHUT}| ++(?:{_either(DOT_WORDS)}) ++| \. )(?=[0-9])")
 _NAME = r"[a-z0-9._%+-]++"
 _ADDRESS = re.compile(rf"(?<![a-z0-9._%+-])(?P<name>{_NAME}(?:{_DOT}{_NAME}){{0,15}}+)(?P<at>{_AT})(?P<host>[a-z0-9-]++(?:{_DOT}[a-z0-9-]++){{1,15}}+)")
 _ANY_DOT = re.compile(_DOT)
@@ -188,7 +188,7 @@ _WORDS = "|".join(DIGIT_WORDS)
 #: Texts that match may hold a disguise of the second to fourth kinds; linear time, letters of either case.
 TRIGGER = "|".join([
     rf"[\[({{<]{_BLANK}*(?:at|@|arroba|arobase|ät|\.|dot|punkt|point|punto){_BLANK}*[\])}}>]", rf"{_BLANK}@|@{_BLANK}", rf"{_BLANK}(?:dot|punkt|point|punto){_BLANK}",
-    rf"\b(?:{_WORDS})[^a-z0-9]{{1,3}}(?:(?:dot|punkt|point|punto|double|triple)[^a-z0-9]{{1,3}})?(?:{_WORDS})[^a-z0-9]", r"[0-9][ol|i][0-9]|\b[ol][0-9]{2}|\|[0-9]{2}|[0-9]{2}[ol]\b|[0-9]{2}\|",
+    rf"\b(?:{_WORDS})[^a-z0-9]{{1,3}}(?:(?:dot|punkt|point|punto|double|triple)[^a-z0-9]{{1,3}})?(?:{_WORDS})[^a-z0-9]", r"[0-9][ol|i][0-9]|\b[ol][0-9]{2}|\|[0-9]{2}|[0-9]{2}[ol]\b|[0-9]{2}\||[0-9]\.[ol|]\.[0-9]|[a-z0-9] \. [a-z0-9]",
 ])
 
 
@@ -253,7 +253,7 @@ def disguised(source: str) -> list[tuple[int, int, int, str]]:
         if not glued and view.is_touched(int(view.start[a]), int(view.end[b - 1])) and (kind or _host(value.rpartition("@")[2])):
             found.append((kind, int(view.start[a]), int(view.end[b - 1]), value))
     for m in _ADDRESS.finditer(view.text):
-        dots = {d.strip(" ") for d in _ANY_DOT.findall(m["host"])}
+        dots = set(_ANY_DOT.findall(m["host"]))
         said = m["at"].strip(" ") in {w.translate(_ACCENTS) for w in AT_WORDS}
         host = _ANY_DOT.sub(".", m["host"])
         if m["at"] == "@" and dots == {"."} or said and dots == {"."} or not _host(host) or host.startswith("www."):

@@ -116,12 +116,19 @@ HIDDEN = [
     ("card four five three nine one four eight eight zero three four three six four six seven.", "card", "four five three nine one four eight eight zero three four three six four six seven", CARD),
     ("card 4539 l488 O343 6467", "card", "4539 l488 O343 6467", "4539 1488 0343 6467"),
     ("card 4539 double one", "card", None, None),
+    ("jane . doe @ example . com", "email", "jane . doe @ example . com", "jane.doe@example.com"),
+    ("jane{at}example.com", "email", "jane{at}example.com", "jane@example.com"),
+    ("jane@example [dot] com", "email", "jane@example [dot] com", "jane@example.com"),
+    ("host 192 . 168 . 0 . 12 up", "ip", "192 . 168 . 0 . 12", "192.168.0.12"),
+    ("host 192.168.O.12 up", "ip", "192.168.O.12", "192.168.0.12"),
+    ("call +1 (seven four three) five five five-three eight two four", "phone", "+1 (seven four three) five five five-three eight two four", "+1 (7435553824"),
+    ("④⑤③⑨ 1488 0343 6467", "card", "④⑤③⑨ 1488 0343 6467", "4539 1488 0343 6467"),
     ("４５３９１４８８０３４３６４６７", "card", "４５３９１４８８０３４３６４６７", CARD),
 ]
 
 CLEAN = [
     "We met at noon. The dot on the map is at one point, two miles away.", "available at example.com and look at section one dot two", "drei zwei eins los! un deux trois soleil", "prix : 12 345 678 € — 2019–2020",
-    "Привет, мир! Адрес: дом 5", "3 @ 4 or 5 @ 6.50", "see http://www.example.com/a?b=c#d", "0l1 10l 20O0",
+    "Привет, мир! Адрес: дом 5", "3 @ 4 or 5 @ 6.50", "see http://www.example.com/a?b=c#d", "0l1 10l 20O0", "1. 2. 3. 4. end", "a . b . c", "look at item 1.5 (two) three, four",
 ]
 
 
