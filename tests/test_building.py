@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from plinth.operators import evacuation, graph
-from plinth.plans import blocks, catalogue, footprints, healing, interfaces, routes, sight  # noqa: F401  they register theirs
+from plinth.plans import blocks, catalogue, display, footprints, healing, interfaces, routes, sight  # noqa: F401  they register theirs
 from plinth.plans import queries as q
 from plinth.plans.building import Building
 
