@@ -1,8 +1,12 @@
 """Places of portals, adjacency from elsewhere, markers, reach, heights, lines: small cases."""
 
+import types
+
+import pytest
 from pyspark.sql import functions as F
 
 from plinth.operators import display as d
+from plinth.operators import graph
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -51,3 +55,19 @@ def test_scales_and_lines(spark):
     assert [p.x for p in r["few"]] == [0.0, 3.0, 6.0, 9.0] and len(r["all"]) == 10
     (m,) = make([(box(0, 0, 4, 4), box(4.2, 1, 8, 3))], f"a {POINTS}, b {POINTS}").select(d.interface_midpoint(F.col("a"), F.col("b")).alias("m")).collect()
     assert (round(m.m.x, 6), m.m.y) == (4.1, 1.0)
+
+
+@pytest.mark.parametrize("master, fine", [("local", True), ("local[4]", True), ("local-cluster[3,2,1000]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_no_local_folder_on_a_cluster(master, fine):
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    session = types.SimpleNamespace(conf=Conf(), sparkContext=types.SimpleNamespace(master=master))
+    if fine:
+        assert graph.scratch(session, "x").startswith(session.conf["spark.checkpoint.dir"])
+    else:
+        with pytest.raises(RuntimeError):
+            graph.scratch(session, "x")
+    session.conf["spark.checkpoint.dir"] = "hdfs://shared/"
+    assert graph.scratch(session, "x").startswith("hdfs://shared/x-")
