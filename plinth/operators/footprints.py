@@ -92,17 +92,29 @@ def stitched(edges: list[tuple[tuple, tuple]]) -> list[list[tuple[float, float]]
     return rings
 
 
-def outlines(faces: DataFrame) -> DataFrame:
-    """(element, ring_no, x, y, i): stitched and simplified boundary rings of each element, the largest first."""
+def outline_rings(faces: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(element, ring_no, ring): stitched and simplified boundary rings of each element, the largest first; a batch of elements at a time."""
 
-    def walk(edges: pd.DataFrame) -> pd.DataFrame:
-        rings = [simplified(r) for r in stitched(list(zip(zip(edges.ax, edges.ay, strict=True), zip(edges.bx, edges.by, strict=True), strict=True)))]
-        area = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)))
-        rows = [(edges.element.iloc[0], k, x, y, i) for k, r in enumerate(sorted(rings, key=lambda r: (-area(r), r))) for i, (x, y) in enumerate(r)]
-        return pd.DataFrame(rows, columns=["element", "ring_no", "x", "y", "i"])
+    def area(r: list) -> float:
+        return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)))
 
-    kind = dict(faces.dtypes)["element"]
-    return boundary_edges(faces).groupBy("element").applyInPandas(walk, f"element {kind}, ring_no int, x double, y double, i int")
+    @F.pandas_udf("array<array<struct<x:double,y:double>>>")
+    def walk(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        out = []
+        for x0, y0, x1, y1 in zip(ax, ay, bx, by, strict=True):
+            ends = zip(zip(x0.tolist(), y0.tolist(), strict=True), zip(x1.tolist(), y1.tolist(), strict=True), strict=True)
+            rings = [simplified(r, tolerance) for r in stitched(list(ends))]
+            out.append([[{"x": x, "y": y} for x, y in r] for r in sorted(rings, key=lambda r: (-area(r), r))])
+        return pd.Series(out)
+
+    edges = boundary_edges(faces).groupBy("element").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("e"))  # one element's outline
+    return edges.select("element", F.posexplode(walk("e.ax", "e.ay", "e.bx", "e.by")).alias("ring_no", "ring"))
+
+
+def outlines(faces: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(element, ring_no, x, y, i): the points of the outlines' rings."""
+    points = outline_rings(faces, tolerance).select("element", "ring_no", F.posexplode("ring").alias("i", "p"))
+    return points.select("element", "ring_no", "p.x", "p.y", "i")
 
 
 def transformed(points: Column, matrix: Column, scale: Column) -> Column:

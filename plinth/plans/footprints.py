@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import geometry as g
 from plinth.functions import rectangles, registered
-from plinth.operators import rings
+from plinth.operators import extraction, rings
 from plinth.plans.building import Building
 from plinth.plans.queries import query
 
@@ -64,6 +64,58 @@ def exterior_and_holes(b: Building) -> DataFrame:
     return found.select("element", r6(g.area(F.col("ring"))).alias("area"), F.size("holes").cast("bigint").alias("n_holes"), r6(total).alias("hole_area"))
 
 
+# --- every element's footprint by what it has: rules on keys decide on meshes, parts, sizes and storeys --------------------
+
+
+def _plates(rows: DataFrame, *plates: tuple) -> DataFrame:
+    """Faces of level rectangles (x0, y0, x1, y1, z, up, when), two triangles each, of rows with a column element."""
+    face = lambda *corners: F.struct(*(v.alias(f"{p}{k}") for p, c in zip("abc", corners, strict=True) for k, v in zip("xyz", c, strict=True)))
+    every = []
+    for x0, y0, x1, y1, z, up, when in plates:
+        p, q, r, t = (x0, y0, z), (x1, y0, z), (x1, y1, z), (x0, y1, z)
+        every += [F.when(when, face(p, *pair[::1 if up else -1])) for pair in ((q, r), (r, t))]
+    return rows.select("element", F.explode(F.filter(F.array(*every), lambda f: f.isNotNull())).alias("f")).select("element", "f.*")
+
+
+def surveyed(b: Building) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Elements, faces and parts of rooms (one in ten meshes cancels out, two in ten have none), stairs of two flights, furniture."""
+    none, yes = F.lit(None).cast("double"), F.lit(True)
+    e = lambda df, kind, storey, *rest: df.select("element", F.lit(kind).alias("kind"), storey.alias("storey"), *(v.alias(c) for c, v in zip(("width", "depth", "ox", "oy", "oz"), rest, strict=True)))
+    rooms, s = b.spaces().withColumn("element", F.col("space")), F.col("s") % 10
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    stairs, n = b.stairs().withColumn("element", F.col("stair")), F.col("n") % 5
+    goods, p = b.furniture().withColumn("element", F.col("item")), F.col("p") % 4
+    x, y, w, d, low, high = (F.col(c) for c in ("x", "y", "w", "d", "z_min", "z_max"))
+    placed = F.when(s == 3, 1.0)
+    elements = e(rooms, "space", F.col("storey"), placed * 3, none, placed * x0, placed * y0, placed * 0)
+    elements = elements.unionByName(e(stairs, "stair", F.col("storey"), none, none, x0, y0, F.lit(0.0)))
+    storey, size = F.when(F.col("p") % 3 != 0, F.col("storey")), F.when(p == 2, 1.0)
+    elements = elements.unionByName(e(goods, "furniture", storey, size * w, size * d, x, y, low))
+    ground, top = F.lit(0.0), F.lit(2.5)
+    faces = _plates(rooms, (x0, y0, x1, y1, ground, False, (s != 3) & (s != 4)), (x0, y0, x1, y1, ground, False, s == 5), (x0, y0, x1, y1, top, True, (s != 3) & (s != 4) & (s != 5)))
+    up, down = stairs.withColumn("element", F.concat("stair", F.lit("u"))), stairs.withColumn("element", F.concat("stair", F.lit("d")))
+    faces = faces.unionByName(_plates(up, (x0, y0, x1, y1, ground, True, yes))).unionByName(_plates(down, (x1, y0, x1 + 1, y1, top, True, yes)))
+    meshed = (p == 0) | (p == 1)
+    faces = faces.unionByName(_plates(goods, (x, y, x + w, y + d, low, True, meshed), (x, y, x + w, y + d, high, True, meshed), (x + 3, y, x + 3.5, y + d, high, True, p == 1)))
+    flights = stairs.filter(n != 0)
+    parts = flights.select("element", F.concat("stair", F.lit("u")).alias("part")).union(flights.select("element", F.concat("stair", F.lit("d"))))
+    return elements, faces, parts
+
+
+@query("""WITH g0 AS (SELECT *, p % 4 AS k, w * d AS own, z_min AS lo, CASE WHEN p % 4 <= 1 THEN z_max ELSE z_min + 1 END AS hi, CASE p % 4 WHEN 0 THEN z_min + 0.25e0 WHEN 1 THEN z_min + 1e0 / 3 ELSE z_min END AS mid FROM furniture),
+g1 AS (SELECT g0.*, CASE WHEN p % 3 <> 0 THEN g0.storey ELSE (SELECT arg_min(s.storey, {'d': abs(s.elevation - mid), 'e': s.elevation}) FROM storeys s) END AS st FROM g0),
+g2 AS (SELECT g1.*, CASE WHEN NOT (lo <= e.elevation + 2.10e0 AND hi >= e.elevation + 0.15e0) THEN 'overhead' WHEN k = 3 THEN 'unmeasured' WHEN k = 0 AND own < 0.05e0 THEN 'tiny' END AS dropped, (own >= 0.05e0)::INT + (k = 1)::INT AS solids FROM g1 LEFT JOIN storeys e ON e.storey = g1.st)
+SELECT space AS element, 'space' AS kind, storey, CASE WHEN s % 10 = 3 THEN 'ifc_placement_bbox' WHEN s % 10 = 4 THEN 'unavailable' WHEN s % 10 = 5 THEN 'ifc_mesh_xy_hull' ELSE 'ifc_mesh_xy_outline' END AS method, s % 10 = 4 AS incomplete, NULL AS dropped,
+ round(CASE s % 10 WHEN 3 THEN 3e0 WHEN 4 THEN 0e0 ELSE (x1 - x0) * (y1 - y0) END, 6) AS area, 0 AS n_parts FROM spaces
+UNION ALL SELECT stair, 'stair', storey, CASE WHEN n % 5 = 0 THEN 'ifc_placement_bbox' ELSE 'ifc_mesh_xy_hull' END, false, NULL, CASE WHEN n % 5 = 0 THEN 1e0 ELSE 2e0 END, 0 FROM stairs
+UNION ALL SELECT item, 'furniture', st, CASE WHEN dropped IS NULL THEN CASE WHEN k = 2 THEN 'ifc_placement_bbox' ELSE 'ifc_mesh_xy_outline' END END, false, dropped,
+ CASE WHEN dropped IS NULL THEN round(CASE WHEN k = 1 AND (own < 0.05e0 OR w < 0.5e0) THEN 0.5e0 * d ELSE own END, 6) END, CASE WHEN dropped IS NULL THEN CASE WHEN k = 1 THEN solids - 1 ELSE 0 END END FROM g2""")
+def element_footprints(b: Building) -> DataFrame:
+    """How each room, stair and piece of furniture gets its footprint, its area and further solids; what is dropped, and why."""
+    found = extraction.element_footprints(*surveyed(b), b.storeys().select("storey", "elevation"))
+    return found.select("element", "kind", "storey", "method", "incomplete", "dropped", r6(g.area(F.col("ring"))).alias("area"), F.size("parts").alias("n_parts"))
+
+
 # --- rectangles ------------------------------------------------------------------------------------------
 
 
