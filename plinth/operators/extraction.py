@@ -64,7 +64,7 @@ def mesh_outlines(faces: DataFrame) -> DataFrame:
     faces = faces.select("element", *(f"{p}{k}" for p in "abc" for k in "xyz"))
     best = kept(footprints.widest_band(faces).select("element", "up"))
     level = footprints.face_normals(faces).filter("horizontal").join(best, "element").filter((F.col("nz") > 0) == F.col("up")).select(faces.columns)
-    return rings.exteriors(footprints.outline_rings(level.unionByName(faces.join(best, "element", "left_anti"))))
+    return rings.exteriors(kept(footprints.outline_rings(level.unionByName(faces.join(best, "element", "left_anti")))))
 
 
 def occupied_plans(faces: DataFrame) -> DataFrame:

@@ -88,8 +88,19 @@ def references(c):
     return F.transform(F.expr("regexp_extract_all({}, '#(\\\\d+)', 1)".format(c)), lambda x: x.cast("bigint"))
 
 
-#: Classes and their kinds of entity.
-KINDS = {"IFCBUILDINGSTOREY": "storey", "IFCSPACE": "space", "IFCDOOR": "door", "IFCSTAIR": "stair", "IFCTRANSPORTELEMENT": "lift", "IFCWALL": "wall", "IFCWALLSTANDARDCASE": "wall", "IFCOPENINGELEMENT": "opening", "IFCFURNISHINGELEMENT": "furniture", "IFCFURNITURE": "furniture"}
+#: Kinds of entity, each with its class and the classes below it.
+CLASSES = {
+    "storey": ("IFCBUILDINGSTOREY",),
+    "space": ("IFCSPACE",),
+    "door": ("IFCDOOR", "IFCDOORSTANDARDCASE"),
+    "window": ("IFCWINDOW", "IFCWINDOWSTANDARDCASE"),
+    "stair": ("IFCSTAIR",),
+    "lift": ("IFCTRANSPORTELEMENT",),
+    "wall": ("IFCWALL", "IFCWALLSTANDARDCASE", "IFCWALLELEMENTEDCASE"),
+    "opening": ("IFCOPENINGELEMENT", "IFCOPENINGSTANDARDCASE"),
+    "furniture": ("IFCFURNISHINGELEMENT", "IFCFURNITURE", "IFCSYSTEMFURNITUREELEMENT"),
+}
+KINDS = {name: kind for kind, names in CLASSES.items() for name in names}
 
 
 def entities(step: DataFrame) -> DataFrame:
@@ -118,3 +129,33 @@ def space_boundaries(step: DataFrame) -> DataFrame:
     rel = rel.join(e.filter("kind = 'space'").select("model", F.col("id").alias("space")), ["model", "space"]).join(e.filter("kind in ('door', 'stair', 'lift')").select("model", F.col("id").alias("element"), "kind"), ["model", "element"])
     last = rel.groupBy("model", "edge").agg(F.max_by(F.struct("space", "element", "kind"), "rel").alias("r"))
     return last.select("model", "edge", "r.*")
+
+
+def aggregated_parts(step: DataFrame) -> DataFrame:
+    """(model, element, part): the parts of each whole, as the flights of a stair; each pair once, wholes that don't exist left out."""
+    whole = reference(F.get("args", F.lit(4))).alias("element")
+    rel = step.filter("type = 'IFCRELAGGREGATES'").select("model", whole, F.explode(references("args[5]")).alias("part"))
+    return rel.distinct().join(step.select("model", F.col("id").alias("element")), ["model", "element"], "left_semi")
+
+
+def openings(step: DataFrame) -> DataFrame:
+    """(model, opening, global_id, name, storey, host, host_is_wall, door, window) of every opening.
+
+    Of several hosts the first relation's counts, of several doors and windows that
+    fill it the last's (global ids; a filler without one is none).  The storey is the
+    opening's own, else its host's.
+    """
+    e = entities(step).select("model", "id", "kind", "global_id", "name")
+    pair = lambda kind: step.filter(F.col("type") == kind).select("model", F.col("id").alias("rel"), reference(F.get("args", F.lit(4))).alias("first"), reference(F.get("args", F.lit(5))).alias("second"))
+    voids = pair("IFCRELVOIDSELEMENT").join(step.select("model", F.col("id").alias("first")), ["model", "first"], "left_semi")
+    hosts = voids.groupBy("model", F.col("second").alias("id")).agg(F.min_by("first", "rel").alias("host"))
+    fillers = e.filter("kind in ('door', 'window') and global_id <> ''").select("model", F.col("id").alias("second"), "kind", F.col("global_id").alias("filler"))
+    last = lambda kind: F.max_by("filler", F.when(F.col("kind") == kind, F.col("rel"))).alias(kind)
+    filled = pair("IFCRELFILLSELEMENT").join(fillers, ["model", "second"]).groupBy("model", F.col("first").alias("id")).agg(last("door"), last("window"))
+    storey = element_storeys(step)
+    walls = e.filter("kind = 'wall'").select("model", F.col("id").alias("host"), F.lit(True).alias("is_wall"))
+    found = e.filter("kind = 'opening'").join(hosts, ["model", "id"], "left").join(filled, ["model", "id"], "left").join(walls, ["model", "host"], "left")
+    found = found.join(storey.select("model", F.col("element").alias("id"), F.col("storey").alias("own")), ["model", "id"], "left")
+    found = found.join(storey.select("model", F.col("element").alias("host"), F.col("storey").alias("of_host")), ["model", "host"], "left")
+    wall = F.coalesce("is_wall", F.lit(False)).alias("host_is_wall")
+    return found.select("model", F.col("id").alias("opening"), "global_id", "name", F.coalesce("own", "of_host").alias("storey"), "host", wall, "door", "window")

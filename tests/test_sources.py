@@ -39,6 +39,26 @@ def test_step(spark, tmp_path):
     assert {(r.edge, r.space, r.element) for r in step.space_boundaries(rows).collect()} == {("b1", 2, 4), ("b2", 3, 4)}
 
 
+def test_subtypes_parts_and_openings(spark, tmp_path):
+    text = """#1=IFCBUILDINGSTOREY('s1',$,'One',$,$);#2=IFCBUILDINGSTOREY('s2',$,'Two',$,$);
+#10=IFCWALLELEMENTEDCASE('w1',$,'W',$,$);#11=IFCSLAB('p1',$,'Slab',$,$);#12=IFCSTAIR('st',$,$,$,$);#13=IFCSTAIRFLIGHT('f1',$,$,$,$);#14=IFCSTAIRFLIGHT('f2',$,$,$,$);
+#20=IFCOPENINGELEMENT('o1',$,$,$,'Void');#21=IFCOPENINGSTANDARDCASE('o2',$,$,$,$);#22=IFCOPENINGELEMENT('o3',$,$,$,$);
+#30=IFCDOORSTANDARDCASE('d1',$,$,$,$);#31=IFCDOOR('d2',$,$,$,$);#32=IFCWINDOW('v1',$,$,$,$);#33=IFCDOOR('',$,$,$,$);#34=IFCSYSTEMFURNITUREELEMENT('q',$,$,$,$);
+#40=IFCRELVOIDSELEMENT('a',$,$,$,#10,#20);#41=IFCRELVOIDSELEMENT('b',$,$,$,#11,#20);#42=IFCRELVOIDSELEMENT('c',$,$,$,#11,#21);#43=IFCRELVOIDSELEMENT('c',$,$,$,#99,#22);
+#50=IFCRELFILLSELEMENT('e',$,$,$,#20,#30);#51=IFCRELFILLSELEMENT('f',$,$,$,#20,#32);#52=IFCRELFILLSELEMENT('g',$,$,$,#20,#31);#53=IFCRELFILLSELEMENT('h',$,$,$,#20,#33);#54=IFCRELFILLSELEMENT('i',$,$,$,#21,#11);
+#60=IFCRELCONTAINEDINSPATIALSTRUCTURE('j',$,$,$,(#10,#21),#1);#61=IFCRELCONTAINEDINSPATIALSTRUCTURE('k',$,$,$,(#11),#2);
+#70=IFCRELAGGREGATES('l',$,$,$,#12,(#13,#14));#71=IFCRELAGGREGATES('m',$,$,$,#12,(#13));#72=IFCRELAGGREGATES('n',$,$,$,#98,(#14));
+"""
+    (tmp_path / "a.ifc").write_text(text)
+    rows = step.read_step(spark, str(tmp_path)).cache()
+    kinds = {r.id: r.kind for r in step.entities(rows).collect()}
+    assert kinds == {1: "storey", 2: "storey", 10: "wall", 12: "stair", 20: "opening", 21: "opening", 22: "opening", 30: "door", 31: "door", 32: "window", 33: "door", 34: "furniture"}
+    assert sorted((r.element, r.part) for r in step.aggregated_parts(rows).collect()) == [(12, 13), (12, 14)]
+    found = {r.global_id: (r.storey, r.host, r.host_is_wall, r.door, r.window) for r in step.openings(rows).collect()}
+    assert found == {"o1": (1, 10, True, "d2", "v1"), "o2": (1, 11, False, None, None), "o3": (None, None, False, None, None)}
+    assert step.openings(rows.limit(0)).count() == 0 == step.aggregated_parts(rows.limit(0)).count()
+
+
 def test_step_strings_comments_and_archives(spark, tmp_path):
     odd = """ISO-10303-21; /* it's; #7=IFCSPACE('no',$,$); */ HEADER; FILE_NAME('a;b''(');
 #1=IFCBUILDINGSTOREY('s1',$,'Level; 1',$,$);#2 = ifcspace ( 'r1' , $ ,'Room /* x */, ''y'' (',\n$,/* gone; */'');
