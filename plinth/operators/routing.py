@@ -61,6 +61,78 @@ def steps(found: DataFrame, ways: DataFrame) -> DataFrame:
     return paired.join(ways.select(F.col("a").alias("from"), F.col("b").alias("to"), "edge"), ["from", "to"]).select("node", "step", "from", "to", "edge")
 
 
+#: Steps of found paths that one written table takes, and rounds between looks at what is answered.
+_STRIDE = 4
+
+
+def asked_routes(edges: DataFrame, nodes: DataFrame, asked: DataFrame, blocked_nodes: DataFrame, blocked_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answers (query, variant, found, hops, message) and steps (query, step, from, to, edge) of routes on stored graphs.
+
+    Graphs are edges (variant, edge, a, b) and nodes (variant, node); asked has (query,
+    variant, origin, destination), a null variant is ifc, and each query may block
+    nodes (query, node) and edges (query, edge) of its own.  All queries settle
+    together: frontiers keyed by query and node go out from the destinations until the
+    origins are met.  Of several next nodes the smallest name is taken, of parallel
+    edges the largest id.  A query's id must be its own; rows without one are left out.
+    """
+    asked = graph.kept(asked.filter("query is not null").select("query", F.coalesce("variant", F.lit("ifc")).alias("variant"), "origin", "destination"))
+    nodes, shut, closed = graph.kept(nodes.select("variant", "node").distinct()), graph.kept(blocked_nodes.select("query", "node").distinct()), blocked_edges.select("query", "edge").distinct()
+    end = lambda df, name, *by: df.select(*by, F.col("node").alias(name), F.lit(True).alias(f"__{name}"))
+    told = asked.join(nodes.select("variant").distinct().withColumn("__variant", F.lit(True)), "variant", "left")
+    for name in ("origin", "destination"):
+        told = told.join(end(nodes, name, "variant"), ["variant", name], "left").join(end(shut, name, "query").withColumnRenamed(f"__{name}", f"__shut_{name}"), ["query", name], "left")
+    reason = F.when(F.col("__variant").isNull(), F.concat(F.lit("Graph variant '"), "variant", F.lit("' not found."))).when(F.coalesce("__shut_origin", "__shut_destination").isNotNull(), "Origin or destination is blocked.")
+    reason = reason.when(F.col("__origin").isNull() | F.col("__destination").isNull(), "Origin or destination node id not found in graph.")
+    told = graph.kept(told.select("query", "variant", "origin", "destination", reason.alias("message")))
+
+    real = edges.filter("a <> b").select("variant", "edge", "a", "b").join(nodes.select("variant", F.col("node").alias("a")), ["variant", "a"], "left_semi").join(nodes.select("variant", F.col("node").alias("b")), ["variant", "b"], "left_semi")
+    ways = graph.kept(real.select("variant", "edge", "a", "b").union(real.select("variant", "edge", F.col("b").alias("a"), F.col("a").alias("b"))))
+    pending = graph.kept(told.filter("message is null").select("query", "variant", "origin", "destination"))
+    spark, folder, step = edges.sparkSession, graph.scratch(edges.sparkSession, "asked"), 0
+    goal = pending.select("query", "variant", F.col("destination").alias("node"), F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast("string").alias("next"), F.lit(None).cast("string").alias("edge"))
+
+    def written(rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{folder}/round={step}")
+        return spark.read.schema(goal.schema).parquet(f"{folder}/round={step}")
+
+    frontier = written(goal)
+    before = frontier.limit(0)
+    while not frontier.isEmpty():
+        step += 1
+        if step % _STRIDE == 0:  # what is answered goes on for a few rounds at most
+            met = spark.read.schema(goal.schema).parquet(folder).select("query", F.col("node").alias("origin"))
+            pending = graph.kept(pending.join(met, ["query", "origin"], "left_anti"))
+        out = frontier.join(pending.select("query"), "query", "left_semi").select("query", "variant", F.col("node").alias("a")).join(ways, ["variant", "a"]).withColumnRenamed("b", "node")
+        out = out.join(closed, ["query", "edge"], "left_anti").groupBy("query", "variant", "node", "a").agg(F.max("edge").alias("edge"))
+        found = out.groupBy("query", "variant", "node").agg(F.min(F.struct("a", "edge")).alias("n"))
+        known = frontier.select("query", "node").union(before.select("query", "node")).union(shut)
+        found = found.join(known, ["query", "node"], "left_anti").select("query", "variant", "node", F.lit(step).cast("bigint").alias("hops"), F.col("n.a").alias("next"), "n.edge")
+        before, frontier = frontier, written(found)
+    tree = spark.read.schema(goal.schema).parquet(folder)
+    hops = told.join(tree.select("query", F.col("node").alias("origin"), "hops"), ["query", "origin"], "left")
+    message = F.coalesce("message", F.when(F.col("hops").isNull(), "No path exists."), F.lit("Shortest path found."))
+    answers = graph.kept(hops.select("query", "variant", F.col("hops").isNotNull().alias("found"), "hops", message.alias("message"), "origin"))
+    return answers.drop("origin"), _followed(tree.filter("hops > 0"), answers.filter("hops > 0").select("query", F.col("origin").alias("node")))
+
+
+def _followed(tree: DataFrame, start: DataFrame) -> DataFrame:
+    """(query, step, from, to, edge): the way through a tree (query, node, next, edge) from each start (query, node), a few steps a table."""
+    spark, folder, at = tree.sparkSession, graph.scratch(tree.sparkSession, "steps"), 0
+    start = graph.kept(start.select("query", "node"))
+    while True:
+        wide = start.withColumnRenamed("node", "n0")
+        for k in range(_STRIDE):
+            ahead = tree.select("query", F.col("node").alias(f"n{k}"), F.col("next").alias(f"n{k + 1}"), F.col("edge").alias(f"e{k}"))
+            wide = wide.join(ahead, ["query", f"n{k}"], "left")
+        wide = graph.kept(wide)
+        each = F.array(*(F.struct(F.lit(at + k).alias("step"), F.col(f"n{k}").alias("from"), F.col(f"n{k + 1}").alias("to"), F.col(f"e{k}").alias("edge")) for k in range(_STRIDE)))
+        steps = wide.select("query", F.explode(F.filter(each, lambda s: s["to"].isNotNull())).alias("s")).select("query", "s.*")
+        steps.write.mode("append").parquet(folder)
+        start, at = wide.filter(f"n{_STRIDE} is not null").select("query", F.col(f"n{_STRIDE}").alias("node")), at + _STRIDE
+        if start.isEmpty():
+            return spark.read.schema(steps.schema).parquet(folder)
+
+
 def without_repeats(sequence: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Rows whose value isn't that of the row before, within each key."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(order))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plinth.operators import evacuation, graph, paths, routing
 from plinth.plans.building import Building
 from plinth.plans.queries import query
+from plinth.sources import artifacts
 
 _ROUTES = """u0 AS (SELECT door, a, b FROM doors WHERE b IS NOT NULL AND a <> b {open}),
 u AS (SELECT a, b, max(door) AS edge FROM (SELECT a, b, door FROM u0 UNION ALL SELECT b, a, door FROM u0) GROUP BY a, b),
@@ -150,3 +151,56 @@ SELECT query, CAST(segment AS BIGINT) AS segment, storey, count(*) AS n, round(c
 def walk_stretches(b: Building) -> DataFrame:
     """The walks' stretches on each storey, without places that repeat."""
     return paths.stretches(_walks(b)).select("query", F.col("segment").cast("bigint").alias("segment"), "storey", "n", F.round("length", 6).alias("length"))
+
+
+# --- routes on stored variants: every room asks for the way to its storey's first room, with blocks of its own ----------------
+
+
+def _stored(b: Building) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes of two graphs kept as artifacts: one without the doors whose keys' sum is divisible by 7, one with all."""
+    doors, total = b.doors().filter("b is not null"), F.substring("a", 2, 99).cast("bigint") + F.substring("b", 2, 99).cast("bigint")
+    edges = doors.select(F.lit("ifc").alias("variant"), F.col("door").alias("edge"), "a", "b").filter(total % 7 != 0).union(doors.select(F.lit("geometry"), "door", "a", "b"))
+    nodes = b.spaces().select(F.explode(F.array(F.lit("ifc"), F.lit("geometry"))).alias("variant"), F.col("space").alias("node"))
+    folder = graph.scratch(b.spark, "variants")
+    for name, rows in (("edges", edges), ("nodes", nodes)):
+        artifacts.write_artifact(rows.withColumn("model_id", F.lit("m")), f"{folder}/{name}")
+    read = lambda name: b.spark.read.parquet(f"{folder}/{name}").filter("model_id = 'm'").drop("model_id")
+    return read("edges"), read("nodes")
+
+
+def _variant_routes(b: Building) -> tuple[DataFrame, DataFrame]:
+    rooms = graph.kept(b.spaces().select("s", "space", "storey"))
+    first = rooms.groupBy("storey").agg(F.min_by("space", "s").alias("first"))
+    s = F.col("s")
+    variant = F.when(s % 17 == 0, "topologic").when(s % 3 == 1, "geometry").when(s % 3 == 2, "ifc")
+    asked = rooms.join(first, "storey").select(F.col("space").alias("query"), "s", "storey", variant.alias("variant"), F.col("space").alias("origin"), F.when(s % 19 == 0, "none").otherwise(F.col("first")).alias("destination"))
+    shut = asked.filter(s % 4 == 1).select("query", "storey").join(rooms.filter("s % 10 = 7").select("storey", F.col("space").alias("node")), "storey")
+    total = F.substring("a", 2, 99).cast("bigint") + F.substring("b", 2, 99).cast("bigint")
+    closed = asked.filter(s % 4 == 2).select("query", "storey").join(b.doors().filter("b is not null").filter(total % 10 == 3).select("storey", F.col("door").alias("edge")), "storey")
+    return routing.asked_routes(*_stored(b), asked, shut, closed)
+
+
+_VARIANTS = """nn AS (SELECT door AS edge, storey, a, b, CAST(substr(a, 2) AS BIGINT) + CAST(substr(b, 2) AS BIGINT) AS total FROM doors WHERE b IS NOT NULL),
+ge AS (SELECT 'ifc' AS variant, * FROM nn WHERE total % 7 <> 0 UNION ALL SELECT 'geometry', * FROM nn),
+wy AS (SELECT variant, edge, storey, total, a, b FROM ge UNION ALL SELECT variant, edge, storey, total, b, a FROM ge),
+aq AS (SELECT s, space AS query, storey, CASE WHEN s % 17 = 0 THEN 'topologic' WHEN s % 3 = 1 THEN 'geometry' ELSE 'ifc' END AS variant, CASE WHEN s % 19 = 0 THEN 'none' ELSE 'R' || min(s) OVER (PARTITION BY storey) END AS dest FROM spaces),
+am AS (SELECT *, CASE WHEN variant = 'topologic' THEN 'Graph variant ''topologic'' not found.' WHEN s % 4 = 1 AND (s % 10 = 7 OR coalesce(TRY_CAST(substr(dest, 2) AS BIGINT) % 10 = 7, false)) THEN 'Origin or destination is blocked.'
+  WHEN dest = 'none' THEN 'Origin or destination node id not found in graph.' END AS bad FROM aq),
+qw AS (SELECT q.query, w.a, w.b, w.edge FROM am q JOIN wy w ON w.variant = q.variant AND w.storey = q.storey WHERE bad IS NULL AND NOT (q.s % 4 = 1 AND (CAST(substr(w.a, 2) AS BIGINT) % 10 = 7 OR CAST(substr(w.b, 2) AS BIGINT) % 10 = 7)) AND NOT (q.s % 4 = 2 AND w.total % 10 = 3)),
+fr(query, node, hops) USING KEY (query, node) AS (SELECT query, dest, 0::BIGINT FROM am WHERE bad IS NULL UNION SELECT qw.query, qw.b, min(fr.hops + 1) FROM fr JOIN qw ON qw.query = fr.query AND qw.a = fr.node LEFT JOIN recurring.fr r ON r.query = qw.query AND r.node = qw.b WHERE r.hops IS NULL OR fr.hops + 1 < r.hops GROUP BY qw.query, qw.b),
+"""
+
+
+@query("WITH RECURSIVE " + _VARIANTS.rstrip().rstrip(",") + """ SELECT q.query, q.variant, fr.hops IS NOT NULL AS found, fr.hops, coalesce(q.bad, CASE WHEN fr.hops IS NULL THEN 'No path exists.' ELSE 'Shortest path found.' END) AS message
+FROM am q LEFT JOIN fr ON fr.query = q.query AND fr.node = q.query AND q.bad IS NULL""")
+def variant_routes(b: Building) -> DataFrame:
+    """Each room's answer on the stored graph that it names."""
+    return _variant_routes(b)[0]
+
+
+@query("WITH RECURSIVE " + _VARIANTS + """nt AS (SELECT f.query, f.node, f.hops, min(qw.b) AS nxt FROM fr f JOIN qw ON qw.query = f.query AND qw.a = f.node JOIN fr k ON k.query = f.query AND k.node = qw.b AND k.hops = f.hops - 1 GROUP BY f.query, f.node, f.hops),
+sp AS (SELECT query, 0 AS step, node AS "from", nxt AS "to" FROM nt WHERE node = query UNION ALL SELECT sp.query, sp.step + 1, sp."to", nt.nxt FROM sp JOIN nt ON nt.query = sp.query AND nt.node = sp."to")
+SELECT sp.query, sp.step, sp."from", sp."to", qw.edge FROM sp JOIN qw ON qw.query = sp.query AND qw.b = sp."to" AND sp."from" = qw.a""")
+def variant_route_steps(b: Building) -> DataFrame:
+    """The steps of these routes, with the doors."""
+    return _variant_routes(b)[1]
