@@ -17,10 +17,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for written tables under spark.checkpoint.dir, which all executors share.
 
-    Only where the session has no such folder, as in tests, a local one is set.
+    Only where the session has no such folder and runs on one machine, as in tests, a
+    local one is set; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
