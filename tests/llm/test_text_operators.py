@@ -132,6 +132,28 @@ def test_planted_passages_are_removed_where_they_repeat(spark):
         assert (got[i] >= len(long.encode()) and got[i] <= len(long.encode()) + 40) if i % 3 == 0 else got[i] == 0
 
 
+@pytest.mark.parametrize("options", [{"part_bytes": 1000}, {"bucket_bytes": 5000, "part_bytes": 700}])
+def test_suffix_dedup_by_parts_of_buckets(spark, rows, options):
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length=400, **options).collect()
+    assert sorted(map(tuple, got), key=str) == removed(rows, 400)
+
+
+def test_surroundings_hold_the_strings_of_one_anchor():
+    """Each string is in one anchor's surroundings, wherever its text stands in a batch; nothing is hashed or indexed for two anchors."""
+    texts = [prose(60, 400), "a" * 1500, prose(61, 20), "", prose(60, 400)[700:2000], "ab" * 200]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    raw = np.frombuffer(data, np.uint8)
+    at, low, high = suffix_dedup.anchors(raw, offsets, suffix_dedup.Rolling(raw), 400)
+    starts = np.concatenate([np.arange(a, b - 399) for a, b in zip(low, high, strict=True)])
+    assert starts.tolist() == [p for a, b in itertools.pairwise(offsets.tolist()) for p in range(a, b - 399)]
+    chosen = {}
+    for k, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+        assert a <= k <= b - 32
+        for p in range(a, b - 399):
+            assert p <= k <= p + 400 - 32 and chosen.setdefault(data[p : p + 400], k - p) == k - p
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
