@@ -7,10 +7,15 @@ are spread by their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import geometry as g
+from plinth.functions import outlines
 from plinth.operators import spatial
 
 # Fixed values, in metres.
@@ -25,35 +30,45 @@ SLACK = 0.06  # around a void with outline
 THICK = 0.8  # of a void, at most
 HEIGHT = 1.8  # of a void, at least
 
+_PAIRS = 1000  # whose samples are held at once
+
 
-def _counted(ring: Column) -> Column:
-    """array<struct<e, size, n>> of the edges with a length, n samples each."""
-    sized = F.transform(g.ring_edges(ring), lambda e: F.struct(e.alias("e"), g.distance(e["ax"], e["ay"], e["bx"], e["by"]).alias("size")))
-    some = F.filter(sized, lambda s: s["size"] >= 1e-9)
-    return F.transform(some, lambda s: F.struct(s["e"].alias("e"), s["size"].alias("size"), F.greatest(F.lit(1), F.ceil(s["size"] / STEP)).cast("int").alias("n")))
+def _in_slices(pairs: DataFrame, columns: list[str], answer: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """answer() of some pairs at a time; few rows make many samples, so pairs are dealt to all shuffle partitions, which Spark doesn't merge again."""
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _PAIRS):
+                yield answer(batch.slice(at, _PAIRS))
 
-def _along(s: Column, k: Column) -> Column:
-    t = k / s["n"]
-    return g.point(s["e"]["ax"] + t * (s["e"]["bx"] - s["e"]["ax"]), s["e"]["ay"] + t * (s["e"]["by"] - s["e"]["ay"]))
+    dealt = pairs.select(*columns).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    return dealt.mapInArrow(slices, schema)
 
 
-def closed_samples(ring: Column) -> Column:
-    """array<point>: every edge sampled from its first end to its last, both included; empty below three vertices."""
-    points = F.flatten(F.transform(_counted(ring), lambda s: F.transform(F.sequence(F.lit(0), s["n"]), lambda k: _along(s, k))))
-    return F.when(F.size(ring) >= 3, points).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+def _typed(pairs: DataFrame, *columns: str) -> str:
+    return ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def interface_lengths(pairs: DataFrame) -> DataFrame:
-    """(a, b, length, gap) of pairs with a front of half a metre or more: samples of either room near the other, mean distance."""
+    """(a, b, length, gap) of pairs with a front of half a metre or more: samples of either room near the other, mean distance.
 
-    def near(ring: str, other: str) -> Column:
-        far = F.transform(closed_samples(F.col(ring)), lambda p: g.polygon_distance(p["x"], p["y"], F.col(other)))
-        return F.filter(far, lambda d: d <= GAP)
+    Every edge is sampled from its first end to its last, both included.
+    """
 
-    hits = pairs.select("a", "b", F.concat(near("ring_a", "ring_b"), near("ring_b", "ring_a")).alias("__hits"))
-    mean = F.aggregate("__hits", F.lit(0.0), lambda total, d: total + d) / F.size("__hits")
-    measured = hits.select("a", "b", (F.size("__hits") * STEP / 2).alias("length"), F.when(F.size("__hits") > 0, mean).alias("gap"))
+    def answer(rows: pa.RecordBatch) -> pa.RecordBatch:
+        rings = [outlines.Rings(rows.column(c)) for c in ("ring_a", "ring_b")]
+        n, total = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for own, other in (rings, rings[::-1]):
+            points = outlines.sampled(own, other, STEP, GAP, True)
+            d, _, _, inside = outlines.closest(points["x"], points["y"], points["of"], other)
+            d = np.where(inside, 0.0, d)
+            near = d <= GAP
+            n += np.bincount(points["of"][near], minlength=len(rows))
+            total += np.bincount(points["of"][near], d[near], len(rows))
+        gap = pa.array(total / np.maximum(n, 1), mask=n == 0)
+        return pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(n * STEP / 2), gap], ["a", "b", "length", "gap"])
+
+    measured = _in_slices(pairs, ["a", "b", "ring_a", "ring_b"], answer, f"{_typed(pairs, 'a', 'b')}, length double, gap double")
     return measured.filter(F.col("length") >= LENGTH)
 
 
@@ -63,18 +78,21 @@ def strip_samples(pairs: DataFrame) -> DataFrame:
     s is the way along the outline, around the whole outline, x and y the middle
     between the sample and b's closest boundary point.
     """
-    counted = pairs.filter((F.size("ring_a") >= 3) & (F.size("ring_b") >= 3)).withColumn("__edges", _counted(F.col("ring_a")))
-    counted = counted.withColumn("around", F.aggregate("__edges", F.lit(0.0), lambda total, s: total + s["size"]))
-    edges = counted.select("*", F.posexplode("__edges").alias("__i", "__edge"))
-    before = F.aggregate(F.slice("__edges", F.lit(1), F.col("__i")), F.lit(0.0), lambda total, s: total + s["size"])
-    edges = edges.withColumn("__before", before).drop("__edges")
-    points = edges.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__edge.n") - 1)))
-    points = points.withColumn("__p", _along(F.col("__edge"), F.col("__k")))
-    points = points.withColumn("__q", g.closest_on_ring(F.col("__p.x"), F.col("__p.y"), F.col("ring_b")))
-    inside = g.point_in_ring(F.col("__p.x"), F.col("__p.y"), F.col("ring_b"))
-    s = F.col("__before") + F.col("__k") / F.col("__edge.n") * F.col("__edge.size")
-    middle = [((F.col(f"__p.{c}") + F.col(f"__q.p.{c}")) / 2).alias(c) for c in "xy"]
-    return points.filter(inside | (F.col("__q.d") <= GAP)).select("a", "b", "storey", F.struct("__i", "__k").alias("at"), s.alias("s"), "around", *middle)
+
+    def answer(rows: pa.RecordBatch) -> pa.RecordBatch:
+        own, other = (outlines.Rings(rows.column(c)) for c in ("ring_a", "ring_b"))
+        p = outlines.sampled(own, other, STEP, GAP, False)
+        d, qx, qy, inside = outlines.closest(p["x"], p["y"], p["of"], other)
+        near = inside | (d <= GAP)
+        p = {c: v[near] for c, v in p.items()}
+        at = pa.StructArray.from_arrays([pa.array(p[c], pa.int32()) for c in "ik"], ["__i", "__k"])
+        middle = [pa.array((v + q[near]) / 2) for v, q in ((p["x"], qx), (p["y"], qy))]
+        names = [rows.column(c).take(pa.array(p["of"])) for c in ("a", "b", "storey")]
+        return pa.RecordBatch.from_arrays([*names, at, pa.array(p["s"]), pa.array(p["around"]), *middle], ["a", "b", "storey", "at", "s", "around", "x", "y"])
+
+    whole = pairs.filter((F.size("ring_a") >= 3) & (F.size("ring_b") >= 3))
+    kinds = f"{_typed(pairs, 'a', 'b', 'storey')}, at struct<__i: int, __k: int>, s double, around double, x double, y double"
+    return _in_slices(whole, ["a", "b", "storey", "ring_a", "ring_b"], answer, kinds)
 
 
 def walkable_voids(voids: DataFrame) -> DataFrame:

@@ -1,7 +1,12 @@
 """Fronts of rooms, walls and voids: the cases of two rooms side by side, a ring's start, a room around another."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
+from plinth.functions import geometry as g
+from plinth.operators import interfaces
 from plinth.operators import interfaces as i
 
 
@@ -84,3 +89,37 @@ def test_lengths_and_nothing(spark, strip):
     assert r.b == "B" and r.length == pytest.approx((35 + 3 + 3) * 0.12) and 0.2 <= r.gap < 0.3  # of each room: the facing edge, three samples at either corner
     assert strip(b=box(9, 0, 10, 4)) == [] and strip(a=[(0.0, 0.0), (1.0, 1.0)]) == []
     assert i.interface_lengths(pairs.limit(0)).collect() == [] and i.strip_samples(pairs.limit(0)).collect() == []
+
+
+def test_fronts_of_other_outlines(spark):
+    """Batches give what the column functions give point by point: turned, hollow and overlapping outlines, ones without room, and none."""
+    corner = [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]
+    rings = {"corner": corner, "in": [(1.3, 1.2), (3.0, 1.3), (2.9, 3.0), (1.2, 2.9)], "over": [(3.5, 0.5), (6.0, 0.5), (5.0, 3.0)], "twice": [(4.2, 0.0), (4.2, 0.0), (6.0, 0.0), (6.0, 2.0), (4.2, 2.0)], "line": [(-0.2, 0.0), (-0.2, 3.0)], "far": [(90.0, 90.0), (91.0, 90.0), (91.0, 91.0)], "none": None}
+    pairs = spark.createDataFrame([(a, b, "L1", rings[a], rings[b]) for a in rings for b in rings if a != b], "a string, b string, storey string, ring_a array<struct<x:double,y:double>>, ring_b array<struct<x:double,y:double>>")
+
+    def points(ring, last):
+        out = []
+        for p, q in zip(ring, ring[1:] + ring[:1]) if ring and len(ring) > 2 else ():
+            if (size := math.dist(p, q)) >= 1e-9:
+                n = max(1, math.ceil(size / interfaces.STEP))
+                out += [(p[0] + k / n * (q[0] - p[0]), p[1] + k / n * (q[1] - p[1])) for k in range(n + last)]
+        return out
+
+    rows = [(a, b, last, x, y, rings[b]) for a in rings for b in rings if a != b for last in (0, 1) for x, y in points(rings[a], last)]
+    far = spark.createDataFrame(rows, "a string, b string, last int, x double, y double, ring array<struct<x:double,y:double>>")
+    far = far.select("a", "b", "last", g.polygon_distance(F.col("x"), F.col("y"), F.col("ring")).alias("d")).filter(F.col("d") <= interfaces.GAP).collect()
+    near = lambda last, *ways: [r.d for r in far if r.last == last and (r.a, r.b) in ways]
+    want = {(a, b): (len(d) * interfaces.STEP / 2, sum(d) / len(d)) for a in rings for b in rings if a != b and (d := near(1, (a, b), (b, a))) and len(d) * interfaces.STEP / 2 >= interfaces.LENGTH}
+    got = {(r.a, r.b): (r.length, r.gap) for r in interfaces.interface_lengths(pairs).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()} and len(want) > 6
+    samples = {(a, b): n for a in rings for b in rings if a != b and rings[b] and len(rings[b]) > 2 and (n := len(near(0, (a, b))))}
+    assert {(r.a, r.b): r["count"] for r in interfaces.strip_samples(pairs).groupBy("a", "b").count().collect()} == samples
+
+
+def test_fronts_on_every_partition(spark, sf_dir):
+    """Few pairs make many samples, so they aren't left in one task (one of 1,000 rooms took two minutes)."""
+    from plinth.plans import interfaces as plans
+    from plinth.plans.building import Building
+
+    found = interfaces.strip_samples(plans.fronts(Building(spark, sf_dir)))
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
