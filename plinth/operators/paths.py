@@ -1,13 +1,20 @@
 """Shortest walks between many pairs of points at once, over portals, landings and storeys.
 
-All pairs settle together: a frontier row is a pair and a node, each round walks its
-steps three times in one plan, and rows no nearer than the best way found so far for
-their pair go no further.  Predecessors are looked up once distances stand, by one
-rule for ties, and walks are read back along them.
+All pairs settle together, from both of their ends, over tiles of rooms: a round takes
+each tile's new distances to its borders, the nodes it shares with other tiles, so the
+rounds grow with the tiles on the longest walk.  Then each tile gives the nodes that a
+best walk of a pair can lead over, whose distances from both ends add up to it.
+Predecessors are looked up among these, by one rule for ties, and walks are read back
+along them, twice as far each round.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,38 +23,88 @@ from plinth.operators import evacuation, spatial
 from plinth.operators.graph import kept
 
 _EQUAL = 1e-7  # metres within which two ways are equally long
-_ROUND = 3  # steps in one plan
+_NEAR = 1e-3  # metres over the shortest way up to which nodes are looked at, for the many steps that may each be _EQUAL longer
+_TILE = 120.0  # metres of a tile's side
+_PAIRS = 4096  # pairs of points whose distances a tile's task takes at once, about
 
 
 def walks(links: DataFrame, doors: DataFrame, landing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, space, storey, x, y) and steps (a, b, cost): within a room straight, between a stair's neighbouring landings by their rise."""
+    """Nodes (node, space, storey, x, y) and steps (a, b, cost, space): within a room straight, between a stair's neighbouring landings by their rise; a step's room is the one walked or the lower landing's, the smallest of several."""
     name = F.concat(F.lit("v:"), "stair", F.lit("@"), "storey")
     portal = links.join(doors.select("door", "storey", "x", "y"), "door").select(F.concat(F.lit("p:"), "door").alias("node"), "space", "storey", "x", "y")
     nodes = kept(portal.unionByName(landing.select(name.alias("node"), "space", "storey", "x", "y")))
     a, b = (nodes.select("space", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "x", "y"))) for e in "ab")
-    level = a.join(b, "space").filter("node_a <> node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), g.distance(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b")).alias("cost"))
+    level = a.join(b, "space").filter("node_a <> node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), g.distance(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b")).alias("cost"), "space")
     chain = Window.partitionBy("stair").orderBy("elevation", "storey")
-    up = landing.select(name.alias("a"), F.lead(name).over(chain).alias("b"), F.greatest(F.lead("elevation").over(chain) - F.col("elevation"), F.lit(evacuation.LEAST_RISE)).alias("cost")).filter("b is not null")
-    every = level.union(up).union(up.select("b", "a", "cost"))
-    return nodes, kept(every.groupBy("a", "b").agg(F.min("cost").alias("cost")))
-
-
-def _distances(start: DataFrame, goal: DataFrame, steps: DataFrame, direct: DataFrame) -> DataFrame:
-    """(query, node, d) of the nodes that a pair's best way can lead over, from its start (query, node, d)."""
-    state = kept(start.withColumn("new", F.lit(True)))
+    up = landing.select(name.alias("a"), F.lead(name).over(chain).alias("b"), F.greatest(F.lead("elevation").over(chain) - F.col("elevation"), F.lit(evacuation.LEAST_RISE)).alias("cost"), "space").filter("b is not null")
+    every = level.union(up).union(up.select("b", "a", "cost", "space"))
+    return nodes, kept(every.groupBy("a", "b").agg(F.min(F.struct("cost", "space")).alias("s")).select("a", "b", "s.cost", "s.space"))
+
+
+def _settled(rows: pd.DataFrame) -> tuple[list[str], pd.MultiIndex, np.ndarray, np.ndarray]:
+    """Of a tile: its nodes' names, its pairs' ends (query, end), their distances to the nodes by the tile's steps (kind 0) from those given (kind 2), and which nodes are borders (kind 1)."""
+    steps, borders, given = (rows[rows.kind == k] for k in range(3))
+    names = sorted({*steps.a, *steps.b, *given.a})
+    at = {n: k for k, n in enumerate(names)}
+    cost = np.full((len(names), len(names)), np.inf)
+    np.minimum.at(cost, (steps.a.map(at).to_numpy(int), steps.b.map(at).to_numpy(int)), steps.cost.to_numpy(float))
+    np.fill_diagonal(cost, 0.0)
+    for k in range(len(names)):
+        np.minimum(cost, cost[:, k : k + 1] + cost[k], out=cost)
+    of, keys = pd.MultiIndex.from_frame(given[["query", "end"]]).factorize()
+    far = np.full((len(keys), len(names)), np.inf)
+    for name, part in given.assign(of=of).groupby("a"):  # a row for each end
+        k = part.of.to_numpy()
+        far[k] = np.minimum(far[k], part.cost.to_numpy(float)[:, None] + cost[at[name]])
+    return names, keys, far, np.isin(names, borders.a.to_numpy(object).astype(str))
+
+
+def _to_borders(rows: pd.DataFrame) -> pd.DataFrame:
+    names, keys, far, border = _settled(rows)
+    k, j = np.nonzero(np.isfinite(far) & border)
+    return pd.DataFrame({"query": keys.get_level_values(0)[k], "end": keys.get_level_values(1)[k], "node": np.array(names, object)[j], "d": far[k, j]})
+
+
+def _on_the_way(rows: pd.DataFrame) -> pd.DataFrame:
+    """Nodes whose distances from both ends add up to the pair's shortest way, over borders (`best`) or within the tile."""
+    names, keys, far, _ = _settled(rows)
+    known = rows[rows.kind == 2].groupby("query", sort=False).best.first()
+    row = pd.Series(np.arange(len(keys)), index=keys)
+    ends = row.unstack().reindex(columns=["from", "to"]).dropna().astype(int) if len(row) else pd.DataFrame({"from": [], "to": []}, dtype=int)
+    start = far[ends["from"].to_numpy()]
+    way = start + far[ends["to"].to_numpy()]
+    best = np.fmin(way.min(1, initial=np.inf), known.reindex(ends.index).fillna(np.inf).to_numpy(float))
+    k, j = np.nonzero(np.isfinite(way) & (way <= best[:, None] + _NEAR))
+    return pd.DataFrame({"query": ends.index.to_numpy()[k], "node": np.array(names, object)[j], "d": start[k, j]})
+
+
+def _distances(ends: DataFrame, nodes: DataFrame, steps: DataFrame, spaces: DataFrame, pairs: int) -> DataFrame:
+    """(query, node, d) of the nodes that a pair's best ways can lead over, from its start; ends are (query, end, node, far)."""
+    kind, parts = ends.schema["query"].dataType.simpleString(), math.ceil(pairs / _PAIRS)
+    tiles = kept(spaces.select("space", F.concat_ws(":", "storey", *(F.floor(F.col(c) / _TILE) for c in ("x0", "y0"))).alias("tile")).distinct())
+    inside = kept(steps.join(tiles, "space").select("tile", "a", "b", "cost"))
+    homes = kept(inside.select(F.col("a").alias("node"), "tile").union(inside.select("b", "tile")).union(nodes.join(tiles, "space").select("node", "tile")).distinct())
+    border = homes.join(homes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node"), "node", "left_semi")
+    null = {"a": "string", "b": "string", "cost": "double", "query": kind, "end": "string", "best": "double"}
+    rows = lambda df, k, **named: df.select("tile", "part", F.lit(k).alias("kind"), *((F.col(named[c]) if c in named else F.lit(None)).cast(t).alias(c) for c, t in null.items()))
+    every = F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))).alias("part")
+    content = kept(rows(inside.select("*", every), 0, a="a", b="b", cost="cost").unionByName(rows(border.select("*", every), 1, a="node")))
+    part = F.pmod(F.xxhash64("query"), F.lit(max(parts, 1))).cast("int").alias("part")
+
+    def by_tile(given: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        given = kept(rows(given.join(homes, "node").select("*", part), 2, a="node", cost="d", query="query", end="end", best="best"))
+        return content.join(given.select("tile", "part").distinct(), ["tile", "part"], "left_semi").unionByName(given).groupBy("tile", "part").applyInPandas(run, schema)
+
+    state = kept(ends.select("query", "end", "node", F.col("far").alias("d"), F.lit(True).alias("new")))
     while not state.filter("new").isEmpty():
-        over = state.join(goal, ["query", "node"]).select("query", (F.col("d") + F.col("rest")).alias("best")).union(direct.select("query", "best"))
-        bound = over.groupBy("query").agg(F.min("best").alias("best"))
-        frontier = state.filter("new").join(bound, "query", "left").filter("best is null or d < best").select("query", "node", "d")
-        known = state.select("query", "node", "d")
-        for _ in range(_ROUND):
-            ahead = frontier.join(steps, frontier.node == steps.a).select("query", F.col("b").alias("node"), (F.col("d") + F.col("cost")).alias("d"))
-            both = known.withColumn("was", F.col("d")).unionByName(ahead.withColumn("was", F.lit(None).cast("double")))
-            merged = both.groupBy("query", "node").agg(F.min("d").alias("d"), F.min("was").alias("was"))
-            merged = merged.withColumn("new", F.col("was").isNull() | (F.col("d") < F.col("was") - 1e-9))
-            known, frontier = merged.select("query", "node", "d"), merged.filter("new").select("query", "node", "d")
-        state = kept(merged.select("query", "node", "d", "new"))
-    return state.select("query", "node", "d")
+        found = by_tile(state.filter("new").withColumn("best", F.lit(None)), _to_borders, f"query {kind}, end string, node string, d double")
+        both = state.select("query", "end", "node", "d", F.col("d").alias("was")).unionByName(found.withColumn("was", F.lit(None).cast("double")))
+        merged = both.groupBy("query", "end", "node").agg(F.min("d").alias("d"), F.min("was").alias("was"))
+        state = kept(merged.select("query", "end", "node", "d", (F.col("was").isNull() | (F.col("d") < F.col("was") - 1e-9)).alias("new")))
+    start, goal = (state.filter(F.col("end") == e).select("query", "node", F.col("d").alias(e)) for e in ("from", "to"))
+    best = start.join(goal, ["query", "node"]).groupBy("query").agg(F.min(F.col("from") + F.col("to")).alias("best"))
+    last = by_tile(state.join(best, "query", "left"), _on_the_way, f"query {kind}, node string, d double")
+    return kept(last.groupBy("query", "node").agg(F.min("d").alias("d")))
 
 
 def between(asked: DataFrame, spaces: DataFrame, links: DataFrame, doors: DataFrame, landing: DataFrame, *, blocked_portals: DataFrame | None = None, blocked_spaces: DataFrame | None = None, blocked_landings: DataFrame | None = None) -> DataFrame:
@@ -72,33 +129,24 @@ def between(asked: DataFrame, spaces: DataFrame, links: DataFrame, doors: DataFr
     own, other = (placed.filter(F.col("end") == e).select("query", "space", F.col("ex").alias(f"{e}_x"), F.col("ey").alias(f"{e}_y")) for e in ("from", "to"))
     direct = kept(own.join(other, ["query", "space"]).select("query", g.distance(F.col("from_x"), F.col("from_y"), F.col("to_x"), F.col("to_y")).alias("best")))
 
-    state = _distances(start, goal, steps, direct)
+    state = _distances(away, nodes, steps, spaces, asked.count())
     reach = state.join(goal, ["query", "node"]).select("query", F.struct(F.round(F.col("d") + F.col("rest"), 7).alias("about"), F.col("node").alias("node"), (F.col("d") + F.col("rest")).alias("cost")).alias("w"))
     straight = direct.select("query", F.struct(F.round("best", 7).alias("about"), F.lit("").alias("node"), F.col("best").alias("cost")).alias("w"))
     best = kept(reach.union(straight).groupBy("query").agg(F.min("w").alias("w")).select("query", "w.node", "w.cost"))
 
     near = state.select("query", F.col("node").alias("a"), F.col("d").alias("near"))
-    back = state.join(steps.withColumnRenamed("b", "node"), "node").join(near, ["query", "a"]).filter((F.col("near") + F.col("cost") <= F.col("d") + _EQUAL) & (F.col("near") < F.col("d") - _EQUAL))
+    back = state.join(steps.select("a", F.col("b").alias("node"), "cost"), "node").join(near, ["query", "a"]).filter((F.col("near") + F.col("cost") <= F.col("d") + _EQUAL) & (F.col("near") < F.col("d") - _EQUAL))
     first = state.join(start.withColumnRenamed("d", "d0"), ["query", "node"]).filter(F.col("d0") <= F.col("d") + _EQUAL).select("query", "node")
     pred = kept(back.join(first, ["query", "node"], "left_anti").groupBy("query", "node").agg(F.min("a").alias("prior")))
-    at, found, k = best.filter("node <> ''").select("query", "node"), [], 0
-    while k == 0 or not at.isEmpty():
-        rows = []
-        for _ in range(_ROUND):
-            rows.append(at.select("query", "node", F.lit(k).alias("k")))
-            at, k = at.join(pred, ["query", "node"]).select("query", F.col("prior").alias("node")), k + 1
-        batch = rows[0]
-        for r in rows[1:]:
-            batch = batch.union(r)
-        found.append(kept(batch))
-        at = kept(at)
-    over = found[0]
-    for f in found[1:]:
-        over = over.union(f)
+    over, jump = kept(best.filter("node <> ''").select("query", "node")), pred
+    while not jump.isEmpty():  # over holds a walk's last nodes, jump goes as many back
+        over = kept(over.union(over.join(jump, ["query", "node"]).select("query", F.col("prior").alias("node"))))
+        further = jump.select("query", F.col("node").alias("prior"), F.col("prior").alias("__prior"))
+        jump = kept(jump.join(further, ["query", "prior"]).select("query", "node", F.col("__prior").alias("prior")))
     place = nodes.select("node", "storey", "x", "y").distinct()
-    inner = over.join(place, "node").select("query", (-F.col("k")).alias("order"), "node", "storey", "x", "y")
+    inner = over.join(state, ["query", "node"]).join(place, "node").select("query", F.col("d").alias("order"), "node", "storey", "x", "y")
     tip = lambda e, order: asked.join(best, "query", "left_semi").select("query", F.lit(order).alias("order"), F.lit(None).cast("string").alias("node"), F.col(f"{e}_storey").alias("storey"), F.col(f"{e}_x").alias("x"), F.col(f"{e}_y").alias("y"))
-    whole = inner.unionByName(tip("from", -(2**30))).unionByName(tip("to", 1))
+    whole = inner.unionByName(tip("from", -1.0)).unionByName(tip("to", math.inf))
     step = F.row_number().over(Window.partitionBy("query").orderBy("order")) - 1  # one walk
     return whole.withColumn("step", step).join(best.select("query", "cost"), "query").select("query", "cost", "step", "node", "storey", "x", "y")
 

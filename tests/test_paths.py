@@ -50,3 +50,19 @@ def test_walks(walk):
 def test_blocked(spark, walk):
     shut = told(walk(blocked_landings=spark.createDataFrame([("ST", "S2")], "stair string, storey string"), blocked_portals=spark.createDataFrame([("T1",)], "door string")))
     assert "up" not in shut and "down" not in shut and shut["tie"][1][1] == "p:T2" and shut["next"][0] == 6.0
+
+
+def test_long_corridor(spark, monkeypatch):
+    """A walk through 90 rooms over several tiles, of equal ways at its end: written tables grow with tiles, not with doors (over 90 before)."""
+    n, tables = 90, []
+    monkeypatch.setattr(paths, "kept", lambda df, kept=paths.kept: tables.append(1) or kept(df))
+    make = spark.createDataFrame
+    spaces = make([(f"R{i:02}", "S1", i * 5.0, 0.0, i * 5.0 + 5, 4.0) for i in range(n)], "space string, storey string, x0 double, y0 double, x1 double, y1 double").withColumn("ring", g.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    doors = [(f"D{i:02}", "S1", i * 5.0, 2.0, i) for i in range(1, n)] + [("T1", "S1", (n - 1) * 5.0, 1.0, n - 1), ("T2", "S1", (n - 1) * 5.0, 3.0, n - 1)]
+    links = make([(d, f"R{r:02}") for d, _, _, _, i in doors for r in (i - 1, i)], "door string, space string")
+    landing = make([], "stair string, storey string, elevation double, space string, x double, y double")
+    asked = make([("there", "S1", 1.0, 2.0, "S1", n * 5 - 1.0, 2.0), ("back", "S1", n * 5 - 1.0, 2.0, "S1", 1.0, 2.0), ("tile", "S1", 241.0, 2.0, "S1", 257.0, 2.0)], "query string, from_storey string, from_x double, from_y double, to_storey string, to_x double, to_y double")
+    got = told(paths.between(asked, spaces, links, make([d[:4] for d in doors], "door string, storey string, x double, y double"), landing))
+    way = [f"p:D{i:02}" for i in range(1, n)]
+    assert got["there"] == (n * 5 - 2.0, [(1.0, 2.0), *way, (n * 5 - 1.0, 2.0)]) and got["back"] == (n * 5 - 2.0, [(n * 5 - 1.0, 2.0), *way[::-1], (1.0, 2.0)])
+    assert got["tile"] == (16.0, [(241.0, 2.0), "p:D49", "p:D50", "p:D51", (257.0, 2.0)]) and len(tables) < 60
